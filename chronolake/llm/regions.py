@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import saved
+
 U = np.uint64
 NULL_ID = -(2**63)
 SKETCH_BITS, HOT_SHARE, HOT_LEAST = 22, 2.0**-17, 64
@@ -191,10 +193,10 @@ class Plan:
         return row, starts - rows[row], ends - starts, anchors, twins
 
 
-def _per_chunk(batches: Iterator[pa.RecordBatch], column: str = "text"):
+def _per_chunk(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES):
     for batch in batches:
-        data, offsets = texts_of(batch.column(column))
-        for i, j in chunks(offsets):
+        data, offsets = texts_of(batch.column("text"))
+        for i, j in chunks(offsets, most):
             yield batch, i, j, data, offsets[i : j + 1]
 
 
@@ -219,6 +221,12 @@ def hot_cells(docs: DataFrame, plan: Plan) -> np.ndarray:
     return hot
 
 
+def _spread(anchor: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Frequent anchors (negative) are known to repeat and need no counting: they are dealt out by document,
+    the others by themselves. Applied twice it gives the anchors again."""
+    return np.where(anchor < 0, anchor ^ (mix(doc.astype(np.int64).view(U)) >> U(1)).view(np.int64), anchor)
+
+
 def _collapse(plan: Plan, anchor, content, doc, start):
     """Of regions with equal text: which are covered for sure, which to send on, and which of those are
     known to be repeated (so need no cover of their own)."""
@@ -288,28 +296,26 @@ def repeated_ranges(docs: DataFrame, plan: Plan, compare: Callable) -> DataFrame
             row, start, windows, anchor, twins = plan.regions(hashes, rows, table, salt)
             key = batch.column("key").to_numpy(zero_copy_only=False)[i:j]
             place = (start << 32) | (windows << 1) | twins
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(key[row]), pa.array(place)], names=["anchor", "doc", "place"])
-
-    # Frequent anchors (negative) are known to repeat; they are dealt by document as well, the others are
-    # counted where their anchor goes.
-    found = docs.select(*columns).mapInArrow(find, "anchor long, doc long, place long")
-    spread = F.when(F.col("anchor") < 0, F.pmod(F.xxhash64("doc"), F.lit(4096))).otherwise(F.lit(0))
-    found = found.withColumn("part", spread)
-    many = F.count(F.lit(1)).over(Window.partitionBy("anchor", "part"))
-    found = found.withColumn("n", many).filter("n > 1 or anchor < 0 or place % 2 = 1").select("anchor", "doc", "place")
-    by_doc = found.groupBy("doc").agg(F.collect_list(F.struct("anchor", "place")).alias("found"))
+            slot = _spread(anchor.view(np.int64), key[row])
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(key[row]), pa.array(place)], names=["slot", "doc", "place"])
+
+    many = F.count(F.lit(1)).over(Window.partitionBy("slot"))
+    found = docs.select(*columns).mapInArrow(find, "slot long, doc long, place long").withColumn("n", many)
+    found = saved(found.filter("n > 1 or slot < 0 or place % 2 = 1").select("slot", "doc", "place"), "anchors")
+    by_doc = found.groupBy("doc").agg(F.collect_list(F.struct("slot", "place")).alias("found"))
     joined = docs.select(F.col("key"), "text").join(by_doc.hint("shuffle_merge"), F.col("key") == F.col("doc")).select("key", "text", "found")
 
     def cut(batches):
-        for batch, i, j, data, offsets in _per_chunk(batches):
+        for batch, i, j, data, offsets in _per_chunk(batches, 2 * CHUNK_BYTES):
             lists = batch.column("found").slice(i, j - i)
             flat = lists.flatten()
             at = np.diff(lists.offsets.to_numpy())
             row = np.repeat(np.arange(j - i), at)
-            anchor = flat.field(0).to_numpy()
+            slot = flat.field(0).to_numpy()
             place = flat.field(1).to_numpy()
             start, windows, twin = place >> 32, (place & 0xFFFFFFFF) >> 1, (place & 1).astype(bool)
             key = batch.column("key").to_numpy(zero_copy_only=False)[i:j][row]
+            anchor = _spread(slot, key)
             hashes, rows, to_bytes = plan.units(data, offsets)
             first = rows[row] + start
             fits = first + windows + plan.width - 1 <= rows[row + 1]  # else another row with this id has it
@@ -322,11 +328,8 @@ def repeated_ranges(docs: DataFrame, plan: Plan, compare: Callable) -> DataFrame
                 spot = mix(doc.astype(np.int64).view(U) + begin.view(U)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(spot), pa.array(doc), pa.array(begin), pa.nulls(n, pa.int32()), pa.array(end), *[pa.nulls(n, pa.bool_())] * 2, pa.nulls(n, pa.binary())], schema=_SENT)
             a, b = to_bytes(first[sent], (first + windows)[sent] + plan.width - 1)
-            raw = data.tobytes() if len(data) <= 2 * CHUNK_BYTES else None
-            lo = 0
-            if raw is None:
-                lo = int(offsets[0])
-                raw = data[lo : int(offsets[-1])].tobytes()
+            lo = int(offsets[0])
+            raw = data[lo : int(offsets[-1])].tobytes()
             text = [raw[x:y] for x, y in zip((a - lo).tolist(), (b - lo).tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(anchor[sent]), pa.array(key[sent]), pa.array(start[sent]), pa.array(windows[sent].astype(np.int32)), pa.array(content[sent]), pa.array(known[sent]), pa.array(twin[sent]), pa.array(text, pa.binary())], schema=_SENT)
 
@@ -405,4 +408,4 @@ def repeated_ranges(docs: DataFrame, plan: Plan, compare: Callable) -> DataFrame
             yield from settle(held)
 
     sent = joined.mapInArrow(cut, "anchor long, doc long, start long, windows int, content long, known boolean, twin boolean, text binary")
-    return sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(shard, "doc long, begin long, end long")
+    return saved(sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(shard, "doc long, begin long, end long"), "cover")

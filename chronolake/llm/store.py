@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -19,8 +20,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet to the shared folder and read back: cuts its lineage, and the files
-    outlive the executors."""
+    outlive the executors. The shuffle files behind it go as soon as the driver has collected its garbage,
+    which is asked for here, so a chain of steps holds the files of one step at a time."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/chronolake/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)

@@ -11,7 +11,7 @@ from . import regions as R
 from .suffix import join_strings, window_classes
 
 WINDOW = 100
-ANCHOR = 32
+ANCHOR = 24
 
 
 def covered_by_suffix_order(plan: R.Plan, strings: list[bytes], docs: np.ndarray, windows: np.ndarray) -> np.ndarray:
