@@ -193,10 +193,10 @@ class Plan:
         return row, starts - rows[row], ends - starts, anchors, twins
 
 
-def _per_chunk(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES):
+def _per_chunk(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         data, offsets = texts_of(batch.column("text"))
-        for i, j in chunks(offsets, most):
+        for i, j in chunks(offsets):
             yield batch, i, j, data, offsets[i : j + 1]
 
 
@@ -274,8 +274,9 @@ def _cover_batch(doc, begin, end):
 
 
 def repeated_ranges(docs: DataFrame, plan: Plan, compare: Callable) -> DataFrame:
-    """(doc, begin, end): ranges of units of documents that repeated windows cover. docs: key, text, and
-    for scope "docs" also ``grp`` (long), within which windows are compared.
+    """(doc, begin, end): ranges of units of documents that repeated windows cover. docs: key, text, for
+    scope "docs" also ``grp`` (long), within which windows are compared, and other columns but not those
+    of the steps here (found, doc).
 
     compare(plan, strings, docs, windows) gets different regions, sorted by place, and gives a mask of their
     windows, in order: whether each is covered.
@@ -303,10 +304,11 @@ def repeated_ranges(docs: DataFrame, plan: Plan, compare: Callable) -> DataFrame
     found = docs.select(*columns).mapInArrow(find, "slot long, doc long, place long").withColumn("n", many)
     found = saved(found.filter("n > 1 or slot < 0 or place % 2 = 1").select("slot", "doc", "place"), "anchors")
     by_doc = found.groupBy("doc").agg(F.collect_list(F.struct("slot", "place")).alias("found"))
-    joined = docs.select(F.col("key"), "text").join(by_doc.hint("shuffle_merge"), F.col("key") == F.col("doc")).select("key", "text", "found")
+    # With all columns of docs, so that a later join of docs on key can use the same exchange of texts.
+    joined = docs.join(by_doc.hint("shuffle_merge"), F.col("key") == F.col("doc")).drop("doc")
 
     def cut(batches):
-        for batch, i, j, data, offsets in _per_chunk(batches, 2 * CHUNK_BYTES):
+        for batch, i, j, data, offsets in _per_chunk(batches):
             lists = batch.column("found").slice(i, j - i)
             flat = lists.flatten()
             at = np.diff(lists.offsets.to_numpy())
@@ -396,7 +398,7 @@ def repeated_ranges(docs: DataFrame, plan: Plan, compare: Callable) -> DataFrame
                 continue
             held.append(batch)
             size += batch.column("text").nbytes
-            if size >= 2 * CHUNK_BYTES:  # settle up to the last anchor, which may go on
+            if size >= CHUNK_BYTES:  # settle up to the last anchor, which may go on
                 table = pa.Table.from_batches(held).combine_chunks()
                 anchor = table.column("anchor").to_numpy()
                 cutoff = int(np.searchsorted(anchor, anchor[-1]))
@@ -408,4 +410,4 @@ def repeated_ranges(docs: DataFrame, plan: Plan, compare: Callable) -> DataFrame
             yield from settle(held)
 
     sent = joined.mapInArrow(cut, "anchor long, doc long, start long, windows int, content long, known boolean, twin boolean, text binary")
-    return saved(sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(shard, "doc long, begin long, end long"), "cover")
+    return sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(shard, "doc long, begin long, end long")

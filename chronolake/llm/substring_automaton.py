@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import regions as R
-from .substring_suffix import RESULT as _CLASH
-from .substring_suffix import cover_lists, keyed, ranges_of
+from .substring_suffix import own_columns, ranges_of, take, with_ranges
 
 WINDOW = 35
 ANCHOR = 11
+RESULT = ("kept", "n_words", "n_removed")
 
 
 def _symbols(strings: list[bytes]) -> list[str]:
@@ -67,31 +67,21 @@ def covered_by_automaton(plan: R.Plan, strings: list[bytes], docs: np.ndarray, w
     return np.cumsum(edge[:-1]) > 0
 
 
-def repeated_words(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """Ranges of words (doc, begin, end) that windows of ``width`` words cover which start elsewhere too.
-
-    Passages are confirmed in the shard of their anchor, compiled there, and every document streams its
-    text around that anchor through the shard's automaton.
-    """
-    return R.repeated_ranges(docs, R.Plan(width, min(ANCHOR, max(1, width // 3)), "word", "any"), covered_by_automaton)
-
-
 def remove_passages(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """Removes each word covered by a window of ``width`` words whose words also start anywhere else, the
     same document included; all occurrences go, the first too.
 
     Words are runs of characters other than space and tab to carriage return, taken unchanged. Returns
-    the columns of docs with ``kept`` (binary: the words left, joined by one space), n_words, n_removed.
+    docs with (in place of columns of these names) ``kept`` (binary: the words left, joined by one space),
+    n_words and n_removed. Passages are confirmed in the shard of their anchor and compiled there; every
+    document streams its text around that anchor through the shard's automaton.
 
     A null text has no words; texts shorter than width stay whole; a null doc_id is an id of its own.
     Rows that repeat a doc_id share one result and count as places of their own, so a row given twice
     loses every window. An empty table gives an empty table.
     """
-    rows = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(R.NULL_ID)))
-    found = cover_lists(repeated_words(keyed(docs), width)).withColumnRenamed("doc", "__doc").withColumnRenamed("ranges", "__ranges")
-    joined = rows.join(found.hint("shuffle_merge"), F.col("__key") == F.col("__doc"), "left").drop("__doc", "__key")
-    fields = [f for f in docs.schema.fields if f.name not in (*_CLASH, "n_words")]
-    names = [f.name for f in fields]
+    plan = R.Plan(width, min(ANCHOR, max(1, width // 3)), "word", "any")
+    fields = own_columns(docs, RESULT)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "kept binary, n_words long, n_removed long"])
 
     def remove(batches):
@@ -100,7 +90,7 @@ def remove_passages(docs: DataFrame, width: int = WINDOW) -> DataFrame:
             for i, j in R.chunks(offsets):
                 starts, ends, at = R.words_of(data, offsets[i : j + 1])
                 edge = np.zeros(len(starts) + 1, np.int32)
-                for k, (begin, end) in enumerate(ranges_of(batch.column("__ranges"), i, j)):
+                for k, (begin, end) in enumerate(ranges_of(batch.column("ranges"), i, j)):
                     last = at[k + 1] - at[k]
                     np.add.at(edge, at[k] + np.minimum(begin, last), 1)
                     np.add.at(edge, at[k] + np.minimum(end, last), -1)
@@ -115,9 +105,9 @@ def remove_passages(docs: DataFrame, width: int = WINDOW) -> DataFrame:
                 kept = [raw[a : max(a, b - 1)] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
                 n_words = np.diff(at)
                 left = np.diff(np.append(0, np.cumsum(keep))[at])
-                yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(i, j - i) for n in names), pa.array(kept, pa.binary()), pa.array(n_words.astype(np.int64)), pa.array((n_words - left).astype(np.int64))], names=[*names, "kept", "n_words", "n_removed"])
+                yield pa.RecordBatch.from_arrays([*take(batch, fields, i, j), pa.array(kept, pa.binary()), pa.array(n_words.astype(np.int64)), pa.array((n_words - left).astype(np.int64))], names=[*(f.name for f in fields), "kept", "n_words", "n_removed"])
 
-    return joined.select(*names, "__ranges").mapInArrow(remove, schema)
+    return with_ranges(docs, plan, covered_by_automaton).mapInArrow(remove, schema)
 
 
 def op10_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

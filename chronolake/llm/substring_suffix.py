@@ -12,6 +12,7 @@ from .suffix import join_strings, window_classes
 
 WINDOW = 100
 ANCHOR = 24
+RESULT = ("kept", "n_bytes", "n_removed", "n_spans")
 
 
 def covered_by_suffix_order(plan: R.Plan, strings: list[bytes], docs: np.ndarray, windows: np.ndarray) -> np.ndarray:
@@ -33,8 +34,10 @@ def covered_by_suffix_order(plan: R.Plan, strings: list[bytes], docs: np.ndarray
     return mask
 
 
-def keyed(docs: DataFrame, *more: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(R.NULL_ID)).alias("key"), "text", *more)
+def keyed(docs: DataFrame) -> DataFrame:
+    """key, text and all other columns of docs as a struct ``row``."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(R.NULL_ID)).alias("key"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("row"))
 
 
 def cover_lists(cover: DataFrame) -> DataFrame:
@@ -54,15 +57,29 @@ def ranges_of(column: pa.Array, i: int, j: int) -> list[tuple[np.ndarray, np.nda
     return out
 
 
-def repeated_bytes(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """Ranges of bytes (doc, begin, end) that strings of ``width`` bytes cover which also start earlier."""
-    return R.repeated_ranges(docs, R.Plan(width, min(ANCHOR, max(1, width // 3)), "byte", "later"), covered_by_suffix_order)
+def with_ranges(docs: DataFrame, plan: R.Plan, compare) -> DataFrame:
+    """keyed(docs) with ``ranges``: what repeated windows cover in each document (null: nothing)."""
+    source = keyed(docs)
+    found = R.repeated_ranges(source, plan, compare)
+    return source.join(cover_lists(found).hint("shuffle_merge"), F.col("key") == F.col("doc"), "left").select("row", "text", "ranges")
+
+
+def own_columns(docs: DataFrame, new: tuple[str, ...]) -> list:
+    """Fields of docs that are not replaced by new ones."""
+    return [f for f in docs.schema.fields if f.name not in new]
+
+
+def take(batch: pa.RecordBatch, fields: list, i: int, j: int) -> list[pa.Array]:
+    """Columns of docs from rows of with_ranges."""
+    rows = batch.column("row").slice(i, j - i)
+    inner = dict(zip([f.name for f in rows.type], rows.flatten()))
+    return [batch.column("text").slice(i, j - i) if f.name == "text" else inner[f.name] for f in fields]
 
 
 def dedup_substrings(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """Removes from each text every byte covered by a string of ``width`` bytes that also starts earlier.
 
-    docs: doc_id, text and any other columns, whose names may clash with nothing here. Returns docs with
+    docs: doc_id, text and any other columns. Returns docs with (in place of columns of these names)
     ``kept`` (binary: the bytes left), n_bytes, n_removed, n_spans (maximal removed runs).
 
     Earlier means a smaller doc_id, or an earlier start in the same document. A null text is empty, a
@@ -71,12 +88,8 @@ def dedup_substrings(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     result. With different texts under one id, what is found in either is removed from both. An empty
     table gives an empty table.
     """
-    rows = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(R.NULL_ID)))
-    source = keyed(docs)
-    found = cover_lists(repeated_bytes(source, width)).withColumnRenamed("doc", "__doc").withColumnRenamed("ranges", "__ranges")
-    joined = rows.join(found.hint("shuffle_merge"), F.col("__key") == F.col("__doc"), "left").drop("__doc", "__key")
-    fields = [f for f in docs.schema.fields if f.name not in RESULT]
-    names = [f.name for f in fields]
+    plan = R.Plan(width, min(ANCHOR, max(1, width // 3)), "byte", "later")
+    fields = own_columns(docs, RESULT)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "kept binary, n_bytes long, n_removed long, n_spans long"])
 
     def remove(batches):
@@ -84,7 +97,7 @@ def dedup_substrings(docs: DataFrame, width: int = WINDOW) -> DataFrame:
             data, offsets = R.texts_of(batch.column("text"))
             for i, j in R.chunks(offsets, 8 << 20):
                 kept, removed, spans = [], [], []
-                for k, (begin, end) in zip(range(i, j), ranges_of(batch.column("__ranges"), i, j)):
+                for k, (begin, end) in zip(range(i, j), ranges_of(batch.column("ranges"), i, j)):
                     part = data[offsets[k] : offsets[k + 1]]
                     end = np.minimum(end, len(part))
                     begin, end = begin[begin < end], end[begin < end]
@@ -94,12 +107,9 @@ def dedup_substrings(docs: DataFrame, width: int = WINDOW) -> DataFrame:
                     kept.append(part[np.cumsum(edge[:-1], dtype=np.int8) == 0].tobytes())
                     removed.append(int((end - begin).sum()))
                     spans.append(len(begin))
-                yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(i, j - i) for n in names), pa.array(kept, pa.binary()), pa.array(np.diff(offsets[i : j + 1])), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], names=[*names, "kept", "n_bytes", "n_removed", "n_spans"])
-
-    return joined.select(*names, "__ranges").mapInArrow(remove, schema)
-
+                yield pa.RecordBatch.from_arrays([*take(batch, fields, i, j), pa.array(kept, pa.binary()), pa.array(np.diff(offsets[i : j + 1])), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], names=[*(f.name for f in fields), "kept", "n_bytes", "n_removed", "n_spans"])
 
-RESULT = ("kept", "n_bytes", "n_removed", "n_spans", "__key", "__doc", "__ranges")
+    return with_ranges(docs, plan, covered_by_suffix_order).mapInArrow(remove, schema)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
