@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     schema = df.schema
     del df
+    time.sleep(0.5)  # the listeners still hold the plan for a moment
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
