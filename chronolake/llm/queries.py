@@ -6,19 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, substring_automaton, substring_suffix, token_counts
+from . import bag_minhash, embedding_dedup, html_extraction, packing, quality_rules, sentencepiece_backend, substring_automaton, substring_suffix, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
+        html_extraction.op1_html_extraction,
         substring_suffix.op2_suffix_dedup,
         quality_rules.op3_quality_rules,
+        bag_minhash.op4_bag_minhash,
+        embedding_dedup.op5_embedding_dedup,
         token_counts.op6_token_counts,
+        sentencepiece_backend.op7_sentencepiece,
         packing.op8_packing,
+        warc.op9_warc,
         substring_automaton.op10_automaton_dedup,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op3_quality_rules": quality_rules.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}

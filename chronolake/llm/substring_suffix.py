@@ -120,13 +120,34 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def without_ranges(text: str | None, begin: np.ndarray, end: np.ndarray) -> str:
     """Text without the characters that ranges of bytes cover as a whole."""
     raw = np.frombuffer((text or "").encode(), np.uint8)
-    gone = np.zeros(len(raw) + 1, np.int32)
-    np.add.at(gone, np.minimum(begin, len(raw)), 1)
-    np.add.at(gone, np.minimum(end, len(raw)), -1)
-    gone = np.cumsum(gone[:-1]) > 0
+    edge = np.zeros(len(raw) + 1, np.int32)
+    np.add.at(edge, np.minimum(begin, len(raw)), 1)
+    np.add.at(edge, np.minimum(end, len(raw)), -1)
     heads = np.flatnonzero((raw & 0xC0) != 0x80)
     if not len(heads):
         return ""
-    whole = np.logical_and.reduceat(gone, heads)
+    whole = np.logical_and.reduceat(np.cumsum(edge[:-1]) > 0, heads)
     return raw[np.repeat(~whole, np.diff(np.append(heads, len(raw))))].tobytes().decode()
 
+
+def dedup_texts(docs: DataFrame, width: int = WINDOW) -> DataFrame:
+    """docs with the text that dedup_substrings leaves, and n_chars, if there is one, to match. A character goes
+    if all of its bytes are removed, so texts stay whole characters. No row goes; a null text stays null."""
+    plan = R.Plan(width, min(ANCHOR, max(1, width // 3)), "byte", "later")
+    fields = docs.schema.fields
+
+    def remove(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for k in range(len(texts)):
+                begin, end = ranges_of(batch.column("ranges"), k, k + 1)[0]
+                if len(begin):
+                    texts[k] = without_ranges(texts[k], begin, end)
+            out = dict(zip([f.name for f in fields], take(batch, fields, 0, len(texts))))
+            out["text"] = pa.array(texts, pa.string())
+            if "n_chars" in out:
+                kind = out["n_chars"].type
+                out["n_chars"] = pa.array([None if t is None else len(t) for t in texts], kind)
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+    return with_ranges(docs, plan, covered_by_suffix_order).mapInArrow(remove, docs.schema)
