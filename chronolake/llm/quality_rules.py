@@ -88,7 +88,7 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
     )
     h = F.col("hashes")
-    gram = F.transform(F.sequence(F.lit(0), F.col("n_words").cast("int") - GRAM), lambda i: F.xxhash64(*(h.getItem(i + k) for k in range(GRAM))))
+    gram = F.transform(F.sequence(F.lit(0), F.col("n_words").cast("int") - GRAM), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(GRAM))))
     step = step.withColumns(
         {
             "grams": F.when(F.col("n_words") >= GRAM, gram).otherwise(F.array().cast("array<bigint>")),
@@ -116,8 +116,13 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with their own columns, that all rules keep."""
-    return quality(docs.select(F.struct("*").alias("own"), "text")).filter("quality.kept").select("own.*")
+    """The rows of docs, with their own columns, that all rules keep.
+
+    The rows are picked by a generator: a filter would be pushed below the projections, with all their
+    expressions put into each other over and over.
+    """
+    judged = quality(docs.select(F.struct("*").alias("own"), "text"))
+    return judged.select(F.explode(F.when(F.col("quality.kept"), F.array("own"))).alias("own")).select("own.*")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
