@@ -26,11 +26,14 @@ from pyspark.sql import functions as F
 
 from .store import saved
 
+# Arrow's own pools keep what they have once had, for the life of a worker.
+pa.set_memory_pool(pa.system_memory_pool())
+
 U = np.uint64
 NULL_ID = -(2**63)
 SKETCH_BITS, HOT_SHARE, HOT_LEAST = 22, 2.0**-17, 64
 #: Bytes of text that a Python worker holds as arrays at a time.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 _BYTE_HASH = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U(1)

@@ -9,10 +9,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Batches for Python are bounded in bytes, as texts may be long; Spark's own bound is for larger machines.
+BATCH_BYTES, DEFAULT_BATCH, SMALL_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where it is unset, as in tests, a temporary one is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if spark.conf.get(BATCH_BYTES) == DEFAULT_BATCH:
+        spark.conf.set(BATCH_BYTES, SMALL_BATCH)
     if not folder:
         folder = f"file://{tempfile.mkdtemp(prefix='chronolake-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
