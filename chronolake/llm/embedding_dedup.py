@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
+from .memory import lean
 from .regions import NULL_ID
 from .store import saved
 
@@ -67,7 +68,7 @@ def _codes(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
                 at = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("label").take(at), pa.array(np.full(n, width), pa.int32()), lists], names=["key", "label", "width", "codes"])
 
-    return vectors.select("key", "label", "embedding").mapInArrow(run, "key long, label long, width int, codes array<int>")
+    return vectors.select("key", "label", "embedding").mapInArrow(lean(run), "key long, label long, width int, codes array<int>")
 
 
 def _roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -159,7 +160,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD) ->
     dealt = dealt.select("id", "turn", task.alias("task"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     work = dealt.join(one.select("id", "embedding", "copies"), "id").join(coded.select("id", "codes"), "id")
     work = work.select("task", F.col("id").alias("key"), "turn", "side", "copies", "embedding", "codes").repartition("task").sortWithinPartitions("task")
-    found = saved(work.mapInArrow(lambda batches: _compare(batches, threshold), "key long, links long, root long"), "links")
+    found = saved(work.mapInArrow(lean(lambda batches: _compare(batches, threshold)), "key long, links long, root long"), "links")
     groups = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("key").agg(F.sum("links").alias("links"))
     whole = one.select("id", F.col("key").alias("class")).join(groups, F.col("id") == F.col("node"), "left").join(counts, F.col("id") == F.col("key"), "left")

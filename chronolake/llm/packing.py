@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 from . import regions as R
 from .lexicon import Lexicon
+from .memory import lean
 from .store import saved
 
 TOKENIZER = "word_bpe_49k.json"
@@ -63,7 +64,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
                         crc.append(zlib.crc32(raw[4 * s : 4 * e]))
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +111,7 @@ def _round(units: DataFrame, tasks: int, capacity: int, level: int, last: bool)
             name = (np.int64(level) << np.int64(58)) | (np.int64(part) << np.int64(34))
             yield pa.RecordBatch.from_arrays([pa.array(own.unit.to_numpy()), pa.array(name + bins), pa.array(offsets), pa.array(fill[bins]), pa.array(on[bins])], names=["unit", "bin", "at", "fill", "goes_on"])
 
-    return units.repartition(tasks, "part").mapInArrow(pack, "unit long, bin long, at long, fill long, goes_on boolean")
+    return units.repartition(tasks, "part").mapInArrow(lean(pack), "unit long, bin long, at long, fill long, goes_on boolean")
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, local_items: int = LOCAL_ITEMS) -> DataFrame:

@@ -24,11 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .memory import lean
 from .store import saved
 
-# Arrow's own pools keep what they have once had, for the life of a worker.
-pa.set_memory_pool(pa.system_memory_pool())
-
 U = np.uint64
 NULL_ID = -(2**63)
 SKETCH_BITS, HOT_SHARE, HOT_LEAST = 22, 2.0**-17, 64
@@ -219,7 +217,7 @@ def hot_cells(docs: DataFrame, plan: Plan) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["cell"])
 
     hot = np.zeros(1 << SKETCH_BITS, bool)
-    rows = docs.select("text").mapInArrow(count, "cell long").distinct()
+    rows = docs.select("text").mapInArrow(lean(count), "cell long").distinct()
     hot[[r.cell for r in rows.toLocalIterator()]] = True
     return hot
 
@@ -304,7 +302,7 @@ def repeated_ranges(docs: DataFrame, plan: Plan, compare: Callable) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(key[row]), pa.array(place)], names=["slot", "doc", "place"])
 
     many = F.count(F.lit(1)).over(Window.partitionBy("slot"))
-    found = docs.select(*columns).mapInArrow(find, "slot long, doc long, place long").withColumn("n", many)
+    found = docs.select(*columns).mapInArrow(lean(find), "slot long, doc long, place long").withColumn("n", many)
     found = saved(found.filter("n > 1 or slot < 0 or place % 2 = 1").select("slot", "doc", "place"), "anchors")
     by_doc = found.groupBy("doc").agg(F.collect_list(F.struct("slot", "place")).alias("found"))
     # With all columns of docs, so that a later join of docs on key can use the same exchange of texts.
@@ -412,5 +410,5 @@ def repeated_ranges(docs: DataFrame, plan: Plan, compare: Callable) -> DataFrame
         if held:
             yield from settle(held)
 
-    sent = joined.mapInArrow(cut, "anchor long, doc long, start long, windows int, content long, known boolean, twin boolean, text binary")
-    return sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(shard, "doc long, begin long, end long")
+    sent = joined.mapInArrow(lean(cut), "anchor long, doc long, start long, windows int, content long, known boolean, twin boolean, text binary")
+    return sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lean(shard), "doc long, begin long, end long")

@@ -24,6 +24,7 @@ from tokenizers import Tokenizer, decoders, models, normalizers
 
 from . import regions as R
 from .lexicon import Lexicon
+from .memory import lean
 
 MODEL = "piece_bpe_32k.model"
 MARKER = "▁"
@@ -194,7 +195,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(i, j - i) for n in names), pa.array(np.diff(offsets[i : j + 1])), pa.array(np.diff(at)), lists, pa.array(~wrong)], names=[*names, "n_bytes", "n_tokens", "ids", "parity"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
@@ -209,7 +210,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
             texts = codec.decode([x or [] for x in batch.column("ids").to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, "decoded"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def _digests(docs: DataFrame, path: str) -> DataFrame:
@@ -225,7 +226,7 @@ def _digests(docs: DataFrame, path: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(offsets[i : j + 1])), pa.array(np.diff(at)), pa.array(crc, pa.int64()), pa.array(~wrong)], names=["doc_id", "n_bytes", "n_tokens", "ids_crc32", "parity"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, ids_crc32 long, parity boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long, ids_crc32 long, parity boolean")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

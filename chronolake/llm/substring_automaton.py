@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import regions as R
+from .memory import lean
 from .substring_suffix import own_columns, ranges_of, take, with_ranges
 
 WINDOW = 35
@@ -107,7 +108,7 @@ def remove_passages(docs: DataFrame, width: int = WINDOW) -> DataFrame:
                 left = np.diff(np.append(0, np.cumsum(keep))[at])
                 yield pa.RecordBatch.from_arrays([*take(batch, fields, i, j), pa.array(kept, pa.binary()), pa.array(n_words.astype(np.int64)), pa.array((n_words - left).astype(np.int64))], names=[*(f.name for f in fields), "kept", "n_words", "n_removed"])
 
-    return with_ranges(docs, plan, covered_by_automaton).mapInArrow(remove, schema)
+    return with_ranges(docs, plan, covered_by_automaton).mapInArrow(lean(remove), schema)
 
 
 def op10_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

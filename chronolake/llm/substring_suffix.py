@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import regions as R
+from .memory import lean
 from .suffix import join_strings, window_classes
 
 WINDOW = 100
@@ -109,7 +110,7 @@ def dedup_substrings(docs: DataFrame, width: int = WINDOW) -> DataFrame:
                     spans.append(len(begin))
                 yield pa.RecordBatch.from_arrays([*take(batch, fields, i, j), pa.array(kept, pa.binary()), pa.array(np.diff(offsets[i : j + 1])), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], names=[*(f.name for f in fields), "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return with_ranges(docs, plan, covered_by_suffix_order).mapInArrow(remove, schema)
+    return with_ranges(docs, plan, covered_by_suffix_order).mapInArrow(lean(remove), schema)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,4 +151,4 @@ def dedup_texts(docs: DataFrame, width: int = WINDOW) -> DataFrame:
                 out["n_chars"] = pa.array([None if t is None else len(t) for t in texts], kind)
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    return with_ranges(docs, plan, covered_by_suffix_order).mapInArrow(remove, docs.schema)
+    return with_ranges(docs, plan, covered_by_suffix_order).mapInArrow(lean(remove), docs.schema)

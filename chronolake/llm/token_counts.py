@@ -19,6 +19,7 @@ from tokenizers import Tokenizer
 
 from . import regions as R
 from .lexicon import Lexicon
+from .memory import lean
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
@@ -201,7 +202,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
             tokens = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(np.diff(offsets)), pa.array(tokens), pa.array(tokens > limit)], names=[*names, "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.mapInArrow(count, schema)
+    return docs.mapInArrow(lean(count), schema)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

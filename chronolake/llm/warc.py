@@ -14,6 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .memory import lean
 from .regions import NULL_ID
 from .store import shared_folder
 
@@ -143,7 +144,7 @@ def write_archives(pages: DataFrame, folder: str, shards: int | None = None, rol
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["file", "shard", "records", "bytes", "sha1", "first_id", "last_id"])
 
     ordered = both.repartitionByRange(shards, "key").sortWithinPartitions("key", "digest", "kind", "url")
-    manifest = ordered.mapInArrow(write, MANIFEST)
+    manifest = ordered.mapInArrow(lean(write), MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
@@ -208,7 +209,7 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     files = manifest.select("file")
-    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file").mapInArrow(read, RECORDS)
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file").mapInArrow(lean(read), RECORDS)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
