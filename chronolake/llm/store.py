@@ -24,6 +24,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _collect_garbage(spark: SparkSession) -> None:
+    """Lets go of finished queries' plans, here and in the JVM, which then removes their shuffle files."""
+    for _ in range(2):  # the listeners hold a plan until they have seen its end
+        time.sleep(0.4)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet to the shared folder and read back: cuts its lineage, and the files
     outlive the executors. The shuffle files behind it go as soon as the driver has collected its garbage,
@@ -33,7 +41,5 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     schema = df.schema
     del df
-    time.sleep(0.5)  # the listeners still hold the plan for a moment
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    _collect_garbage(spark)
     return spark.read.schema(schema).parquet(path)
