@@ -12,7 +12,7 @@ import numpy as np
 
 from . import regions as R
 
-MOST_SPANS = 1_000_000
+MOST_SPANS = 2_000_000
 
 
 class Lexicon:
