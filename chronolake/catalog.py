@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import timeline
+from .plans import review, timeline  # noqa: F401  (review adds its queries to the same registry)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

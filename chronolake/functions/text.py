@@ -33,3 +33,9 @@ def unit_ratio(part: Column, whole: Column) -> Column:
 def processing_timeout(seconds: Column) -> Column:
     """300 + 0.3 x duration, within 600..3600 seconds; 1200 where the duration is unknown."""
     return F.coalesce(F.least(F.greatest(F.lit(300) + seconds * 0.3, F.lit(600)), F.lit(3600)).cast("int"), F.lit(1200))
+
+
+def rttm_line(recording: Column, start_ms: Column, end_ms: Column, speaker: Column) -> Column:
+    """One line of a speaker turn, times in seconds with three places."""
+    seconds = lambda ms: F.concat(F.floor(ms / 1000).cast("string"), F.lit("."), F.lpad((ms % 1000).cast("string"), 3, "0"))
+    return F.concat_ws(" ", F.lit("SPEAKER"), recording, F.lit("1"), seconds(start_ms), seconds(end_ms - start_ms), F.lit("<NA>"), F.lit("<NA>"), speaker, F.lit("<NA>"), F.lit("<NA>"))

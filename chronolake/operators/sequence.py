@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolake.functions import rules
+
 _SEGMENT = "struct<pos:bigint,speaker:string,text:string,start_ms:bigint,end_ms:bigint>"
 
 
@@ -43,17 +45,20 @@ def merge_segments(segments: DataFrame, gap_ms: int, cap_ms: int, closed: bool =
     return _exploded(_ordered(segments, key).select(key, rows.alias("rows")), key)
 
 
-def smooth_aba(segments: DataFrame, most_ms: int, dense_ms: int = 1000, dense_cps: float = 5.0, backchannel: Column | None = None, key: str = "conv_id") -> DataFrame:
+def smooth_aba(segments: DataFrame, most_ms: int, dense_ms: int = 1000, dense_cps: float = 5.0, wide: bool = False, key: str = "conv_id") -> DataFrame:
     """A short middle segment between two of another speaker takes their speaker if it is a backchannel, or no
     longer than dense_ms with dense_cps characters a second or more. Left to right: a changed segment is the
-    next one's left neighbour."""
+    next one's left neighbour. wide: more assents, and tails of questions."""
     begin = F.array().cast(f"array<{_SEGMENT}>")
 
     def step(acc: Column, x: Column) -> Column:
         b, a = F.try_element_at(acc, F.lit(-1)), F.try_element_at(acc, F.lit(-2))
         span = b["end_ms"] - b["start_ms"]
-        dense = (span <= dense_ms) & (F.length(b["text"]) * 1000 >= dense_cps * span) & (span > 0)
-        hit = (F.size(acc) >= 2) & (a["speaker"] == x["speaker"]) & (b["speaker"] != x["speaker"]) & (span <= most_ms) & dense
+        dense = (span <= dense_ms) & (F.length(F.trim(b["text"])) * 1000 >= dense_cps * span) & (span > 0)
+        small = rules.backchannel(F.trim(b["text"]), wide) | dense
+        if wide:
+            small = small | rules.question_tail(b["text"])
+        hit = (F.size(acc) >= 2) & a["speaker"].eqNullSafe(x["speaker"]) & ~b["speaker"].eqNullSafe(x["speaker"]) & (span <= most_ms) & small
         changed = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(_with(b, speaker=x["speaker"]), x))
         return F.when(hit, changed).otherwise(F.concat(acc, F.array(x)))
 
