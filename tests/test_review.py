@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from chronolake.functions import parse, rules
-from chronolake.operators import allocate, clusters, evaluation, frames, guard, intervals, planning, service
+from chronolake.operators import allocate, clusters, evaluation, frames, guard, intervals, planning, records, service
 from tests.test_engine import segments
 
 
@@ -272,3 +272,21 @@ def test_plans_have_no_nested_loops(spark):
     for out in (allocate.chunk_turns(df, df), allocate.snap(df, quiet), clusters.spurious(df), allocate.split_long(df, quiet, 2000, 100)):
         plan = out._jdf.queryExecution().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_sentence_shapes(spark):
+    cases = {1: '[{"text":"a","sentence_info":[{"start":1000,"end":2500,"text":" a ","spk":1},{"text":" "},{"text":"b","spk":"x"}]}]', 2: '{"text":" "}', 3: '{"text":"a"}', 4: '{"text":"a","sentence_info":[]}', 5: "[]", 6: "nonsense", 7: '{"text":"a","sentence_info":{}}'}
+    got = records.sentences(spark.createDataFrame(list(cases.items()), "k int, result string"), "k").collect()
+    assert sorted((r.k, r.speaker, r.text, r.start_ms, r.end_ms) for r in got if r.error is None) == [(1, "Speaker1", "b", 0, 0), (1, "Speaker2", "a", 1000, 2500)]
+    assert {r.k for r in got if r.error} == {3, 4, 6, 7}
+
+
+def test_small_records(spark):
+    body = '{"segments":[{"start":0.5,"end":1.25,"speaker":"Speaker2"}]}'
+    got = records.json_turns(spark.createDataFrame([(1, body), (2, "{}")], "k int, body string"), "k").collect()
+    assert [(r.k, r.speaker, r.start_ms, r.end_ms) for r in got] == [(1, 1, 500, 1250)]
+    df = spark.createDataFrame([(["a"] * 101, ), (["a" * 257],), ([str(i) for i in range(60)],), (["a" * 65],), ([f"{i:02}" + "b" * 60 for i in range(20)],), (["ok"],)], "t array<string>")
+    assert [r[0] for r in df.coalesce(1).select(records.term_error(F.col("t"))).collect()] == ["too_many_items", "item_too_long", "too_many_terms", "term_too_long", "terms_too_long", None]
+    chunks = segments(spark, [("A", "x", 0, 10), ("A", " ", 10, 20)])
+    texts = spark.createDataFrame([(1, "x", 20), (2, "whole", 50)], "conv_id long, text string, duration_ms long")
+    assert sorted(tuple(r) for r in records.without_turns(chunks, texts).collect()) == [(1, 0, "x", 0, 10), (2, 0, "whole", 0, 50)]
