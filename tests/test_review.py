@@ -290,3 +290,48 @@ def test_small_records(spark):
     chunks = segments(spark, [("A", "x", 0, 10), ("A", " ", 10, 20)])
     texts = spark.createDataFrame([(1, "x", 20), (2, "whole", 50)], "conv_id long, text string, duration_ms long")
     assert sorted(tuple(r) for r in records.without_turns(chunks, texts).collect()) == [(1, 0, "x", 0, 10), (2, 0, "whole", 0, 50)]
+
+
+def test_roles_equal_python(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice("AB"), rng.choice(["why ask", "so I say it", "why so", "nothing"]), 20_000 * i, 20_000 * i + rng.choice([3000, 11_000, 15_000])) for i in range(40)]
+    mass = {s: sum(len(t) for w, t, _, _ in rows if w == s) for s in "AB"}
+    tell, ask = sorted("AB", key=lambda s: -mass[s])
+    assert mass["A"] != mass["B"]
+    want = []
+    for s, t, a, b in rows:
+        q, n = int("why" in t), int("so" in t)
+        want.append(ask if s == tell and b - a <= 10_000 and q >= 1 and q >= n else tell if s == ask and b - a <= 12_000 and n >= 1 and n > q else s)
+    got = guard.smooth_roles(segments(spark, rows), ("why",), ("so",)).orderBy("pos").collect()
+    assert [r.speaker for r in got] == want
+    three = segments(spark, [*rows, ("C", "why", 900_000, 900_100)])
+    assert guard.smooth_roles(three, ("why",), ("so",)).filter("smoothed_from is not null").count() == 0
+
+
+def test_chunk_grid_equals_python(spark):
+    starts = [0, 900, 9400, 10_400, 10_600, 21_000, 40_000]
+    m = spark.createDataFrame([(1, 0, 0.0, 10_000.0), (1, 1, 10_000.0, 20_600.0)], "conv_id long, idx long, start_ms double, end_ms double")
+    got = planning.chunk_grid(segments(spark, [("A", "x", s, s + 10) for s in starts]), m, 4000).orderBy("pos").collect()
+    # Slack of 500 ms: 10,400 still belongs to the first segment, 21,000 to the second, 40,000 to none.
+    assert [(r.pos, r.macro, r.chunk) for r in got] == [(0, 0, 0), (1, 0, 0), (2, 0, 2), (3, 0, 2), (4, 1, 0), (5, 1, 2)]
+
+
+def test_frame_turns_equal_python(spark):
+    rng = random.Random(12)
+    n = 400
+    on = {c: [rng.random() < 0.5 if i % 40 < 10 else c == 0 or i % 7 < 5 for i in range(n)] for c in range(2)}
+    want, second = set(), lambda f: f * (frames.SHIFT / frames.RATE) + 0.5 * frames.FIELD / frames.RATE
+    for c, row in on.items():
+        merged = []
+        for i in range(n):
+            if row[i] and (i == 0 or not row[i - 1]):
+                end = next((j for j in range(i, n) if not row[j]), n)
+                a, b = second(i), second(min(end, n - 1))
+                if merged and 0 < a - merged[-1][1] <= 0.04:
+                    merged[-1][1] = b
+                else:
+                    merged.append([a, b])
+        want |= {(c, round(a, 6), round(b, 6)) for a, b in merged if b - a > 0.1}
+    labels = spark.createDataFrame([(0, i, c) for c, row in on.items() for i in range(n) if row[i]], "rec int, at long, cluster int")
+    got = frames.to_turns(labels, spark.createDataFrame([(0, n)], "rec int, n long"), 0.1, 0.04).collect()
+    assert {(r.cluster, round(r.start, 6), round(r.end, 6)) for r in got} == want
