@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import regions as R
 from .components import components
+from .embedding_dedup import _roots
 from .memory import lean
 from .store import saved
 
@@ -24,6 +26,8 @@ U = np.uint64
 SHINGLE, THRESHOLD = 5, 0.8
 #: 30 bands of 5: a pair at the threshold is missed with probability (1 - 0.8**5)**30 < 1e-5.
 BANDS, BAND_ROWS = 30, 5
+#: Texts and bytes of a block; what is left of a band is dealt to tasks by pairs of blocks.
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
 _STEP, _LEVEL, _PLACE = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 
 
@@ -160,7 +164,120 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(lean(run), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = 6) -> DataFrame:
+def _candidates(task: np.ndarray, group: np.ndarray, side: np.ndarray, row: np.ndarray, hashes: np.ndarray, weight: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a task, of different groups (and sides, where a task has two), that may be similar. In an order
+    that begins with a task's rarest shingles, similar texts share one of those that stand before the last
+    threshold-th of their weight."""
+    n = len(task)
+    total = np.bincount(row, weight, n)
+    two = np.zeros(int(task.max()) + 1, bool)
+    two[task[side > 0]] = True
+    order = np.lexsort((hashes, task[row]))
+    name = np.cumsum(np.append(False, (np.diff(hashes[order]) != 0) | (np.diff(task[row][order]) != 0)))
+    names = np.empty(len(row), np.int64)
+    names[order] = name
+    often = np.bincount(names)[names]
+    order = np.lexsort((names, often, row))
+    r, w = row[order], weight[order]
+    before = np.cumsum(w) - w
+    before -= np.repeat(before[np.searchsorted(r, np.arange(n))[np.bincount(r, minlength=n) > 0]], np.bincount(r, minlength=n)[np.bincount(r, minlength=n) > 0])
+    use = (before <= total[r] - np.ceil(threshold * total[r] - 1e-6)) & (often[order] > 1)
+    r, name = r[use], names[order][use]
+    order = np.argsort(name, kind="stable")
+    r, name = r[order], name[order]
+    end = np.searchsorted(name, name, "right")
+    found, held = [np.zeros(0, np.int64)], 0
+    at, step = np.arange(len(r)), 1
+    while True:
+        at = at[at + step < end[at]]
+        if not len(at):
+            break
+        x, y = r[at], r[at + step]
+        ok = (group[x] != group[y]) & ((side[x] != side[y]) | ~two[task[x]])
+        ok &= np.minimum(total[x], total[y]) >= threshold * np.maximum(total[x], total[y]) - 1e-6
+        x, y = x[ok], y[ok]
+        found.append(np.minimum(x, y) * n + np.maximum(x, y))
+        held += len(x)
+        if held > 1 << 22:
+            found = [np.unique(np.concatenate(found))]
+            held = 0
+        step += 1
+    pairs = np.unique(np.concatenate(found))
+    return pairs // n, pairs % n
+
+
+def _linked(batches, threshold: float):
+    """Of tasks (pairs of blocks of a band), links (a, b) that connect all groups that similar texts connect."""
+
+    def settle(table: pa.Table):
+        key, group, side = (table.column(c).to_numpy() for c in ("key", "group", "side"))
+        task = np.unique(table.column("task").to_numpy(), return_inverse=True)[1]
+        parts, done = [], 0
+        for batch in table.select(["text"]).to_batches():
+            data, offsets = R.texts_of(batch.column(0))
+            for i, j in R.chunks(offsets):
+                row, hashes, weight = weights(*shingles(data, offsets[i : j + 1]))
+                parts.append((row + (done + i), hashes, weight))
+            done += len(batch)
+        row, hashes, weight = (np.concatenate(x) for x in zip(*parts))
+        x, y = _candidates(task, group, side, row, hashes, weight, threshold)
+        edge = np.searchsorted(row, np.arange(len(key) + 1))
+        # a group is one in all tasks
+        node = np.unique(group, return_inverse=True)[1]
+        root = np.arange(len(node))
+        while len(x):
+            new = [(i, j) for i, j in zip(x[:1024].tolist(), y[:1024].tolist()) if weighted_jaccard(*((hashes[edge[k] : edge[k + 1]], weight[edge[k] : edge[k + 1]]) for k in (i, j))) >= threshold]
+            x, y = x[1024:], y[1024:]
+            if new:
+                i, j = np.array(new).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[i], key[j])), pa.array(np.maximum(key[i], key[j]))], names=["a", "b"])
+                root = _roots(len(root), np.concatenate([np.arange(len(root)), node[i]]), np.concatenate([root, node[j]]))
+                apart = root[node[x]] != root[node[y]]
+                x, y = x[apart], y[apart]
+
+    held: list[pa.Table] = []
+    size = 0
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        task = table.column("task").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(task)) + 1).tolist(), len(task)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if size > R.CHUNK_BYTES and held[-1].column("task")[-1].as_py() != task[a]:
+                yield from settle(pa.concat_tables(held))
+                held, size = [], 0
+            if b > a:
+                held.append(table.slice(a, b - a))
+                size += int(pc.sum(pc.binary_length(held[-1].column("text"))).as_py() or 0)
+    if held:
+        yield from settle(pa.concat_tables(held))
+
+
+def _remaining(bands: DataFrame, groups: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between the members of a band that lie in different components and that no comparison with
+    the band's lead has met. All such pairs are decided: the members are dealt to blocks, those of a large component
+    to blocks of its own, and each pair of blocks is a task but those within a component."""
+    size = texts.select(F.col("key").alias("node"), F.octet_length("text").cast("long").alias("bytes"))
+    rest = bands.filter("key <> lead").join(groups, bands.key == groups.node, "left").select("band", "key", F.coalesce("component", "key").alias("group"))
+    mixed = rest.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("low"), F.max("group").alias("high"), F.bit_xor(F.xxhash64("key")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("h2"))
+    # bands with the same members have the same pairs
+    mixed = mixed.filter("low <> high").groupBy("n", "h1", "h2").agg(F.min("band").alias("band")).select("band")
+    rest = saved(rest.join(mixed, "band").join(size, F.col("key") == F.col("node")).select("band", "key", "group", "bytes"), "rest")
+    number, total = F.count(F.lit(1)), F.sum("bytes")
+    large = rest.groupBy("band", "group").agg(number.alias("n"), total.alias("bytes")).filter((F.col("n") >= BLOCK) | (F.col("bytes") >= BLOCK_BYTES)).select("band", "group", F.col("group").alias("owner"))
+    rest = rest.join(large, ["band", "group"], "left").select("band", F.struct(F.col("owner").isNotNull().alias("large"), F.coalesce("owner", F.lit(0)).alias("id")).alias("owner"), "key", "group", "bytes")
+    counts = rest.groupBy("band", "owner").agg(F.greatest(F.ceil(number / BLOCK), F.ceil(total / BLOCK_BYTES)).cast("int").alias("blocks"))
+    rest = rest.join(counts, ["band", "owner"]).select("band", F.struct("owner", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("no")).alias("block"), "key", "group")
+    blocks = counts.select("band", "owner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("no")).select("band", F.struct("owner", F.col("no").cast("long").alias("no")).alias("block"))
+    two = blocks.select("band", F.col("block").alias("x")).join(blocks.select("band", F.col("block").alias("y")), "band")
+    two = two.filter("x <= y and not (x.owner.large and x.owner = y.owner)")
+    task = F.xxhash64("band", "x", "y")
+    ends = F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("x").alias("block"), F.lit(0).alias("side")), F.struct(F.col("y").alias("block"), F.lit(1).alias("side"))))
+    dealt = two.select("band", task.alias("task"), F.explode(ends).alias("e")).select("band", "task", "e.block", "e.side")
+    work = rest.join(dealt, ["band", "block"]).join(texts.select("key", "text"), "key").select("task", "key", "group", "side", "text").repartition("task").sortWithinPartitions("task")
+    return work.mapInArrow(lean(lambda batches: _linked(batches, threshold)), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest doc_id with the same multiset of shingles),
     component_id (the smallest doc_id reachable by links of weighted Jaccard similarity >= threshold) and
     kept (doc_id is its component_id).
@@ -170,9 +287,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rounds: int =
     counts as the smallest and stays null. An empty table gives an empty table.
 
     Exact copies are classes from the start and take part once. Texts that share a band are compared with
-    the band's smallest id; where that leaves a band in several components, in further rounds its members
-    are compared with another member that the round picks, until a round finds no link. No pair is made
-    but these, so a group of any size costs a pair for each member and band.
+    the band's smallest id; where that leaves a band in several components, all its other pairs of texts of
+    different components are decided as well, block against block. So no link between texts that share a
+    band is missed; a group of n texts that don't resemble each other costs tasks by the square of n / BLOCK.
     """
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(R.NULL_ID)).alias("key"), F.col("text").cast("string").alias("text"))
     profiles = saved(_profiles(source), "profiles")
@@ -188,20 +305,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rounds: int =
     texts = saved(source.join(involved, "key").dropDuplicates(["key"]), "texts")
     pairs = bands.filter("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()
     links = saved(_verified(pairs, texts, threshold), "links")
-    for k in range(rounds):
-        groups = components(links)
-        labelled = bands.select("band", "key").join(groups, bands.key == groups.node, "left").select("band", "key", F.coalesce("component", "key").alias("group"))
-        mixed = labelled.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.min(F.col("key").bitwiseXOR(F.xxhash64("band", F.lit(k)))).alias("pick")).filter("low <> high")
-        mixed = mixed.select("band", F.col("pick").bitwiseXOR(F.xxhash64("band", F.lit(k))).alias("next"))
-        # components only grow together, so the other bands are done with
-        bands = saved(labelled.join(mixed, "band").select("band", "key", "group", F.col("next").alias("lead")), "bands")
-        lead_group = groups.select(F.col("node").alias("lead"), F.col("component").alias("lead_group"))
-        pairs = bands.join(lead_group, "lead", "left").filter(F.col("group") != F.coalesce("lead_group", "lead"))
-        pairs = pairs.select(F.least("lead", "key").alias("a"), F.greatest("lead", "key").alias("b")).distinct()
-        more = saved(_verified(pairs, texts, threshold), "links")
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
+    more = saved(_remaining(bands, components(links), texts, threshold), "links")
+    links = links.unionByName(more)
     groups = components(links)
     found = member.join(groups, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("component", "class").alias("component"))
     rows = source.select("key").join(found, "key", "left").select("key", F.coalesce("class", "key").alias("class"), F.coalesce("component", "key").alias("component"))

@@ -120,3 +120,23 @@ def test_digest_of_query(spark):
     r = rows.filter("n_removed = 0").first()
     text = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter(f"doc_id = {r.doc_id}").first().text
     assert r.kept_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def family(n, own, changed, step):
+    """Texts over one template that resemble each other below 0.8; every step-th has a twin above it."""
+    template = " ".join(f"template{i}" for i in range(180))
+    words = lambda i, k: " ".join(f"own{i}x{j}" for j in range(k))
+    rows = [(i, f"{template} {words(i, own)}") for i in range(n)]
+    return rows + [(100_000 + i, f"{template} {words(i, own - changed)} {words(100_000 + i, changed)}") for i in range(5, n, step)]
+
+
+def test_template_family(spark):
+    got = {r.doc_id: r.component_id for r in bag_minhash.near_duplicates(frame(spark, family(400, 24, 22, 20))).collect()}
+    assert got == {d: d % 100_000 for d in got} and len(got) == 420
+
+
+def test_blocks_of_a_band(spark, monkeypatch):
+    monkeypatch.setattr(bag_minhash, "BLOCK", 32)
+    rows = family(90, 24, 22, 10)
+    got = {r.doc_id: r.component_id for r in bag_minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute.near_components(rows)
