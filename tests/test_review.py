@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronolake.functions import parse, rules
 from chronolake.operators import allocate, clusters, evaluation, frames, guard, intervals, planning, records, service
+from chronolake.plans import review
 from tests.test_engine import segments
 
 
@@ -335,3 +336,13 @@ def test_frame_turns_equal_python(spark):
     labels = spark.createDataFrame([(0, i, c) for c, row in on.items() for i in range(n) if row[i]], "rec int, at long, cluster int")
     got = frames.to_turns(labels, spark.createDataFrame([(0, n)], "rec int, n long"), 0.1, 0.04).collect()
     assert {(r.cluster, round(r.start, 6), round(r.end, 6)) for r in got} == want
+
+
+def test_text_queries_use_whole_texts(spark, tmp_path):
+    long = "b" * 300 + "a" * 40
+    near = "the very same sentence, said again"
+    rows = [(1, 0, "user", long)] + [(2, i, "user", near + "n" * (i % 2)) for i in range(4)] + [(3, i, "user", f"{i} unlike " * (i + 1)) for i in range(4)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    r = review.edit_stats(spark, str(tmp_path)).filter("row = '1:0'").first()
+    assert (r.ref_chars, r.hyp_chars, r.edits) == (340, 300, 40)
+    assert [(r.conv_id, r.segment_start, r.segment_end) for r in review.similar_run(spark, str(tmp_path)).collect()] == [(2, 0, 3)]
