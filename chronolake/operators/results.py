@@ -17,7 +17,9 @@ def variant_key(engine: Column, word_align: Column, language: Column, diarize: C
 def lookup(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """requests: req_id, file_hash, engine. The row of the exact key, else that of the key without +nospk, else the
     newest of a bare engine if the key is bare; null without any."""
-    r = requests.alias("r").join(cache.select("file_hash", F.col("engine").alias("have"), "id", "created_min"), "file_hash", "left")
+    newest_first = F.min(F.struct((-F.col("created_min")).alias("age"), (-F.col("id")).alias("no"))).alias("m")
+    have = cache.groupBy("file_hash", F.col("engine").alias("have")).agg(newest_first).select("file_hash", "have", (-F.col("m.no")).alias("id"), (-F.col("m.age")).alias("created_min"))
+    r = requests.alias("r").join(have, "file_hash", "left")
     base = F.regexp_replace("engine", "\\+nospk$", "")
     rank = F.when(F.col("have") == F.col("engine"), 1).when(F.col("have") == base, 2).when(~F.col("engine").contains("+") & ~F.col("have").contains("+"), 3)
     best = F.min(F.when(rank.isNotNull(), F.struct(rank.alias("rank"), (-F.col("created_min")).alias("age"), (-F.col("id")).alias("no"), F.col("have").alias("have"))))

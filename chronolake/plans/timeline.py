@@ -208,7 +208,13 @@ j as (select q.req_id, c.id, c.engine as have, created_min, case when c.engine =
 k as (select *, row_number() over (partition by req_id order by rank nulls last, created_min desc, id desc) as k from j)
 select req_id, case when rank is not null then id end as id, case when rank is not null then have end as engine, rank::bigint as rank from k where k = 1""")
 def cache_lookup(spark, d) -> DataFrame:
-    orders = S.table(spark, d, "orders").filter("o_orderkey <= 500")
+    """The rows of cache_lookup_all that the SQL has."""
+    return cache_lookup_all(spark, d).filter("req_id <= 500")
+
+
+@query()
+def cache_lookup_all(spark, d) -> DataFrame:
+    orders = S.table(spark, d, "orders")
     engine = F.element_at(F.array(*map(F.lit, ("qwen3+nospk", "qwen3", "funasr", "qwen3+wa:eng"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
     return results.lookup(orders.select(F.col("o_orderkey").alias("req_id"), F.md5((F.col("o_orderkey") % 60).cast("string").cast("binary")).alias("file_hash"), engine.alias("engine")), S.cache_rows(spark, d))
 

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import duckdb
@@ -93,3 +94,20 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {r.file_hash: (r.status, r.terminal) for r in spark.table("sticky").collect()}
     want = {r.file_hash: (r.status, r.terminal) for r in results.first_terminal(rows, "file_hash", "created_at").collect()}
     assert got == want
+
+
+def test_cache_lookup_answers_every_request(spark):
+    names = ("qwen3+nospk", "qwen3", "funasr", "qwen3+wa:eng")
+    keys = [r.o_orderkey for r in tables.table(spark, DATA, "orders").select("o_orderkey").distinct().collect()]
+    newest = {}
+    for r in tables.cache_rows(spark, DATA).select("file_hash", "engine", "created_min", "id").collect():
+        newest[r.file_hash, r.engine] = max(newest.get((r.file_hash, r.engine), (-1, -1)), (r.created_min, r.id))
+    want = {}
+    for k in keys:
+        h, e = hashlib.md5(str(k % 60).encode()).hexdigest(), names[k % 4]
+        tries = [(1, [e]), (2, [e.removesuffix("+nospk")]), (3, ["funasr", "qwen3"] if "+" not in e else [])]
+        found = [(rank, max((newest[h, x], x) for x in xs if (h, x) in newest)) for rank, xs in tries if any((h, x) in newest for x in xs)]
+        want[k] = (found[0][1][0][1], found[0][1][1], found[0][0]) if found else (None, None, None)
+    rows = catalog.queries()["cache_lookup_all"](spark, DATA).collect()
+    assert len(rows) == len(want) > 501
+    assert {r.req_id: (r.id, r.engine, r.rank) for r in rows} == want
