@@ -13,10 +13,11 @@ def clock(ms: Column) -> Column:
     return F.concat(pad(ms / 3_600_000, 2), F.lit(":"), pad((ms / 60_000) % 60, 2), F.lit(":"), pad((ms / 1000) % 60, 2), F.lit(","), F.lpad((ms % 1000).cast("string"), 3, "0"))
 
 
-def normalize_terms(terms: Column, most: int = 50) -> Column:
-    """Trims terms, collapses white space, drops empty and repeated ones (the first stays), keeps ``most``."""
+def normalize_terms(terms: Column, most: int | None = None) -> Column:
+    """Trims terms, collapses white space, drops empty and repeated ones (the first stays), keeps all or the first ``most``."""
     clean = F.transform(terms, lambda t: F.trim(F.regexp_replace(t, "\\s+", " ")))
-    return F.slice(F.array_distinct(F.filter(clean, lambda t: t != "")), 1, most)
+    whole = F.array_distinct(F.filter(clean, lambda t: t != ""))
+    return whole if most is None else F.slice(whole, 1, most)
 
 
 def first_repetition(text: Column, sizes: range = range(2, 13), times: int = 6) -> Column:

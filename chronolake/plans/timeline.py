@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolake.functions import text as T
-from chronolake.operators import intervals, results, sequence, speakers
+from chronolake.operators import intervals, records, results, sequence, speakers
 from chronolake.sources import tables as S
 
 QUERIES: dict = {}
@@ -195,7 +195,8 @@ def srt_render(spark, d) -> DataFrame:
 
 @query()
 def terms_normalize(spark, d) -> DataFrame:
-    return S.table(spark, d, "documents").select("doc_id", T.normalize_terms(F.split("text", ",")).alias("terms"))
+    raw = F.split("text", ",")
+    return S.table(spark, d, "documents").select("doc_id", T.normalize_terms(raw).alias("terms"), records.term_error(raw).alias("error"))
 
 
 @query()

@@ -111,3 +111,10 @@ def test_cache_lookup_answers_every_request(spark):
     rows = catalog.queries()["cache_lookup_all"](spark, DATA).collect()
     assert len(rows) == len(want) > 501
     assert {r.req_id: (r.id, r.engine, r.rank) for r in rows} == want
+
+
+def test_terms_are_whole_and_judged(spark, tmp_path):
+    rows = [(1, ",".join(f"term{i}" for i in range(60))), (2, "a, b ,a"), (3, ",".join(f"term{i}" for i in range(1200)))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.terms, r.error) for r in catalog.queries()["terms_normalize"](spark, str(tmp_path)).collect()}
+    assert got == {1: ([f"term{i}" for i in range(60)], "too_many_terms"), 2: (["a", "b"], None), 3: ([f"term{i}" for i in range(1200)], "too_many_items")}
