@@ -139,19 +139,46 @@ def greedy_pairs(scores: DataFrame, key: str = "rec") -> DataFrame:
     return rows.select(key, F.explode(pairs).alias("p")).select(key, "p.*")
 
 
+def _assigned(gain: list[list[int]]) -> list[int]:
+    """Column of each row in a one-to-one assignment of largest sum (at least as many columns as rows): the Hungarian method."""
+    n, m = len(gain), len(gain[0])
+    u, v, of = [0] * (n + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        of[0], j = i, 0
+        least, way, used = [None] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while of[j]:
+            used[j], row = True, of[j]
+            for k in range(1, m + 1):
+                if not used[k]:
+                    cost = -gain[row - 1][k - 1] - u[row] - v[k]
+                    if least[k] is None or cost < least[k]:
+                        least[k], way[k] = cost, j
+            step, to = min((least[k], k) for k in range(1, m + 1) if not used[k])
+            for k in range(m + 1):
+                if used[k]:
+                    u[of[k]] += step
+                    v[k] -= step
+                elif k:
+                    least[k] -= step
+            j = to
+        while j:
+            of[j], j = of[way[j]], way[j]
+    out = [0] * n
+    for k in range(1, m + 1):
+        if of[k]:
+            out[of[k] - 1] = k - 1
+    return out
+
+
 def best_mapping(confusion: dict) -> dict:
     """Mapping of labels that covers most of the counts {(own, true): n}; labels in order, the first best one; with more labels
-    than true ones, several may share one. Beyond seven labels each takes its largest count, since the trials grow as factorials."""
+    than true ones, several may share one. Beyond seven labels, where trials grow as factorials, the Hungarian method finds a best one."""
     own, true = sorted({a for a, _ in confusion}), sorted({b for _, b in confusion})
     if not own:
         return {}
     if max(len(own), len(true)) > 7:
         if len(own) <= len(true):
-            out: dict = {}
-            for (a, b), _ in sorted(confusion.items(), key=lambda kv: (-kv[1], kv[0])):
-                if a not in out and b not in out.values():
-                    out[a] = b
-            return out
+            return {a: true[j] for a, j in zip(own, _assigned([[confusion.get((a, b), 0) for b in true] for a in own]))}
         return {a: max(true, key=lambda b: (confusion.get((a, b), 0), [-ord(c) for c in b])) for a in own}
     trials = permutations(true, len(own)) if len(own) <= len(true) else product(true, repeat=len(own))
     best = max(trials, key=lambda t: sum(confusion.get(p, 0) for p in zip(own, t)))

@@ -294,7 +294,12 @@ select rec, round(sum(case when "true" = case own when 'A' then m[1] else m[2] e
 def speaker_accuracy(spark, d) -> DataFrame:
     counts = evaluation.confusion(_chars(spark, d))
     two = counts.groupBy("rec").agg(F.countDistinct("own").alias("a"), F.countDistinct("true").alias("b")).filter("a = 2 and b = 2").select("rec")
-    counts = counts.join(two, "rec", "left_semi")
+    return speaker_accuracy_all(spark, d).join(two, "rec", "left_semi")
+
+
+@query()
+def speaker_accuracy_all(spark, d) -> DataFrame:
+    counts = evaluation.confusion(_chars(spark, d))
     return evaluation.mapped_accuracy(counts, clusters.label_mapping(counts)).select("rec", F.round("accuracy", 9).alias("accuracy"))
 
 

@@ -3,6 +3,7 @@
 import math
 import random
 from difflib import SequenceMatcher
+from itertools import permutations, product
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -346,3 +347,24 @@ def test_text_queries_use_whole_texts(spark, tmp_path):
     r = review.edit_stats(spark, str(tmp_path)).filter("row = '1:0'").first()
     assert (r.ref_chars, r.hyp_chars, r.edits) == (340, 300, 40)
     assert [(r.conv_id, r.segment_start, r.segment_end) for r in review.similar_run(spark, str(tmp_path)).collect()] == [(2, 0, 3)]
+
+
+def test_mapping_of_many_labels_is_exact():
+    rng = random.Random(4)
+    for n, m in ((8, 8), (5, 8), (2, 9)):
+        counts = {(f"a{i}", f"b{j}"): rng.choice([0, 3, 9, 10]) for i in range(n) for j in range(m)}
+        got = clusters.best_mapping(counts)
+        best = max(sum(counts[f"a{i}", f"b{j}"] for i, j in enumerate(p)) for p in permutations(range(m), n))
+        assert len(set(got.values())) == n and sum(counts[x] for x in got.items()) == best
+
+
+def test_speaker_accuracy_of_all_recordings(spark):
+    counts = {}
+    for r in evaluation.confusion(review._chars(spark, "/root/testdata/sf0.001")).collect():
+        counts.setdefault(r.rec, {})[r.own, r.true] = r.n
+    want = {}
+    for rec, c in counts.items():
+        own, true = sorted({a for a, _ in c}), sorted({b for _, b in c})
+        trials = permutations(true, len(own)) if len(own) <= len(true) else product(true, repeat=len(own))
+        want[rec] = round(max(sum(c.get(x, 0) for x in zip(own, t)) for t in trials) / sum(c.values()), 9)
+    assert {r.rec: r.accuracy for r in review.speaker_accuracy_all(spark, "/root/testdata/sf0.001").collect()} == want
