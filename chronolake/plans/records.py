@@ -30,7 +30,12 @@ f as (select a.conv_id, a.pos, b.speaker, b.start_ms <= (a.start_ms + a.end_ms)
 r as (select *, row_number() over (partition by conv_id, pos order by inside desc, case when inside then len else dist end, bp) as k from f)
 select conv_id, pos, speaker, round(least(1, c), 9) as confidence from p where k = 1 union all select conv_id, pos, speaker, case when inside then 0.5 else 0 end from r where k = 1""")
 def label_items(spark, d) -> DataFrame:
-    rows = records.label_items(S.segments(spark, d).filter("pos % 2 = 0"), S.turns(spark, d))
+    return label_items_all(spark, d).filter("pos % 2 = 0")
+
+
+@query()
+def label_items_all(spark, d) -> DataFrame:
+    rows = records.label_items(S.segments(spark, d), S.turns(spark, d))
     return rows.select("conv_id", "pos", "speaker", F.round("confidence", 9).alias("confidence"))
 
 

@@ -151,7 +151,16 @@ def chunk_grid(spark, d) -> DataFrame:
 @query(f"""{SEG}, c as (select conv_id, start_ms // 40000 as chunk, count(distinct speaker) as speakers, count(*) as segments from seg2 where conv_id % 2 = 0 or pos % 4 < 2 group by 1, 2)
 select conv_id, chunk, speakers, segments, case when speakers >= 2 then 'trigger_cross' when chunk % 2 = 0 then 'trigger_silence' else 'skip' end as label from c""")
 def chunk_triggers(spark, d) -> DataFrame:
-    rows = intervals.tumbling(S.two_speakers(spark, d)).withColumnRenamed("window", "chunk").filter("conv_id % 2 = 0 or pos % 4 < 2")
+    return _triggers(S.two_speakers(spark, d).filter("conv_id % 2 = 0 or pos % 4 < 2"))
+
+
+@query()
+def chunk_triggers_all(spark, d) -> DataFrame:
+    return _triggers(S.two_speakers(spark, d))
+
+
+def _triggers(rows: DataFrame) -> DataFrame:
+    rows = intervals.tumbling(rows).withColumnRenamed("window", "chunk")
     rows = rows.select("conv_id", "chunk", "speaker", (F.col("chunk") * 40_000).alias("from_ms"), ((F.col("chunk") + 1) * 40_000).alias("to_ms"))
     return planning.chunk_triggers(rows, 1 - F.col("chunk") % 2, ["conv_id", "chunk"]).select("conv_id", "chunk", "speakers", "segments", "label")
 
@@ -469,8 +478,13 @@ def alert_states(spark, d) -> DataFrame:
 @query("""with q as (select c_custkey as req, unnest(list_slice(range(c_custkey, c_custkey + 60), 1, 50)) as id, unnest(range(0, 50)) as n from customer where c_custkey % 10 = 0), t as (select event_id as id, event_type as s from events where event_id % 2 = 0)
 select req, n, id as task_id, coalesce(s, case when id % 3 = 0 then 'expired' else 'not_found' end) as status from q left join t using (id)""")
 def status_batch(spark, d) -> DataFrame:
+    return status_batch_all(spark, d).filter("req % 10 = 0")
+
+
+@query()
+def status_batch_all(spark, d) -> DataFrame:
     e = S.table(spark, d, "events")
-    req = S.table(spark, d, "customer").filter("c_custkey % 10 = 0").select(F.col("c_custkey").alias("req"), F.expr("sequence(c_custkey, c_custkey + 59)").alias("ids"))
+    req = S.table(spark, d, "customer").select(F.col("c_custkey").alias("req"), F.expr("sequence(c_custkey, c_custkey + 59)").alias("ids"))
     tasks = e.filter("event_id % 2 = 0").select(F.col("event_id").alias("task_id"), F.col("event_type").alias("status"))
     gone = req.select(F.explode("ids").alias("task_id")).filter("task_id % 3 = 0")
     return service.status_answers(req, tasks, gone)

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from chronolake.functions import parse, rules
 from chronolake.operators import allocate, clusters, evaluation, frames, guard, intervals, planning, records, service
+from chronolake.plans import records as plans
 from chronolake.plans import review
+from chronolake.sources import tables as S
 from tests.test_engine import segments
 
 
@@ -368,3 +370,12 @@ def test_speaker_accuracy_of_all_recordings(spark):
         trials = permutations(true, len(own)) if len(own) <= len(true) else product(true, repeat=len(own))
         want[rec] = round(max(sum(c.get(x, 0) for x in zip(own, t)) for t in trials) / sum(c.values()), 9)
     assert {r.rec: r.accuracy for r in review.speaker_accuracy_all(spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_queries_without_slices(spark):
+    d = "/root/testdata/sf0.001"
+    items = S.segments(spark, d)
+    assert plans.label_items_all(spark, d).select("conv_id", "pos").exceptAll(items.select("conv_id", "pos")).isEmpty()
+    assert plans.label_items_all(spark, d).count() == items.count()
+    assert review.status_batch_all(spark, d).count() == 50 * S.table(spark, d, "customer").count()
+    assert review.chunk_triggers_all(spark, d).agg(F.sum("segments")).first()[0] == items.count()
