@@ -18,13 +18,16 @@ from .memory import lean
 from .regions import NULL_ID
 from .store import shared_folder
 
+#: Bits of the keys that the first count tells apart, and each later one in cells that hold too much.
+FIRST_BITS, MORE_BITS = 10, 6
 #: Files are closed once they have this many compressed bytes.
 ROLL_BYTES = 64 << 20
-#: All records carry one date, so that a shard that is written again is the same byte for byte.
+#: All records carry one date, so that archives that are written again are the same byte for byte.
 DATE = "2024-01-01T00:00:00Z"
 #: Fixed value of the format.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "file string, shard int, records long, bytes long, sha1 string, first_id long, last_id long"
+STAGED = f"attempt string, {MANIFEST}"
 
 
 def digest(data: bytes) -> str:
@@ -70,20 +73,22 @@ def _info(name: str) -> bytes:
 
 
 class _Roller:
-    """Files of one shard. Each is written under a name of this attempt and then renamed; an attempt that
-    is lost leaves files that no manifest names, and one that is repeated gives equal files."""
+    """Files of a task's shards, each under a name of this attempt: a file gets its own name when the
+    manifest that lists the attempt is saved, so a lost attempt or a twin of one leaves no trace."""
 
-    def __init__(self, folder: str, shard: int, attempt: str, roll: int):
+    def __init__(self, folder: str, attempt: str, roll: int):
         self.store, self.folder = fs.FileSystem.from_uri(folder)
-        self.shard, self.attempt, self.roll = shard, attempt, roll
-        self.number, self.out, self.done = 0, None, []
+        self.attempt, self.roll = attempt, roll
+        self.shard, self.number, self.out, self.done = None, 0, None, []
 
-    def add(self, page_id: int | None, raw: bytes) -> None:
+    def add(self, shard: int, page_id: int | None, raw: bytes) -> None:
+        if shard != self.shard:
+            self.close()
+            self.shard, self.number = shard, 0
         if self.out is None:
-            self.name = f"shard-{self.shard:06d}-{self.number:05d}.warc.gz"
-            self.path = f"{self.folder}/_attempts/{self.attempt}-{self.name}"
+            self.name = f"shard-{shard:06d}-{self.number:05d}.warc.gz"
             self.store.create_dir(f"{self.folder}/_attempts", recursive=True)
-            self.out, self.hash = self.store.open_output_stream(self.path, compression=None), hashlib.sha1()
+            self.out, self.hash = self.store.open_output_stream(f"{self.folder}/_attempts/{self.attempt}-{self.name}", compression=None), hashlib.sha1()
             self.bytes = self.records = 0
             self.first = page_id
             self._write(_info(self.name))
@@ -101,25 +106,60 @@ class _Roller:
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
-            self.store.move(self.path, f"{self.folder}/{self.name}")
-            self.done.append((self.name, self.shard, self.records, self.bytes, self.hash.hexdigest(), self.first, self.last))
+            self.done.append((f"{self.attempt}-{self.name}", self.name, self.shard, self.records, self.bytes, self.hash.hexdigest(), self.first, self.last))
             self.out, self.number = None, self.number + 1
 
 
+def shard_bounds(keys: DataFrame, shards: int) -> list[int]:
+    """The first key of each shard but the first, so that shards hold about as many rows. keys: key (long).
+
+    Exact counts decide, so equal tables have equal bounds however they are partitioned. Keys are counted
+    by their leading bits; cells that hold more than an eighth of a shard are counted again by more bits.
+    The driver gets at most 8 * shards * 2**MORE_BITS counts at a time. A key is never divided.
+    """
+    low, high, total = keys.agg(F.min("key"), F.max("key"), F.count(F.lit(1))).first()
+    if not total or low == high:
+        return []
+    shift = max(0, (high - low).bit_length() - FIRST_BITS)
+    share, cells, todo = total / (8 * shards), {}, keys
+    while True:
+        got = {r.cell << shift: r.n for r in todo.groupBy(F.shiftright("key", shift).alias("cell")).agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
+        heavy = [k for k, n in got.items() if n > share] if shift else []
+        cells |= {k: n for k, n in got.items() if k not in set(heavy)}
+        if not heavy:
+            break
+        todo = todo.filter(F.shiftright("key", shift).isin([k >> shift for k in heavy]))
+        shift = max(0, shift - MORE_BITS)
+    bounds, before = [], 0
+    for k in sorted(cells):
+        if before and before * shards >= (len(bounds) + 1) * total:
+            bounds.append(k)
+        while before * shards >= (len(bounds) + 1) * total and len(bounds) < shards - 1:
+            bounds.append(k)  # a heavy key fills several shards: those between stay empty
+        before += cells[k]
+    return bounds[: shards - 1]
+
+
 def write_archives(pages: DataFrame, folder: str, shards: int | None = None, roll_bytes: int = ROLL_BYTES, least_bytes: int = 0) -> DataFrame:
     """Writes a record for each row of pages (page_id, url, html) and returns the manifest, which is saved when
     all files are in place: readers take only files that it names.
 
-    Records are sorted by page_id into shards by range, a shard's files rolled by compressed size. Of rows
-    with equal payloads of least_bytes or more, that with the smallest page_id is a response, all others
-    revisits of it; rows that repeat this page_id are responses as well. A null html is an empty payload;
-    a null page_id counts as the smallest; an empty table gives an empty manifest.
+    Records are sorted by page_id into shards by ranges of shard_bounds, a shard's files rolled by compressed
+    size, so equal tables and numbers of shards give equal files. Of rows with equal payloads of least_bytes
+    or more, that with the smallest page_id is a response, all others revisits of it; rows that repeat this
+    page_id are responses as well. A null html is an empty payload; a null page_id counts as the smallest;
+    an empty table gives an empty manifest. Rows that share a page_id share a shard.
+
+    Files are written under names of their attempt, which a first manifest lists; they are renamed once
+    Spark has committed that, and the manifest proper is saved last.
     """
     spark = pages.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NULL_ID)).alias("key"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).cast("long").alias("size"))
     first = rows.groupBy("digest").agg(F.min("key").alias("first"))
+    bounds = shard_bounds(rows.select("key"), shards)
+    shard = F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda x: x <= F.col("key"))) if bounds else F.lit(0)
     # Pages go to their shard once, and what is known about them comes along in rows of its own.
     facts = rows.select("key", "digest", "size").distinct().join(first, "digest")
     facts = facts.select("key", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "size", "first")
@@ -127,7 +167,7 @@ def write_archives(pages: DataFrame, folder: str, shards: int | None = None, rol
 
     def write(batches):
         context = TaskContext.get()
-        roller = _Roller(folder, context.partitionId(), f"{context.stageId()}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}", roll_bytes)
+        roller = _Roller(folder, f"{context.stageId()}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}", roll_bytes)
         lead = None
         for batch in batches:
             for r in batch.to_pylist():
@@ -137,18 +177,39 @@ def write_archives(pages: DataFrame, folder: str, shards: int | None = None, rol
                 revisit = r["key"] > lead and r["size"] >= least_bytes
                 page, first_page = (None if x == NULL_ID else x for x in (r["key"], lead))
                 sha1 = base64.b32encode(bytes.fromhex(r["digest"])).decode()
-                roller.add(page, make_record(page, r["url"], r["html"].encode(), r["size"], sha1, first_page, revisit))
+                roller.add(r["shard"], page, make_record(page, r["url"], r["html"].encode(), r["size"], sha1, first_page, revisit))
         roller.close()
-        columns = list(zip(*roller.done)) or [[]] * 7
-        kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["file", "shard", "records", "bytes", "sha1", "first_id", "last_id"])
+        yield _manifest_rows(roller.done)
 
-    ordered = both.repartitionByRange(shards, "key").sortWithinPartitions("key", "digest", "kind", "url")
-    manifest = ordered.mapInArrow(lean(write), MANIFEST)
-    manifest.write.parquet(f"{folder}/manifest")
+    ordered = both.withColumn("shard", shard).repartitionById(shards, "shard").sortWithinPartitions("shard", "key", "digest", "kind", "url")
+    ordered.mapInArrow(lean(write), STAGED).write.parquet(f"{folder}/_staged")
+
+    def publish(batches):
+        store, path = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for r in batch.to_pylist():
+                attempt = f"{path}/_attempts/{r['attempt']}"
+                if store.get_file_info(attempt).type == fs.FileType.File:
+                    store.move(attempt, f"{path}/{r['file']}")
+                if store.get_file_info(f"{path}/{r['file']}").size != r["bytes"]:
+                    raise ValueError(f"{r['file']} is not as its manifest says")
+            yield batch.drop_columns(["attempt"])
+
+    staged = spark.read.schema(STAGED).parquet(f"{folder}/_staged")
+    staged.mapInArrow(lean(publish), MANIFEST).write.parquet(f"{folder}/manifest")
+    store, path = fs.FileSystem.from_uri(folder)
+    for name in ("_attempts", "_staged"):
+        if store.get_file_info(f"{path}/{name}").type == fs.FileType.Directory:
+            store.delete_dir(f"{path}/{name}")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
+def _manifest_rows(done: list[tuple]) -> pa.RecordBatch:
+    names = ["attempt", "file", "shard", "records", "bytes", "sha1", "first_id", "last_id"]
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*done)) or [[]] * len(names), kinds)], names=names)
+
+
 def read_records(stream, size: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record of a file of compressed members; one record is held at a time."""
     rest = b""

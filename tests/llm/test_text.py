@@ -1,3 +1,5 @@
+import gzip
+import os
 import random
 import zlib
 
@@ -124,6 +126,39 @@ def test_warc(spark, tmp_path):
     assert warc.write_archives(pages.limit(0), f"file://{tmp_path}/c", 2).count() == 0
 
 
+def test_warc_is_deterministic(spark, tmp_path):
+    """Equal tables give equal files, however they are partitioned, and shards hold about as many rows."""
+    rows = [(i * i % 100_003 if i else -(2**60), f"http://h/{i}", f"page {i % 700}") for i in range(6000)] + [(None, "n", "x")]
+    found = []
+    for k, parts in enumerate((3, 11)):
+        pages = spark.createDataFrame(rows[:: 1 - 2 * k], "page_id long, url string, html string").repartition(parts)
+        found.append(warc.write_archives(pages, f"file://{tmp_path}/{k}", 4).collect())
+        assert sorted(f for f in os.listdir(f"{tmp_path}/{k}") if not f.startswith((".", "_"))) == sorted(["manifest", *(r.file for r in found[k])])
+    assert sorted(map(tuple, found[0]), key=str) == sorted(map(tuple, found[1]), key=str)
+    assert len(found[0]) == 4 and max(r.records for r in found[0]) < 2200
+    assert warc.read_archives(spark.createDataFrame(found[0], warc.MANIFEST), f"file://{tmp_path}/0").count() == 6001
+
+
+def test_warc_detects_damage(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "some text", 5), (1, "u", "some text", 6)], "page_id long, url string, html string, digest int")
+    manifest = warc.write_archives(pages, f"file://{tmp_path}/a", 1)
+    file = tmp_path / "a" / manifest.first().file
+    raw = file.read_bytes()
+    at = raw.rindex(b"\x1f\x8b")
+    file.write_bytes(raw[:at] + gzip.compress(gzip.decompress(raw[at:]).replace(b"some text", b"same text")))
+    with pytest.raises(Exception, match="wrong digest"):
+        warc.read_archives(manifest, f"file://{tmp_path}/a").collect()
+
+
+@pytest.mark.parametrize("keys", [[], [7], [5] * 900 + [6], [*range(3000)], [-(2**63), *range(1000), 2**63 - 1]])
+def test_shard_bounds(spark, keys):
+    bounds = warc.shard_bounds(spark.createDataFrame([(k,) for k in keys], "key long"), 5)
+    assert bounds == sorted(bounds) and len(bounds) < 5
+    if len(set(keys)) > 900:
+        held = np.bincount(np.searchsorted(bounds, keys, "right"), minlength=5)
+        assert held.max() <= 1.3 * len(keys) / 5
+
+
 CASES = [
     (None, ""),
     ("", ""),
