@@ -4,8 +4,8 @@ The split of a text into pretokens is a deterministic automaton over character c
 comes from the tokenizer itself: each code point is probed once.  A text is cut into chunks; for every
 chunk the map from each entry state to its exit state is computed for all chunks at once, the maps are
 composed by a parallel prefix scan, and with the entry states known a last pass marks where pretokens
-start.  Whole pretokens are the second level's transitions; each distinct one is annotated, once, with
-the number of tokens the tokenizer emits for it.
+start.  Within a pretoken a second transducer, compiled from the merges, runs over the bytes and adds up
+the emitted-token counts that its transitions carry (merges.py); a distinct pretoken goes through it once.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from tokenizers import Tokenizer
 from . import regions as R
 from .lexicon import Lexicon
 from .memory import lean
+from .merges import MergeTransducer
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
@@ -66,15 +67,13 @@ class CountTransducer:
     """Counts the tokens of texts. tokenizer: a byte-level BPE with the usual split and no normalizer."""
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.split = self.tokenizer.pre_tokenizer
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        tokenizer = Tokenizer.from_file(path)
+        self.split = tokenizer.pre_tokenizer
+        self.special = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
         self.classes = np.full(0x110000, 255, np.uint8)
-        self.lexicon = Lexicon(self._encode)
-
-    def _encode(self, spans: list[bytes]) -> list[list[int]]:
-        """One pseudo id for each emitted token is enough for counts; ids are kept as they are."""
-        return [e.ids for e in self.tokenizer.encode_batch_fast([s.decode() for s in spans], add_special_tokens=False)]
+        self.merges = MergeTransducer(path)
+        # a lexicon keeps ids; one zero for each emitted token is enough for counts
+        self.lexicon = Lexicon(lambda spans: [bytes(self.merges.count(s)) for s in spans])
 
     def _probe(self, code: int) -> int:
         c = chr(code)

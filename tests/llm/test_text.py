@@ -1,4 +1,5 @@
 import gzip
+import json
 import os
 import random
 import zlib
@@ -10,7 +11,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from chronolake.llm import html_extraction, packing, quality_rules, sentencepiece_backend, token_counts, warc
+from chronolake.llm import html_extraction, merges, packing, quality_rules, sentencepiece_backend, token_counts, warc
 from chronolake.llm import regions as R
 
 from . import brute
@@ -33,6 +34,48 @@ def test_token_counts(small):
     assert token_counts.CountTransducer(path).count(data, offsets).tolist() == want
 
 
+def test_merge_transducer():
+    """Counts of pretokens are the library's, for words, runs and any bytes, also where transitions are let go."""
+    path = public_tokenizers.path(token_counts.TOKENIZER)
+    machine, model = merges.MergeTransducer(path), Tokenizer.from_file(path).model
+    letter = {b: c for c, b in merges.byte_alphabet().items()}
+    rng = random.Random(8)
+    spans = [bytes(rng.choice(b"aAb eintsh \xe9\xc3\xa4\xb8\xad-=_*.") for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    spans += [bytes([c]) * n for c in b" -=_*a0.\n" for n in range(1, 150)] + [bytes(rng.randrange(256) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    want = [len(model.tokenize("".join(letter[b] for b in s))) for s in spans]
+    assert [machine.count(s) for s in spans] == want
+    assert [len(machine.merged(s)) for s in spans[:300]] == want[:300]
+    merges.MOST, kept = 500, merges.MOST
+    try:
+        assert [machine.count(s) for s in spans[:2000]] == want[:2000] and len(machine.steps) < 1000
+    finally:
+        merges.MOST = kept
+
+
+def test_merges_out_of_order(tmp_path):
+    """Where a merge needs a token that a later one makes, the merge process itself decides what fits."""
+    letter = {b: c for c, b in merges.byte_alphabet().items()}
+    vocab = [letter[b] for b in range(256)] + ["abc", "bc", "ab", "cd"]
+    model = {"type": "BPE", "vocab": {t: k for k, t in enumerate(vocab)}, "merges": [["a", "bc"], ["b", "c"], ["a", "b"], ["c", "d"]]}
+    (tmp_path / "t.json").write_text(json.dumps({"version": "1.0", "added_tokens": [], "model": model}))
+    machine, own = merges.MergeTransducer(str(tmp_path / "t.json")), Tokenizer.from_file(str(tmp_path / "t.json")).model
+    rng = random.Random(2)
+    for _ in range(2000):
+        s = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 12)))
+        assert machine.count(s.encode()) == len(own.tokenize(s))
+
+
+def test_count_tokens_edges(spark, edge_rows):
+    path = public_tokenizers.path(token_counts.TOKENIZER)
+    rows = [*edge_rows, (8, "tail " * 60_000 + "<|endoftext|>", 7, "k", None, "b", 2, 9, 1, None, None, 3, 4)]
+    docs = spark.createDataFrame(rows, CLASHING)
+    got = token_counts.count_tokens(docs, path).collect()
+    want = [len(Tokenizer.from_file(path).encode(r[1] or "", add_special_tokens=False).ids) for r in rows]
+    assert [(r.n_tokens, r.over_limit) for r in got] == [(n, n > 512) for n in want] and {r.own for r in got} == {3}
+    assert [r.n_bytes for r in got] == [len((r[1] or "").encode()) for r in rows]
+    assert token_counts.count_tokens(docs.limit(0), path).count() == 0
+
+
 def test_sentencepiece_parity_of_whole_texts(small):
     path = public_tokenizers.path(sentencepiece_backend.MODEL)
     texts = mixed(seed=4) + [t or "" for _, t in small]
