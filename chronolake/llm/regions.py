@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -228,27 +229,29 @@ def _spread(anchor: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.where(anchor < 0, anchor ^ (mix(doc.astype(np.int64).view(U)) >> U(1)).view(np.int64), anchor)
 
 
-def _collapse(plan: Plan, anchor, content, doc, start):
-    """Of regions with equal text: which are covered for sure, which to send on, and which of those are
-    known to be repeated (so need no cover of their own)."""
-    order = np.lexsort((start, doc, content, anchor))
-    a, c, d, s = anchor[order], content[order], doc[order], start[order]
-    head = np.append(True, (a[1:] != a[:-1]) | (c[1:] != c[:-1]))
-    group = np.cumsum(head) - 1
-    first = np.flatnonzero(head)
-    if plan.scope == "later":
-        same_place = np.append(False, ~head[1:] & (d[1:] == d[:-1]) & (s[1:] == s[:-1]))
-        at_first = (d == d[first][group]) & (s == s[first][group])
-        covered, sent, known = ~at_first, at_first & ~same_place, np.zeros(len(a), bool)
-    else:
-        last = np.append(first[1:], len(a)) - 1
-        repeated = (last > first) if plan.scope == "any" else (d[first] != d[last])
-        covered = repeated[group]
-        sent, known = head | ~covered, covered
-    out = [np.empty(len(a), bool) for _ in range(3)]
-    for x, y in zip(out, (covered, sent, known)):
-        x[order] = y
-    return out
+def _copies(raw: bytes, anchor: np.ndarray, content: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each region the first one of equal anchor and equal text: found by hash, confirmed on the bytes."""
+    order = np.lexsort((content, anchor))
+    same = np.append(False, (anchor[order][1:] == anchor[order][:-1]) & (content[order][1:] == content[order][:-1]))
+    lead = np.empty(len(order), np.int64)
+    lead[order] = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+    for k in np.flatnonzero(lead != np.arange(len(order))).tolist():
+        j = lead[k]
+        if raw[begin[k] : end[k]] != raw[begin[j] : end[j]]:
+            lead[k] = k
+    return lead
+
+
+def _mask_runs(mask: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of a mask of windows, which don't go on from one string (from base[k]) to the next: string, begin, end."""
+    if not len(mask):
+        return (np.zeros(0, np.int64),) * 3
+    front = np.zeros(len(mask), bool)
+    front[base] = True
+    begins = np.flatnonzero(mask & (front | ~np.append(False, mask[:-1])))
+    ends = np.flatnonzero(mask & (np.append(front[1:], True) | ~np.append(mask[1:], False))) + 1
+    string = np.searchsorted(base, begins, "right") - 1
+    return string, begins - base[string], ends - base[string]
 
 
 def merge_runs(group: np.ndarray, begin: np.ndarray, end: np.ndarray):
@@ -266,7 +269,7 @@ def merge_runs(group: np.ndarray, begin: np.ndarray, end: np.ndarray):
     return group[at], begin[at], np.maximum.reduceat(end, at)
 
 
-_SENT = pa.schema([("anchor", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("content", pa.int64()), ("known", pa.bool_()), ("twin", pa.bool_()), ("text", pa.binary())])
+_SENT = pa.schema([("anchor", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("ref", pa.int64()), ("twin", pa.bool_()), ("text", pa.binary())])
 _COVER = pa.schema([("doc", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
 
 
@@ -279,8 +282,12 @@ def repeated_ranges(docs: DataFrame, plan: Plan, compare: Callable) -> DataFrame
     scope "docs" also ``grp`` (long), within which windows are compared, and other columns but not those
     of the steps here (found, doc).
 
-    compare(plan, strings, docs, windows) gets different regions, sorted by place, and gives a mask of their
-    windows, in order: whether each is covered.
+    compare(plan, strings, windows, copies) gets the different texts around some anchors, sorted by the first
+    place of each, with their numbers of windows and of copies. It gives the windows that may occur at
+    more than one place (numbered through all strings) in classes of equal ones, and where each class begins. What
+    is covered follows from the classes alone, for copies of a text as for the text itself.
+
+    Copies of a text travel without it: a task sends one text of each kind and places that refer to it.
     """
     hot = hot_cells(docs, plan)
     packed = np.packbits(hot)
@@ -309,6 +316,7 @@ def repeated_ranges(docs: DataFrame, plan: Plan, compare: Callable) -> DataFrame
     joined = docs.join(by_doc.hint("shuffle_merge"), F.col("key") == F.col("doc")).drop("doc")
 
     def cut(batches):
+        task, counted = TaskContext.get().partitionId(), 0
         for batch, i, j, data, offsets in _per_chunk(batches):
             lists = batch.column("found").slice(i, j - i)
             flat = lists.flatten()
@@ -323,82 +331,86 @@ def repeated_ranges(docs: DataFrame, plan: Plan, compare: Callable) -> DataFrame
             first = rows[row] + start
             fits = first + windows + plan.width - 1 <= rows[row + 1]  # else another row with this id has it
             row, anchor, start, windows, twin, key, first = (x[fits] for x in (row, anchor, start, windows, twin, key, first))
-            content = span_hashes(hashes, first, first + windows + plan.width - 1, _BASE_S).view(np.int64)
-            covered, sent, known = _collapse(plan, anchor, content, key, start)
-            doc, begin, end = merge_runs(key[covered], start[covered], (start + windows)[covered] + plan.width - 1)
-            n = len(doc)
-            if n:
-                spot = mix(doc.astype(np.int64).view(U) + begin.view(U)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(spot), pa.array(doc), pa.array(begin), pa.nulls(n, pa.int32()), pa.array(end), *[pa.nulls(n, pa.bool_())] * 2, pa.nulls(n, pa.binary())], schema=_SENT)
-            a, b = to_bytes(first[sent], (first + windows)[sent] + plan.width - 1)
+            content = span_hashes(hashes, first, first + windows + plan.width - 1, _BASE_S)
+            a, b = to_bytes(first, first + windows + plan.width - 1)
             lo = int(offsets[0])
             raw = data[lo : int(offsets[-1])].tobytes()
-            text = [raw[x:y] for x, y in zip((a - lo).tolist(), (b - lo).tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[sent]), pa.array(key[sent]), pa.array(start[sent]), pa.array(windows[sent].astype(np.int32)), pa.array(content[sent]), pa.array(known[sent]), pa.array(twin[sent]), pa.array(text, pa.binary())], schema=_SENT)
+            a, b = (a - lo).tolist(), (b - lo).tolist()
+            lead = _copies(raw, anchor, content, np.array(a), np.array(b))
+            text = [raw[a[k] : b[k]] if k == j else None for k, j in enumerate(lead.tolist())]
+            ref = (np.int64(task) << np.int64(40)) + counted + lead
+            counted += len(lead)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(key), pa.array(start), pa.array(windows.astype(np.int32)), pa.array(ref), pa.array(twin), pa.array(text, pa.binary())], schema=_SENT)
 
     def settle(rows: list[pa.RecordBatch]):
-        table = pa.Table.from_batches(rows)
-        anchor, doc, start, windows, content = (table.column(c).to_numpy().astype(np.int64) for c in ("anchor", "doc", "start", "windows", "content"))
-        known = table.column("known").to_numpy(zero_copy_only=False).astype(bool)
-        covered, sent, again = _collapse(plan, anchor, content, doc, start)
-        # known of any row of a text holds for all of them
-        order = np.lexsort((content, anchor))
-        head = np.append(True, (anchor[order][1:] != anchor[order][:-1]) | (content[order][1:] != content[order][:-1]))
+        table = pa.Table.from_batches(rows).combine_chunks()
+        anchor, doc, start, windows, ref = (table.column(c).to_numpy().astype(np.int64) for c in ("anchor", "doc", "start", "windows", "ref"))
+        text = table.column("text").chunk(0)
+        # regions of equal anchor and bytes are one group; those without a text have that of their lead
+        leads = np.flatnonzero(text.is_valid().to_numpy(zero_copy_only=False))
+        named = text.take(pa.array(leads)).dictionary_encode().indices.to_numpy()
+        order = np.argsort(ref[leads], kind="stable")
+        name = named[order[np.searchsorted(ref[leads][order], ref)]]
+        order = np.lexsort((start, doc, name, anchor))
+        head = np.append(True, (anchor[order][1:] != anchor[order][:-1]) | (name[order][1:] != name[order][:-1]))
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(head) - 1
-        some = np.zeros(int(head.sum()), bool)
-        some[group[known]] = True
-        if plan.scope != "later":
-            covered |= some[group]
-        whole = covered & ~known
-        yield _cover_batch(*merge_runs(doc[whole], start[whole], (start + windows)[whole] + plan.width - 1))
-        # one of each text takes part, unless it has its anchor to itself
-        one = np.zeros(len(order), bool)
-        one[sent] = True
-        if plan.scope != "later":
-            pick = np.lexsort((start, doc, group))
-            lead = np.append(True, group[pick][1:] != group[pick][:-1])
-            one[:] = False
-            one[pick[lead]] = True
-        at = np.flatnonzero(one)
-        at = at[np.lexsort((start[at], doc[at]))]
-        names, inverse, counts = np.unique(anchor[at], return_inverse=True, return_counts=True)
+        first = order[head]  # the first place of each group
+        _, inverse, often = np.unique(anchor, return_inverse=True, return_counts=True)
+        twin = table.column("twin").to_numpy(zero_copy_only=False).astype(bool)
+        use = often[inverse[first]] > 1
         if plan.scope != "docs":
-            alone = counts[inverse] == 1
-            twin = table.column("twin").to_numpy(zero_copy_only=False).astype(bool)
-            at = at[~alone | twin[at]]
-        else:
-            at = at[counts[inverse] > 1]
-        if not len(at):
+            use |= twin[first]
+        if not use.any():
             return
-        strings = table.column("text").take(pa.array(at)).to_pylist()
-        mask = compare(plan, strings, doc[at], windows[at])
-        # the places of each text that still need their own cover
-        base = np.cumsum(windows[at]) - windows[at]
-        which, rows = np.arange(len(at)), at
-        if plan.scope == "docs":
-            of = np.full(len(some), -1)
-            of[group[at]] = np.arange(len(at))
-            rows = np.flatnonzero((of[group] >= 0) & ~covered & ~known)
-            which = of[group[rows]]
-        n = windows[rows]
-        offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        hit = np.flatnonzero(mask[np.repeat(base[which], n) + offset])
-        row = np.repeat(rows, n)[hit]
-        begin = start[row] + offset[hit]
-        yield _cover_batch(*merge_runs(doc[row], begin, begin + plan.width))
+        groups = np.flatnonzero(use)
+        groups = groups[np.lexsort((start[first[groups]], doc[first[groups]]))]
+        number = np.full(len(first), -1)
+        number[groups] = np.arange(len(groups))
+        rows = np.flatnonzero(number[group] >= 0)
+        of = number[group[rows]]
+        source = np.empty(len(first), np.int64)
+        source[group[leads]] = leads
+        strings = text.take(pa.array(source[groups])).to_pylist()
+        size = windows[first[groups]]
+        base = np.cumsum(size) - size
+        copies = np.bincount(of, minlength=len(groups))
+        numbers, heads = compare(plan, strings, size, copies)
+        mask = np.zeros(int(size.sum()), bool)
+        if len(numbers):
+            lengths = np.diff(np.append(heads, len(numbers)))
+            owner = np.searchsorted(base, numbers, "right") - 1
+            if plan.scope == "docs":
+                low, high = np.full(len(groups), 2**63 - 1), np.full(len(groups), -(2**63))
+                np.minimum.at(low, of, doc[rows])
+                np.maximum.at(high, of, doc[rows])
+                mask[numbers] = np.repeat(np.minimum.reduceat(low[owner], heads) != np.maximum.reduceat(high[owner], heads), lengths)
+            else:
+                mask[numbers] = np.repeat(np.add.reduceat(copies[owner], heads) > 1, lengths)
+        if plan.scope == "later":  # at a text's first place, the first window of a class stays
+            lead = first[groups[of]]
+            again = (doc[rows] != doc[lead]) | (start[rows] != start[lead])
+            yield _cover_batch(*spread(rows[again], of[again], mask, base, doc, start))
+            if len(numbers):
+                mask[np.minimum.reduceat(numbers, heads)] = False
+            rows, of = rows[~again], of[~again]
+        yield _cover_batch(*spread(rows, of, mask, base, doc, start))
+
+    def spread(rows, of, mask, base, doc, start):
+        """Ranges of documents that the masked windows of each row's string cover."""
+        string, begin, end = _mask_runs(mask, base)
+        count = np.bincount(string, minlength=len(base))[of]
+        row = np.repeat(rows, count)
+        at = np.arange(len(row)) + np.repeat(np.searchsorted(string, of) - (np.cumsum(count) - count), count)
+        return merge_runs(doc[row], start[row] + begin[at], start[row] + end[at] + plan.width - 1)
 
     def shard(batches):
-        held, size, last = [], 0, None
+        held, size = [], 0
         for batch in batches:
-            cover = batch.filter(batch.column("text").is_null())
-            if cover.num_rows:
-                yield pa.RecordBatch.from_arrays([cover.column("doc"), cover.column("start"), cover.column("content")], schema=_COVER)
-            batch = batch.filter(batch.column("text").is_valid())
             if not batch.num_rows:
                 continue
             held.append(batch)
-            size += batch.column("text").nbytes
+            size += batch.nbytes
             if size >= CHUNK_BYTES:  # settle up to the last anchor, which may go on
                 table = pa.Table.from_batches(held).combine_chunks()
                 anchor = table.column("anchor").to_numpy()
@@ -406,9 +418,9 @@ def repeated_ranges(docs: DataFrame, plan: Plan, compare: Callable) -> DataFrame
                 if cutoff:
                     yield from settle(table.slice(0, cutoff).to_batches())
                     held = table.slice(cutoff).to_batches()
-                    size = sum(x.column("text").nbytes for x in held)
+                    size = sum(x.nbytes for x in held)
         if held:
             yield from settle(held)
 
-    sent = joined.mapInArrow(lean(cut), "anchor long, doc long, start long, windows int, content long, known boolean, twin boolean, text binary")
+    sent = joined.mapInArrow(lean(cut), "anchor long, doc long, start long, windows int, ref long, twin boolean, text binary")
     return sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lean(shard), "doc long, begin long, end long")

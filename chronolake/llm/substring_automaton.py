@@ -32,40 +32,47 @@ def _symbols(strings: list[bytes]) -> list[str]:
     return out
 
 
-def confirmed_passages(texts: list[str], width: int) -> set[str]:
-    """Longest runs whose windows each start at two places or more."""
-    seen = Counter(t[i : i + width] for t in texts for i in range(len(t) - width + 1))
-    found = set()
+def recurring_passages(texts: list[str], copies: list[int], width: int) -> list[str]:
+    """The longest phrases that recur as a whole: runs of windows at two places or more, of which each is
+    always followed by the next. So every place of a recurring window lies in a place of its passage."""
+    seen, joined = Counter(), Counter()
+    for t, n in zip(texts, copies):
+        for k in range(len(t) - width + 1):
+            seen[t[k : k + width]] += n
+        for k in range(len(t) - width):
+            joined[t[k : k + width + 1]] += n
+    found: dict[str, None] = {}
     for t in texts:
-        begin = None
-        for i in range(len(t) - width + 2):
-            if i <= len(t) - width and seen[t[i : i + width]] > 1:
-                begin = i if begin is None else begin
-            elif begin is not None:
-                found.add(t[begin : i + width - 1])
-                begin = None
-    return found
-
-
-def covered_by_automaton(plan: R.Plan, strings: list[bytes], docs: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """Mask of the windows of strings that lie in an occurrence of a confirmed passage."""
+        k, last = 0, len(t) - width
+        while k <= last:
+            n, end = seen[t[k : k + width]], k
+            if n > 1:
+                while end < last and seen[t[end + 1 : end + 1 + width]] == joined[t[end : end + width + 1]] == n:
+                    end += 1
+                found[t[k : end + width]] = None
+            k = end + 1
+    return list(found)
+
+
+def classes_by_automaton(plan: R.Plan, strings: list[bytes], windows: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of strings that lie in an occurrence of a recurring passage, by passage and place in it, and
+    where each such class begins. The occurrences come from an automaton over all passages."""
     texts = _symbols(strings)
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for passage in confirmed_passages(texts, plan.width):
-        automaton.add_word(passage)
-    total = int(windows.sum())
-    edge = np.zeros(total + 1, np.int64)
-    if len(automaton):
-        automaton.make_automaton()
-        base = (np.cumsum(windows) - windows).tolist()
-        opens, closes = [], []
-        for b, t in zip(base, texts):
-            for end, length in automaton.iter(t):
-                opens.append(b + end - length + 1)
-                closes.append(b + end - plan.width + 2)
-        np.add.at(edge, opens, 1)
-        np.add.at(edge, closes, -1)
-    return np.cumsum(edge[:-1]) > 0
+    automaton = ahocorasick.Automaton()
+    sizes = []
+    for passage in recurring_passages(texts, copies.tolist(), plan.width):
+        automaton.add_word(passage, (len(sizes), len(passage)))
+        sizes.append(len(passage) - plan.width + 1)
+    if not sizes:
+        return (np.zeros(0, np.int64),) * 2
+    automaton.make_automaton()
+    hits = [(number, b + end - length + 1) for b, t in zip((np.cumsum(windows) - windows).tolist(), texts) for end, (number, length) in automaton.iter(t)]
+    passage, at = np.array(hits, np.int64).T
+    size = np.array(sizes)[passage]
+    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    numbers, classes = np.repeat(at, size) + place, np.repeat((np.cumsum(sizes) - sizes)[passage], size) + place
+    order = np.lexsort((numbers, classes))
+    return numbers[order], np.flatnonzero(np.append(True, np.diff(classes[order]) != 0))
 
 
 def remove_passages(docs: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -74,8 +81,8 @@ def remove_passages(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 
     Words are runs of characters other than space and tab to carriage return, taken unchanged. Returns
     docs with (in place of columns of these names) ``kept`` (binary: the words left, joined by one space),
-    n_words and n_removed. Passages are confirmed in the shard of their anchor and compiled there; every
-    document streams its text around that anchor through the shard's automaton.
+    n_words and n_removed. Recurring passages are confirmed in the shard of their anchor and compiled there;
+    the text that documents have around that anchor streams through the shard's automaton, copies of it as one.
 
     A null text has no words; texts shorter than width stay whole; a null doc_id is an id of its own.
     Rows that repeat a doc_id share one result and count as places of their own, so a row given twice
@@ -108,7 +115,7 @@ def remove_passages(docs: DataFrame, width: int = WINDOW) -> DataFrame:
                 left = np.diff(np.append(0, np.cumsum(keep))[at])
                 yield pa.RecordBatch.from_arrays([*take(batch, fields, i, j), pa.array(kept, pa.binary()), pa.array(n_words.astype(np.int64)), pa.array((n_words - left).astype(np.int64))], names=[*(f.name for f in fields), "kept", "n_words", "n_removed"])
 
-    return with_ranges(docs, plan, covered_by_automaton).mapInArrow(lean(remove), schema)
+    return with_ranges(docs, plan, classes_by_automaton).mapInArrow(lean(remove), schema)
 
 
 def op10_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,23 +16,17 @@ ANCHOR = 24
 RESULT = ("kept", "n_bytes", "n_removed", "n_spans")
 
 
-def covered_by_suffix_order(plan: R.Plan, strings: list[bytes], docs: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """Mask of the windows of strings that an equal window comes before (scope "later"), or that another
-    document has too (scope "docs")."""
+def classes_by_suffix_order(plan: R.Plan, strings: list[bytes], windows: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of strings in suffix order, and where each class of equal ones begins. Classes of one window in
+    a string without copies are left out."""
     text, starts = join_strings(strings)
     lengths = np.fromiter(map(len, strings), np.int64, len(strings))
     order, classes = window_classes(text, starts, lengths, plan.width)
-    head = np.flatnonzero(np.diff(classes, prepend=-1))
+    head = np.append(True, classes[1:] != classes[:-1]) if len(order) else np.zeros(0, bool)
     of = np.searchsorted(starts, order, "right") - 1
+    keep = ~head | np.append(~head[1:], False) | (copies[of] > 1)
     number = order + (np.cumsum(windows) - windows - starts)[of]
-    sizes = np.diff(np.append(head, len(order)))
-    if plan.scope == "docs":
-        hit = np.repeat(np.minimum.reduceat(docs[of], head) != np.maximum.reduceat(docs[of], head), sizes)
-    else:
-        hit = order != np.repeat(np.minimum.reduceat(order, head), sizes)
-    mask = np.zeros(int(windows.sum()), bool)
-    mask[number[hit]] = True
-    return mask
+    return number[keep], np.flatnonzero(head[keep])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -110,7 +104,7 @@ def dedup_substrings(docs: DataFrame, width: int = WINDOW) -> DataFrame:
                     spans.append(len(begin))
                 yield pa.RecordBatch.from_arrays([*take(batch, fields, i, j), pa.array(kept, pa.binary()), pa.array(np.diff(offsets[i : j + 1])), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], names=[*(f.name for f in fields), "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return with_ranges(docs, plan, covered_by_suffix_order).mapInArrow(lean(remove), schema)
+    return with_ranges(docs, plan, classes_by_suffix_order).mapInArrow(lean(remove), schema)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,4 +145,4 @@ def dedup_texts(docs: DataFrame, width: int = WINDOW) -> DataFrame:
                 out["n_chars"] = pa.array([None if t is None else len(t) for t in texts], kind)
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    return with_ranges(docs, plan, covered_by_suffix_order).mapInArrow(lean(remove), docs.schema)
+    return with_ranges(docs, plan, classes_by_suffix_order).mapInArrow(lean(remove), docs.schema)

@@ -211,6 +211,9 @@ CASES = [
     ("<article><script>var a='</p>';</script><style>p{}</style>ok<!-- <p>no</p> --> go</article>", "ok go"),
     ("<article>1 < 2 &lt;b&gt; &#65;&nbsp;&nbsp;z<span> q</span></article>", "1 < 2 <b> A z q"),
     ("<article><p>a<nav><p>n</nav>b</article><p>outside", "a\n\nb"),
+    ("<article>Body</article><article class='comment'>Nice post!</article><article class='promo box'>Buy</article>", "Body"),
+    ("<article class='post no-comments'><p>a</p><div class='related-work'>b</div><div class='related-posts'>c</div><p class='ad-slot'>d</p></article>", "a\n\nb"),
+    ("<main class='has-sidebar'>a<ul><li>b<li>c</ul></main>", "a\n\nb\n\nc"),
 ]
 
 
@@ -220,6 +223,48 @@ def test_page_cases(spark, page, text):
     assert [(r.page_id, r.text, r.n_chars) for r in rows] == [(1, text, len(text))]
 
 
+def test_page_edges(spark):
+    """Repeated and null ids, columns that clash with the operator's, a very long page."""
+    long = "<p>" + " ".join(f"word{i}" for i in range(60_000)) + "</p>"
+    rows = [(1, "http://h/", "<article>a</article>", 1, "x"), (1, "http://h/", "<article>b</article>", 2, "x"), (None, None, "<article>c</article>", 3, None), (None, "no url", "<p>own</p>", 4, None), (2, "//h", long, 5, "y"), (3, "http://h", None, 6, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, key int, text string")
+    got = html_extraction.extract(pages).collect()
+    assert sorted(((r.page_id or 0), r.text) for r in got) == [(0, "c"), (0, "own"), (1, "a"), (1, "b"), (2, long[3:-4]), (3, "")]
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
+def test_pages_without_article_equal_brute_force(spark):
+    """What 48 bytes or more of share with other pages of the host decides, as counted in plain Python."""
+    rng = random.Random(4)
+    shared = [" ".join(f"s{k}x{rng.randrange(10**6)}" for _ in range(12)) for k in range(6)]
+    rows = []
+    for i in range(60):
+        blocks = [rng.choice(shared) if rng.random() < 0.4 else " ".join(f"o{rng.randrange(10**6)}" for _ in range(rng.randint(3, 20))) for _ in range(6)]
+        if i % 7 == 0:
+            blocks.append(shared[i % 6][:60].strip() + " " + " ".join(f"t{rng.randrange(10**6)}" for _ in range(rng.choice((3, 25)))))
+        rows.append((i, f"http://h{i % 3}/", blocks))
+    whole = " ".join(f"w{k}x{rng.randrange(10**6)}" for k in range(12))
+    rows += [(100, "http://h9/", [whole, whole[:60].strip() + " own tail"]), (101, "http://h9/", [whole])]
+    pages = spark.createDataFrame([(i, u, "".join(f"<div>{b}</div>" for b in bs)) for i, u, bs in rows], "page_id long, url string, html string").repartition(4)
+    holders = {}
+    for i, u, bs in rows:
+        t = " ".join(bs)
+        for k in range(len(t) - html_extraction.RUN + 1):
+            holders.setdefault((u, t[k : k + html_extraction.RUN]), set()).add(i)
+    want = {}
+    for i, u, bs in rows:
+        t, at, own = " ".join(bs), 0, []
+        mask = [False] * len(t)
+        for k in range(len(t) - html_extraction.RUN + 1):
+            if len(holders[u, t[k : k + html_extraction.RUN]]) > 1:
+                mask[k : k + html_extraction.RUN] = [True] * html_extraction.RUN
+        for b in bs:
+            own += [b] if 2 * sum(mask[at : at + len(b)]) < len(b) else []
+            at += len(b) + 1
+        want[i] = "\n\n".join(own)
+    assert {r.page_id: r.text for r in html_extraction.extract(pages).collect()} == want
+
+
 def test_host_boilerplate(spark):
     bar = "<div>Home of the daily news and more, all rights reserved by the publisher of this site</div>"
     rows = [(i, f"http://Site.example:80/{i}", f"<body>{bar}<div>own story number {i} with its own words {i * 7919}</div></body>") for i in range(6)]
