@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .store import saved
 
+#: Nodes are hot that have more edges than both HOT_EDGES and a MOST_HOT-th of all.
+HOT_EDGES, MOST_HOT = 256, 4096
+
 
 def _mark(edges: DataFrame) -> tuple:
     """Tells one set of edges from another."""
@@ -14,22 +17,32 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.shiftright(h, 20)), F.sum(h.bitwiseAND(F.lit((1 << 20) - 1)))).first())
 
 
+def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """Adds m, the least of a, to edges (a, b). least: u, m, n (the number of u's edges, total in all). Nodes that have
+    more than a MOST_HOT-th of all edges are MOST_HOT at most: they are broadcast, so their edges stay where they are."""
+    hot = least.filter(F.col("n") > max(HOT_EDGES, total // MOST_HOT)).select(F.col("u").alias("hot"), F.col("m").alias("hot_m"))
+    marked = edges.join(F.broadcast(hot), edges.a == F.col("hot"), "left")
+    met = marked.filter("hot is not null").select("a", "b", F.col("hot_m").alias("m"))
+    return met.unionByName(marked.filter("hot is null").select("a", "b").join(least.select("u", "m"), F.col("a") == F.col("u")).select("a", "b", "m"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long, undirected). Returns node and component, the smallest node reachable, for every node
     that an edge with different ends has. No edges give no rows; loops and repeated edges are ignored.
 
-    Minima are aggregated before they are shuffled, so a node with very many neighbours is no hot key of
-    an aggregation; joins on it can be split.
+    Minima are aggregated before they are shuffled, and edges of nodes with very many neighbours meet them
+    by broadcast, so such a node is no hot key.
     """
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
     pairs = saved(pairs, "edges")
     before = _mark(pairs)
+    own = [F.min("b").alias("m"), F.count(F.lit(1)).alias("n")]
     while before[0]:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, both.a == least.u).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
-        least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        moved = large.join(least, large.a == least.u).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy(F.col("a").alias("u")).agg(*own).select("u", F.least("u", "m").alias("m"), "n")
+        large = _with_least(both, least, 2 * before[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
+        least = large.groupBy(F.col("a").alias("u")).agg(*own)
+        moved = _with_least(large, least, before[0]).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         pairs = saved(moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
         after = _mark(pairs)
         if after == before:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,22 +23,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def _collect_garbage(spark: SparkSession) -> None:
-    """Lets go of finished queries' plans, here and in the JVM, which then removes their shuffle files."""
-    for _ in range(2):  # the listeners hold a plan until they have seen its end
-        time.sleep(0.4)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+def _next_shuffle(spark: SparkSession) -> int:
+    return spark.sparkContext._jsc.sc().newShuffleId()
+
+
+def _drop_shuffles(spark: SparkSession, first: int, last: int) -> None:
+    """Removes the shuffle files of a finished query, whose numbers lie in between. Where other jobs are
+    running, which may have some of the numbers, files are left to Spark's own cleaner."""
+    context = spark.sparkContext
+    cleaner = context._jsc.sc().cleaner()
+    if cleaner.isDefined() and not context.statusTracker().getActiveJobsIds():
+        for number in range(first + 1, last):
+            cleaner.get().doCleanupShuffle(number, False)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet to the shared folder and read back: cuts its lineage, and the files
-    outlive the executors. The shuffle files behind it go as soon as the driver has collected its garbage,
-    which is asked for here, so a chain of steps holds the files of one step at a time."""
+    outlive the executors. The shuffle files behind it are then removed, so a chain of steps holds the
+    files of one step at a time."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/chronolake/{name}-{uuid.uuid4().hex}"
+    first = _next_shuffle(spark)
     df.write.parquet(path)
+    _drop_shuffles(spark, first, _next_shuffle(spark))
     schema = df.schema
     del df
-    _collect_garbage(spark)
+    gc.collect()
     return spark.read.schema(schema).parquet(path)

@@ -3,7 +3,9 @@ import hashlib
 import numpy as np
 import pytest
 
-from chronolake.llm import bag_minhash, embedding_dedup, substring_automaton, substring_suffix
+from chronolake.llm import bag_minhash
+from chronolake.llm import components as components_of
+from chronolake.llm import embedding_dedup, substring_automaton, substring_suffix
 from chronolake.llm.components import components
 
 from . import brute
@@ -114,6 +116,45 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicate_vectors(vectors.limit(0)).count() == 0
 
 
+def test_hot_nodes(spark, monkeypatch):
+    """Nodes with very many neighbours are met by broadcast; the result is the same."""
+    monkeypatch.setattr(components_of, "HOT_EDGES", 8)
+    monkeypatch.setattr(components_of, "MOST_HOT", 40)
+    rng = np.random.default_rng(9)
+    pairs = [(5000, i) for i in range(200)] + [(i, 7000 + i) for i in range(0, 200, 3)] + [(9000 + i, 100 + i) for i in range(40)] + [(int(a), int(b)) for a, b in rng.integers(20_000, 20_400, (300, 2))]
+    got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    nodes = {x for p in pairs if p[0] != p[1] for x in p}
+    assert got == brute.components(nodes, [p for p in pairs if p[0] != p[1]])
+
+
+def test_embedding_edges(spark, monkeypatch):
+    """A bucket of several blocks, repeated and null ids, a column whose name clashes."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal(8)
+    rows = [(i, [float(x) for x in base + rng.standard_normal(8) * (0.03 if i % 5 else 2.0)], 1, i) for i in range(150)]
+    rows += [(3, [float(x) for x in base], 1, 0), (None, [float(x) for x in -base], 1, 0), (None, [float(x) for x in -2 * base], 1, 1)]
+    units = [np.array(v, np.float32).astype(float) / np.linalg.norm(np.array(v, np.float32).astype(float)) for _, v, _, _ in rows]
+    links = [sum(a @ b >= 0.93 for b in units) - 1 for a in units]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, key int").repartition(3)
+    got = sorted((-1 if r.vec_id is None else r.vec_id, r.n_links) for r in embedding_dedup.near_duplicate_vectors(vectors).collect())
+    assert got == sorted((-1 if r[0] is None else r[0], n) for r, n in zip(rows, links))
+
+
+def test_recall_of_bag_minhash(spark):
+    """No link of brute force is missed among all documents of a table."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: r.component_id for r in bag_minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute.near_components(rows)
+
+
+def test_null_ids_are_one_document(spark):
+    """Rows without an id stand for one document, however many there are."""
+    rows = [(None, f"own{i} " * 3 + "the same passage of words again " * 20) for i in range(30)] + [(7, "other words")]
+    for made in (substring_suffix.dedup_substrings(frame(spark, rows)), substring_automaton.remove_passages(frame(spark, rows))):
+        assert made.count() == 31 and made.filter("doc_id = 7").first().n_removed == 0
+
+
 def test_digest_of_query(spark):
     rows = substring_suffix.op2_suffix_dedup(spark, "/root/testdata/sf0.001")
     assert rows.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
