@@ -17,17 +17,20 @@ from .store import saved
 
 THRESHOLD = 0.93
 #: Chance that a pair just at the threshold shares no bucket; closer pairs have less.
-MISS = 0.001
+MISS = 0.0001
 #: Vectors of a block; a bucket of more is dealt to tasks by pairs of blocks.
 BLOCK = 1024
+#: Vectors of a bucket that have nothing in common: blocks are multiplied faster than they are moved.
+SHARED = 128
 SEED = 7
 LINKABLE = "label is not null and embedding is not null and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('inf')) and exists(embedding, x -> x <> 0)"
 
 
 def table_plan(most: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
-    """Signs of a code and number of tables for groups of up to ``most`` vectors: about four vectors that
-    have nothing in common share a code, and a pair at the threshold is missed with chance ``miss``."""
-    bits = min(24, max(10, math.ceil(math.log2(max(most, 4) / 4))))
+    """Signs of a code and number of tables for groups of up to ``most`` vectors: about SHARED vectors that
+    have nothing in common share a code, and a pair at the threshold is missed with chance ``miss``. The more
+    signs, the more tables are needed, and each table moves all vectors once."""
+    bits = min(24, max(4, math.ceil(math.log2(max(most, SHARED) / SHARED))))
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(miss) / math.log(1 - agree))
 
@@ -52,7 +55,7 @@ def unit_vectors(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _codes(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
-    """key, label, width and codes of the vectors that can be linked."""
+    """id, label, width and codes of the vectors that can be linked, and the codes as packed bytes."""
 
     def run(batches):
         planes: dict[int, np.ndarray] = {}
@@ -63,12 +66,17 @@ def _codes(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
                 if width not in planes:
                     planes[width] = np.random.default_rng(SEED).standard_normal((width, tables * bits))
                 signs = (units @ planes[width] > 0).reshape(n, tables, bits)
-                flat = pa.array((signs @ weights).astype(np.int32).ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * tables, pa.int32()), flat)
+                codes = (signs @ weights).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * tables, pa.int32()), pa.array(codes.ravel()))
+                packed = pa.array([c.tobytes() for c in codes.astype(_packed(bits))], pa.binary())
                 at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("label").take(at), pa.array(np.full(n, width), pa.int32()), lists], names=["key", "label", "width", "codes"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("label").take(at), pa.array(np.full(n, width), pa.int32()), lists, packed], names=["id", "label", "width", "codes", "packed"])
 
-    return vectors.select("key", "label", "embedding").mapInArrow(lean(run), "key long, label long, width int, codes array<int>")
+    return vectors.select("id", "label", "embedding").mapInArrow(lean(run), "id long, label long, width int, codes array<int>, packed binary")
+
+
+def _packed(bits: int) -> np.dtype:
+    return np.dtype("<u1" if bits <= 8 else "<u2" if bits <= 16 else "<u4")
 
 
 def _roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -84,13 +92,13 @@ def _roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _compare(batches, threshold: float):
+def _compare(batches, threshold: float, bits: int):
     """For each task (pair of blocks of a bucket): how many vectors each row links with that no earlier
     table has found, and a root that connects what is linked."""
 
     def settle(table: pa.Table):
         key, copies, side = (table.column(c).to_numpy() for c in ("key", "copies", "side"))
-        codes = np.asarray(table.column("codes").combine_chunks().flatten()).reshape(len(key), -1)
+        codes = np.frombuffer(b"".join(table.column("packed").to_pylist()), _packed(bits)).reshape(len(key), -1)
         turn = int(table.column("turn")[0].as_py())
         pairs = [np.zeros((2, 0), np.int64)]
         for rows, units in unit_vectors(table.column("embedding")):
@@ -150,7 +158,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD) ->
     one = known.join(classes.select("c1", "c2", "class", "copies"), ["c1", "c2"]).filter("key = class").dropDuplicates(["c1", "c2"])
     one = saved(one.select(F.xxhash64("c1", "c2").alias("id"), "key", "label", "embedding", "copies"), "vectors")
     # id tells classes apart where rows share a vec_id
-    coded = saved(_codes(one.select(F.col("id").alias("key"), "label", "embedding"), bits, tables).withColumnRenamed("key", "id"), "codes")
+    coded = saved(_codes(one.select("id", "label", "embedding"), bits, tables), "codes")
     buckets = coded.select("id", "label", "width", F.posexplode("codes").alias("turn", "code"))
     buckets = buckets.select("id", "turn", F.xxhash64("label", "width", "turn", "code").alias("bucket"))
     many = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -158,9 +166,9 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD) ->
     dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
     dealt = dealt.select("id", "turn", task.alias("task"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    work = dealt.join(one.select("id", "embedding", "copies"), "id").join(coded.select("id", "codes"), "id")
-    work = work.select("task", F.col("id").alias("key"), "turn", "side", "copies", "embedding", "codes").repartition("task").sortWithinPartitions("task")
-    found = saved(work.mapInArrow(lean(lambda batches: _compare(batches, threshold)), "key long, links long, root long"), "links")
+    work = dealt.join(one.select("id", "embedding", "copies"), "id").join(coded.select("id", "packed"), "id")
+    work = work.select("task", F.col("id").alias("key"), "turn", "side", "copies", "embedding", "packed").repartition("task").sortWithinPartitions("task")
+    found = saved(work.mapInArrow(lean(lambda batches: _compare(batches, threshold, bits)), "key long, links long, root long"), "links")
     groups = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("key").agg(F.sum("links").alias("links"))
     whole = one.select("id", F.col("key").alias("class")).join(groups, F.col("id") == F.col("node"), "left").join(counts, F.col("id") == F.col("key"), "left")
