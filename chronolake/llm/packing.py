@@ -21,8 +21,11 @@ TOKENIZER = "word_bpe_49k.json"
 CAPACITY, END_ID = 2048, 0
 #: A bin with less room than this is nearly full and final.
 NEARLY = 48
-#: Bins that a task hands on to the next round at most, those with most room first; the others are final
-#: as they are. It bounds what a round gets, and no item is lost by it.
+#: Bins that a task hands on to the next round at most, those with most room first. No merge is lost by it.
+#: After best-fit, longest first, at most one bin of a task is filled by half or less: the second one's first
+#: item would have gone into the first. Two bins filled by more don't fit together, so a task of the next
+#: round has at most FAN_IN bins to place, one of each task before, and needs no more hosts than that:
+#: the roomiest ones hold whatever any others could.
 HANDED_ON = 4096
 FAN_IN = 8
 #: Items of a task in the first round.

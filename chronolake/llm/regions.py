@@ -21,7 +21,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -269,7 +268,7 @@ def merge_runs(group: np.ndarray, begin: np.ndarray, end: np.ndarray):
     return group[at], begin[at], np.maximum.reduceat(end, at)
 
 
-_SENT = pa.schema([("anchor", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("ref", pa.int64()), ("twin", pa.bool_()), ("text", pa.binary())])
+_SENT = pa.schema([("anchor", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("copies", pa.int64()), ("high", pa.int64()), ("twin", pa.bool_()), ("text", pa.binary())])
 _COVER = pa.schema([("doc", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
 
 
@@ -282,12 +281,12 @@ def repeated_ranges(docs: DataFrame, plan: Plan, compare: Callable) -> DataFrame
     scope "docs" also ``grp`` (long), within which windows are compared, and other columns but not those
     of the steps here (found, doc).
 
-    compare(plan, strings, windows, copies) gets the different texts around some anchors, sorted by the first
-    place of each, with their numbers of windows and of copies. It gives the windows that may occur at
+    compare(plan, strings, windows, copies) gets different texts, sorted by the first place of each, with their numbers of windows and of copies. It gives the windows that may occur at
     more than one place (numbered through all strings) in classes of equal ones, and where each class begins. What
     is covered follows from the classes alone, for copies of a text as for the text itself.
 
-    Copies of a text travel without it: a task sends one text of each kind and places that refer to it.
+    Copies are aggregated before they are shuffled: a task compares the texts that it has several of by
+    itself and sends one of each kind, so a large group of copies costs its shard a row for each chunk.
     """
     hot = hot_cells(docs, plan)
     packed = np.packbits(hot)
@@ -316,7 +315,6 @@ def repeated_ranges(docs: DataFrame, plan: Plan, compare: Callable) -> DataFrame
     joined = docs.join(by_doc.hint("shuffle_merge"), F.col("key") == F.col("doc")).drop("doc")
 
     def cut(batches):
-        task, counted = TaskContext.get().partitionId(), 0
         for batch, i, j, data, offsets in _per_chunk(batches):
             lists = batch.column("found").slice(i, j - i)
             flat = lists.flatten()
@@ -337,76 +335,103 @@ def repeated_ranges(docs: DataFrame, plan: Plan, compare: Callable) -> DataFrame
             raw = data[lo : int(offsets[-1])].tobytes()
             a, b = (a - lo).tolist(), (b - lo).tolist()
             lead = _copies(raw, anchor, content, np.array(a), np.array(b))
-            text = [raw[a[k] : b[k]] if k == j else None for k, j in enumerate(lead.tolist())]
-            ref = (np.int64(task) << np.int64(40)) + counted + lead
-            counted += len(lead)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(key), pa.array(start), pa.array(windows.astype(np.int32)), pa.array(ref), pa.array(twin), pa.array(text, pa.binary())], schema=_SENT)
+            # the first place of each text stands for its copies; what several places show is decided here
+            order = np.lexsort((start, key, lead))
+            head = np.append(True, lead[order][1:] != lead[order][:-1])
+            group = np.empty(len(order), np.int64)
+            group[order] = np.cumsum(head) - 1
+            first = order[head]
+            copies, high = np.bincount(group, minlength=len(first)), np.full(len(first), NULL_ID)
+            np.maximum.at(high, group, key)
+            # a document's own copies say nothing yet where other documents are asked for
+            whole = copies > 1 if plan.scope != "docs" else high > key[first]
+            rows = np.flatnonzero(whole[group])
+            if len(rows):
+                number = np.cumsum(whole) - 1
+                strings = [raw[a[k] : b[k]] for k in first[whole].tolist()]
+                yield as_sent(decide(strings, windows[first[whole]], number[group[rows]], key[rows], start[rows], np.ones(len(rows), np.int64), key[rows]))
+            sent = first if plan.scope != "docs" else np.flatnonzero(~whole[group] | np.isin(np.arange(len(order)), first))
+            text = [raw[a[k] : b[k]] for k in sent.tolist()]
+            alike = copies[group[sent]] if plan.scope == "any" else np.ones(len(sent), np.int64)
+            high = np.where(whole, high, NULL_ID)[group[sent]]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[sent]), pa.array(key[sent]), pa.array(start[sent]), pa.array(windows[sent].astype(np.int32)), pa.array(alike), pa.array(np.maximum(high, key[sent])), pa.array(twin[sent]), pa.array(text, pa.binary())], schema=_SENT)
+
+    def as_sent(cover):
+        """Ranges that are decided already, as rows without a text."""
+        doc, begin, end = cover
+        spot, n = mix(doc.astype(np.int64).view(U) + begin.astype(np.int64).view(U)).view(np.int64), len(doc)
+        return pa.RecordBatch.from_arrays([pa.array(spot), pa.array(doc), pa.array(begin), pa.nulls(n, pa.int32()), pa.array(end), *(pa.nulls(n, f.type) for f in list(_SENT)[5:])], schema=_SENT)
+
+    def decide(strings, size, of, doc, start, copies, high):
+        """Ranges (doc, begin, end) that repeated windows cover: of[k] is the string at place k (doc, start), where
+        copies[k] places are alike, up to document high[k]."""
+        order = np.lexsort((start, doc, of))
+        lead = order[np.searchsorted(of[order], np.arange(len(strings)))]  # the first place of each string
+        sort = np.lexsort((start[lead], doc[lead]))
+        strings, size, lead = [strings[k] for k in sort.tolist()], size[sort], lead[sort]
+        rank = np.empty(len(sort), np.int64)
+        rank[sort] = np.arange(len(sort))
+        of = rank[of]
+        base = np.cumsum(size) - size
+        total = np.bincount(of, copies, len(strings)).astype(np.int64)
+        numbers, heads = compare(plan, strings, size, total)
+        mask = np.zeros(int(size.sum()), bool)
+        if len(numbers):
+            lengths = np.diff(np.append(heads, len(numbers)))
+            owner = np.searchsorted(base, numbers, "right") - 1
+            if plan.scope == "docs":
+                least, most = np.full(len(strings), 2**63 - 1), np.full(len(strings), NULL_ID)
+                np.minimum.at(least, of, doc)
+                np.maximum.at(most, of, high)
+                mask[numbers] = np.repeat(np.minimum.reduceat(least[owner], heads) != np.maximum.reduceat(most[owner], heads), lengths)
+            else:
+                mask[numbers] = np.repeat(np.add.reduceat(total[owner], heads) > 1, lengths)
+        if plan.scope != "later":
+            return spread(mask, base, of, doc, start)
+        # at a text's first place, the first window of a class stays
+        again = (doc != doc[lead[of]]) | (start != start[lead[of]])
+        copied = spread(mask, base, of[again], doc[again], start[again])
+        if len(numbers):
+            mask[np.minimum.reduceat(numbers, heads)] = False
+        own = spread(mask, base, of[~again], doc[~again], start[~again])
+        return tuple(np.concatenate(x) for x in zip(copied, own))
+
+    def spread(mask, base, of, doc, start):
+        """Ranges of documents that the masked windows of the string at each place cover."""
+        string, begin, end = _mask_runs(mask, base)
+        count = np.bincount(string, minlength=len(base))[of]
+        place = np.repeat(np.arange(len(of)), count)
+        at = np.arange(len(place)) + np.repeat(np.searchsorted(string, of) - (np.cumsum(count) - count), count)
+        return merge_runs(doc[place], start[place] + begin[at], start[place] + end[at] + plan.width - 1)
 
     def settle(rows: list[pa.RecordBatch]):
         table = pa.Table.from_batches(rows).combine_chunks()
-        anchor, doc, start, windows, ref = (table.column(c).to_numpy().astype(np.int64) for c in ("anchor", "doc", "start", "windows", "ref"))
+        anchor, doc, start, windows, copies, high = (table.column(c).to_numpy().astype(np.int64) for c in ("anchor", "doc", "start", "windows", "copies", "high"))
         text = table.column("text").chunk(0)
-        # regions of equal anchor and bytes are one group; those without a text have that of their lead
-        leads = np.flatnonzero(text.is_valid().to_numpy(zero_copy_only=False))
-        named = text.take(pa.array(leads)).dictionary_encode().indices.to_numpy()
-        order = np.argsort(ref[leads], kind="stable")
-        name = named[order[np.searchsorted(ref[leads][order], ref)]]
+        # regions of equal anchor and bytes are one group
+        name = text.dictionary_encode().indices.to_numpy()
         order = np.lexsort((start, doc, name, anchor))
         head = np.append(True, (anchor[order][1:] != anchor[order][:-1]) | (name[order][1:] != name[order][:-1]))
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(head) - 1
         first = order[head]  # the first place of each group
         _, inverse, often = np.unique(anchor, return_inverse=True, return_counts=True)
-        twin = table.column("twin").to_numpy(zero_copy_only=False).astype(bool)
         use = often[inverse[first]] > 1
         if plan.scope != "docs":
-            use |= twin[first]
+            use |= table.column("twin").to_numpy(zero_copy_only=False).astype(bool)[first]
         if not use.any():
             return
-        groups = np.flatnonzero(use)
-        groups = groups[np.lexsort((start[first[groups]], doc[first[groups]]))]
-        number = np.full(len(first), -1)
-        number[groups] = np.arange(len(groups))
-        rows = np.flatnonzero(number[group] >= 0)
-        of = number[group[rows]]
-        source = np.empty(len(first), np.int64)
-        source[group[leads]] = leads
-        strings = text.take(pa.array(source[groups])).to_pylist()
-        size = windows[first[groups]]
-        base = np.cumsum(size) - size
-        copies = np.bincount(of, minlength=len(groups))
-        numbers, heads = compare(plan, strings, size, copies)
-        mask = np.zeros(int(size.sum()), bool)
-        if len(numbers):
-            lengths = np.diff(np.append(heads, len(numbers)))
-            owner = np.searchsorted(base, numbers, "right") - 1
-            if plan.scope == "docs":
-                low, high = np.full(len(groups), 2**63 - 1), np.full(len(groups), -(2**63))
-                np.minimum.at(low, of, doc[rows])
-                np.maximum.at(high, of, doc[rows])
-                mask[numbers] = np.repeat(np.minimum.reduceat(low[owner], heads) != np.maximum.reduceat(high[owner], heads), lengths)
-            else:
-                mask[numbers] = np.repeat(np.add.reduceat(copies[owner], heads) > 1, lengths)
-        if plan.scope == "later":  # at a text's first place, the first window of a class stays
-            lead = first[groups[of]]
-            again = (doc[rows] != doc[lead]) | (start[rows] != start[lead])
-            yield _cover_batch(*spread(rows[again], of[again], mask, base, doc, start))
-            if len(numbers):
-                mask[np.minimum.reduceat(numbers, heads)] = False
-            rows, of = rows[~again], of[~again]
-        yield _cover_batch(*spread(rows, of, mask, base, doc, start))
-
-    def spread(rows, of, mask, base, doc, start):
-        """Ranges of documents that the masked windows of each row's string cover."""
-        string, begin, end = _mask_runs(mask, base)
-        count = np.bincount(string, minlength=len(base))[of]
-        row = np.repeat(rows, count)
-        at = np.arange(len(row)) + np.repeat(np.searchsorted(string, of) - (np.cumsum(count) - count), count)
-        return merge_runs(doc[row], start[row] + begin[at], start[row] + end[at] + plan.width - 1)
+        number, rows = np.cumsum(use) - 1, np.flatnonzero(use[group])
+        strings = text.take(pa.array(first[use])).to_pylist()
+        yield _cover_batch(*decide(strings, windows[first[use]], number[group[rows]], doc[rows], start[rows], copies[rows], high[rows]))
 
     def shard(batches):
         held, size = [], 0
         for batch in batches:
+            cover = batch.filter(batch.column("text").is_null())
+            if cover.num_rows:
+                yield pa.RecordBatch.from_arrays([cover.column("doc"), cover.column("start"), cover.column("copies")], schema=_COVER)
+            batch = batch.filter(batch.column("text").is_valid())
             if not batch.num_rows:
                 continue
             held.append(batch)
@@ -422,5 +447,5 @@ def repeated_ranges(docs: DataFrame, plan: Plan, compare: Callable) -> DataFrame
         if held:
             yield from settle(held)
 
-    sent = joined.mapInArrow(lean(cut), "anchor long, doc long, start long, windows int, ref long, twin boolean, text binary")
+    sent = joined.mapInArrow(lean(cut), "anchor long, doc long, start long, windows int, copies long, high long, twin boolean, text binary")
     return sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lean(shard), "doc long, begin long, end long")

@@ -33,6 +33,20 @@ def test_dedup_texts_keeps_characters(spark):
     assert got[1] == "é中😀中😀"[:3] and got[2] == "x" and got[3] is None
 
 
+def test_copies_within_texts(spark):
+    """Passages that come back in one document, in copies of it and in parts of it, in one task and in several."""
+    rng = np.random.default_rng(12)
+    parts = [" ".join(f"p{k}q{rng.integers(10**6)}" for _ in range(45)) for k in range(5)]
+    rows = [(int(d), " ".join(parts[k][c : c + 300] for k, c in zip(rng.integers(0, 5, n), rng.integers(0, 90, n)))) for d, n in zip(rng.permutation(80), rng.integers(1, 7, 80))]
+    rows += [(200 + d, t) for d, t in rows[:25]]
+    for tasks in (1, 6):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(tasks)
+        got = {r.doc_id: r.n_removed for r in substring_suffix.dedup_substrings(docs).collect()}
+        assert got == {d: sum(m) for d, m in brute.suffix_cover(rows, 100).items()}
+        got = {r.doc_id: r.n_removed for r in substring_automaton.remove_passages(docs, 12).collect()}
+        assert got == {d: sum(m) for d, (_, m) in brute.word_cover(rows, 12).items()}
+
+
 @pytest.mark.parametrize("width", [35, 6])
 def test_automaton_dedup(spark, small, width):
     want = {d: (len(w), sum(m), " ".join(x for x, y in zip(w, m) if not y)) for d, (w, m) in brute.word_cover(small, width).items()}

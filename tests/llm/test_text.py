@@ -139,6 +139,27 @@ def test_packing_edges(spark, edge_rows):
     assert packing.pack_documents(docs.limit(0), path).count() == 0
 
 
+def test_one_bin_is_half_empty():
+    """What bounds the bins that are handed on: best-fit leaves one bin at most that is filled by half or less,
+    so no more hosts are needed than parts meet, and fewer bins handed on give as few sequences."""
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        lengths = rng.integers(1, rng.integers(2, 101), rng.integers(1, 400))
+        bins, _ = packing.best_fit(lengths, 100)
+        assert (2 * np.bincount(bins, lengths) <= 100).sum() <= 1
+
+
+@pytest.mark.parametrize("lengths", [[60] * 300 + [30] * 100, [51] * 200 + [40] * 30 + [9] * 150])
+def test_bins_handed_on(spark, monkeypatch, lengths):
+    pieces = spark.createDataFrame([(k, 0, 0, n, 0) for k, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(2)
+    monkeypatch.setattr(packing, "NEARLY", 1)
+    found = []
+    for most in (packing.FAN_IN, 10**6):
+        monkeypatch.setattr(packing, "HANDED_ON", most)
+        found.append(packing.pack_pieces(pieces, 100, 20).select("sequence_id").distinct().count())
+    assert found[0] <= found[1]
+
+
 def test_best_fit():
     bins, offsets = packing.best_fit(np.array([6, 5, 4, 5, 10, 1]), 10)
     fill = np.bincount(bins, [6, 5, 4, 5, 10, 1])
