@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import records, review, timeline  # noqa: F401  (records and review add to the same registry)
+from .plans import jobs, records, review, timeline  # noqa: F401  (the others add to the same registry)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

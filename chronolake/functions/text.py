@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
+
+#: White space as Unicode has it, with the separators of the first 32 characters.
+BLANKS = r"(?U)[\s\x1c-\x1f]+"
 
 
 def clock(ms: Column) -> Column:
@@ -13,15 +20,23 @@ def clock(ms: Column) -> Column:
     return F.concat(pad(ms / 3_600_000, 2), F.lit(":"), pad((ms / 60_000) % 60, 2), F.lit(":"), pad((ms / 1000) % 60, 2), F.lit(","), F.lpad((ms % 1000).cast("string"), 3, "0"))
 
 
-def normalize_terms(terms: Column, most: int | None = None) -> Column:
-    """Trims terms, collapses white space, drops empty and repeated ones (the first stays), keeps all or the first ``most``."""
-    clean = F.transform(terms, lambda t: F.trim(F.regexp_replace(t, "\\s+", " ")))
-    whole = F.array_distinct(F.filter(clean, lambda t: t != ""))
-    return whole if most is None else F.slice(whole, 1, most)
+@F.pandas_udf(Y.ArrayType(Y.StringType()))
+def nfkc_terms(lists: pd.Series) -> pd.Series:
+    """Terms in compatibility normal form, which has no built-in."""
+    return lists.map(lambda ts: None if ts is None else [None if t is None else unicodedata.normalize("NFKC", t) for t in ts])
+
+
+def normalize_terms(terms: Column) -> Column:
+    """Terms in compatibility normal form, trimmed, with white space collapsed, without empty and repeated ones (the
+    first stays)."""
+    clean = F.transform(nfkc_terms(terms), lambda t: F.trim(F.regexp_replace(t, BLANKS, " ")))
+    return F.array_distinct(F.filter(clean, lambda t: t != ""))
 
 
 def first_repetition(text: Column, sizes: range = range(2, 13), times: int = 6) -> Column:
-    """The unit of the first phrase said ``times`` times in a row, smallest size first; null without one."""
+    """The unit of the first phrase said ``times`` times in a row, smallest size first; null without one. White
+    space doesn't count."""
+    text = F.regexp_replace(text, BLANKS, "")
     found = [F.nullif(F.regexp_extract(text, f"(?s)(.{{{k}}})\\1{{{times - 1},}}", 1), F.lit("")) for k in sizes]
     return F.coalesce(*found)
 

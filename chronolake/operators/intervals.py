@@ -34,6 +34,36 @@ def majority(segments: DataFrame, turns: DataFrame, key: str = "conv_id") -> Dat
     return top.select(key, "pos", "m.speaker", "m.overlap_ms")
 
 
+def words_of(segments: DataFrame, words: DataFrame, key: str = "conv_id") -> DataFrame:
+    """Positions of each segment's words, in order: a word goes to the segment of its largest overlap, one of no length
+    to the first segment that it stands in (ends included). A segment without words has null; other words are left out."""
+    point = F.col("start_ms") == F.col("end_ms")
+    # a point is met by a segment that is longer by a bit at both ends, by twice that bit
+    wide = lambda df, by: df.withColumns({"start_ms": F.col("start_ms") * 2 - by, "end_ms": F.col("end_ms") * 2 + by})
+    points = overlap_join(wide(words.filter(point), 1), wide(segments, 1), key, 10_000)
+    points = points.groupBy(key, F.col("l_pos").alias("pos")).agg(F.min("r_pos").alias("segment"))
+    found = attach(words.filter(~point), segments, key).select(key, "pos", "segment").unionByName(points)
+    lists = found.groupBy(key, F.col("segment").alias("pos")).agg(F.sort_array(F.collect_list("pos")).alias("words"))
+    return segments.join(lists, [key, "pos"], "left")
+
+
+def majority_or_nearest(segments: DataFrame, turns: DataFrame, key: str = "conv_id") -> DataFrame:
+    """majority, and for segments that overlap no turn the speaker of the turn with the nearest middle (ties: the
+    earlier one) with an overlap of 0."""
+    own = majority(segments, turns, key)
+    rest = segments.join(own, [key, "pos"], "left_anti").select(key, "pos", (F.col("start_ms") + F.col("end_ms")).alias("mid"))
+    both = rest.select(key, "pos", "mid", F.lit(None).cast("string").alias("speaker"), F.lit(1).alias("probe"))
+    both = both.unionByName(turns.select(key, "pos", (F.col("start_ms") + F.col("end_ms")).alias("mid"), "speaker", F.lit(0).alias("probe")))
+    turn = F.when(F.col("probe") == 0, F.struct("mid", "pos", "speaker"))
+    back = Window.partitionBy(key).orderBy("mid", "probe", F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(key).orderBy(F.desc("mid"), "probe", F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumns({"low": F.last(turn, True).over(back), "high": F.last(turn, True).over(ahead)}).filter("probe = 1")
+    far = lambda c: F.struct(F.abs(F.col(c)["mid"] - F.col("mid")).alias("far"), F.col(c)["pos"].alias("pos"), F.col(c)["speaker"].alias("speaker"))
+    near = F.least(F.when(F.col("low").isNotNull(), far("low")), F.when(F.col("high").isNotNull(), far("high")))
+    rows = rows.withColumn("near", near).filter("near is not null")
+    return own.unionByName(rows.select(key, "pos", F.col("near.speaker").alias("speaker"), F.lit(0).cast("long").alias("overlap_ms")))
+
+
 def normalize(regions: DataFrame, least_ms: int, gap_ms: int, key: str = "conv_id") -> DataFrame:
     """Drops regions shorter than least_ms and merges those with gaps of gap_ms or less."""
     rows = regions.filter(F.col("end_ms") - F.col("start_ms") >= least_ms)

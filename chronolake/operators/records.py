@@ -140,12 +140,13 @@ def stage_totals(timings: DataFrame, stage: str, seconds: str) -> DataFrame:
     return timings.groupBy(stage).agg(F.sum(seconds).alias("total"), F.count(F.lit(1)).alias("n"))
 
 
-def term_error(terms: Column) -> Column:
-    """The first limit that raw terms break, else null: 100 items, 256 characters each; then 50 terms, 64 characters each, 1024 in all."""
-    clean = T.normalize_terms(terms, 101)
+def term_error(terms: Column, clean: Column) -> Column:
+    """The first limit that raw terms or, normalised, clean ones break, else null: 100 items, 256 characters each; then
+    50 terms, 64 characters each, 1024 in all."""
     total = F.aggregate(clean, F.lit(0), lambda s, t: s + F.length(t))
     longest = lambda a, n: F.exists(a, lambda t: F.length(t) > n)
-    return F.when(F.size(terms) > 100, "too_many_items").when(longest(terms, 256), "item_too_long").when(F.size(clean) > 50, "too_many_terms").when(longest(clean, 64), "term_too_long").when(total > 1024, "terms_too_long")
+    raw = F.when(F.size(terms) > 100, "too_many_raw_items").when(longest(terms, 256), "raw_item_too_long")
+    return raw.when(F.size(clean) > 50, "too_many_terms").when(longest(clean, 64), "term_too_long").when(total > 1024, "total_too_long")
 
 
 def glossary(text: Column, pairs: list[tuple[str, str]], patterns: tuple = ()) -> Column:

@@ -23,18 +23,13 @@ def migrate(spark, d) -> DataFrame:
     return records.migrated(S.table(spark, d, "documents").select("doc_id", "lang"), {"lang": "und", "engine": "funasr"})
 
 
-@query(f"""{SEG}, i as (select * from seg where pos % 2 = 0), p as (select a.conv_id, a.pos, b.speaker, ({OVERLAP}) / greatest(a.end_ms - a.start_ms, 1)::double as c, row_number() over (partition by a.conv_id, a.pos order by {OVERLAP} desc, b.pos) as k
+@query(f"""{SEG}, i as (select * from seg), p as (select a.conv_id, a.pos, b.speaker, ({OVERLAP}) / greatest(a.end_ms - a.start_ms, 1)::double as c, row_number() over (partition by a.conv_id, a.pos order by {OVERLAP} desc, b.pos) as k
   from i a join turns b on a.conv_id = b.conv_id and {OVERLAP} > 0), lo as (select i.* from i left join p on i.conv_id = p.conv_id and i.pos = p.pos where p.pos is null),
 f as (select a.conv_id, a.pos, b.speaker, b.start_ms <= (a.start_ms + a.end_ms) / 2.0 and (a.start_ms + a.end_ms) / 2.0 <= b.end_ms as inside, b.end_ms - b.start_ms as len, b.pos as bp,
   least(abs(b.start_ms - (a.start_ms + a.end_ms) / 2.0), abs(b.end_ms - (a.start_ms + a.end_ms) / 2.0)) as dist from lo a join turns b on a.conv_id = b.conv_id),
 r as (select *, row_number() over (partition by conv_id, pos order by inside desc, case when inside then len else dist end, bp) as k from f)
 select conv_id, pos, speaker, round(least(1, c), 9) as confidence from p where k = 1 union all select conv_id, pos, speaker, case when inside then 0.5 else 0 end from r where k = 1""")
 def label_items(spark, d) -> DataFrame:
-    return label_items_all(spark, d).filter("pos % 2 = 0")
-
-
-@query()
-def label_items_all(spark, d) -> DataFrame:
     rows = records.label_items(S.segments(spark, d), S.turns(spark, d))
     return rows.select("conv_id", "pos", "speaker", F.round("confidence", 9).alias("confidence"))
 

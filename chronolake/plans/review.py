@@ -148,19 +148,10 @@ def chunk_grid(spark, d) -> DataFrame:
     return planning.chunk_grid(S.segments(spark, d), macro_plan(spark, d), 5000)
 
 
-@query(f"""{SEG}, c as (select conv_id, start_ms // 40000 as chunk, count(distinct speaker) as speakers, count(*) as segments from seg2 where conv_id % 2 = 0 or pos % 4 < 2 group by 1, 2)
+@query(f"""{SEG}, c as (select conv_id, start_ms // 40000 as chunk, count(distinct speaker) as speakers, count(*) as segments from seg2 group by 1, 2)
 select conv_id, chunk, speakers, segments, case when speakers >= 2 then 'trigger_cross' when chunk % 2 = 0 then 'trigger_silence' else 'skip' end as label from c""")
 def chunk_triggers(spark, d) -> DataFrame:
-    return _triggers(S.two_speakers(spark, d).filter("conv_id % 2 = 0 or pos % 4 < 2"))
-
-
-@query()
-def chunk_triggers_all(spark, d) -> DataFrame:
-    return _triggers(S.two_speakers(spark, d))
-
-
-def _triggers(rows: DataFrame) -> DataFrame:
-    rows = intervals.tumbling(rows).withColumnRenamed("window", "chunk")
+    rows = intervals.tumbling(S.two_speakers(spark, d)).withColumnRenamed("window", "chunk")
     rows = rows.select("conv_id", "chunk", "speaker", (F.col("chunk") * 40_000).alias("from_ms"), ((F.col("chunk") + 1) * 40_000).alias("to_ms"))
     return planning.chunk_triggers(rows, 1 - F.col("chunk") % 2, ["conv_id", "chunk"]).select("conv_id", "chunk", "speakers", "segments", "label")
 
@@ -298,16 +289,9 @@ MAPPED = """pm as (select rec, unnest([['X', 'Y'], ['Y', 'X']]) as m from (selec
 bm as (select rec, arg_max(m, (s, m = ['X', 'Y'])) as m from sc group by rec)"""
 
 
-@query(f"""{SEG}, {CHARS}, two as (select rec from cnf group by rec having count(distinct own) = 2 and count(distinct "true") = 2), {MAPPED}
-select rec, round(sum(case when "true" = case own when 'A' then m[1] else m[2] end then n else 0 end) / sum(n)::double, 9) as accuracy from cnf join bm using (rec) where rec in (select rec from two) group by rec""")
+@query(f"""{SEG}, {CHARS}, labels as (select rec, count(distinct own) > count(distinct "true") as more from cnf group by rec), {MAPPED}
+select rec, round(case when more then 1 else sum(case when "true" = case own when 'A' then m[1] else m[2] end then n else 0 end) / sum(n)::double end, 9) as accuracy from cnf join bm using (rec) join labels using (rec) group by rec, more""")
 def speaker_accuracy(spark, d) -> DataFrame:
-    counts = evaluation.confusion(_chars(spark, d))
-    two = counts.groupBy("rec").agg(F.countDistinct("own").alias("a"), F.countDistinct("true").alias("b")).filter("a = 2 and b = 2").select("rec")
-    return speaker_accuracy_all(spark, d).join(two, "rec", "left_semi")
-
-
-@query()
-def speaker_accuracy_all(spark, d) -> DataFrame:
     counts = evaluation.confusion(_chars(spark, d))
     return evaluation.mapped_accuracy(counts, clusters.label_mapping(counts)).select("rec", F.round("accuracy", 9).alias("accuracy"))
 
@@ -327,11 +311,14 @@ def offset_stats(spark, d) -> DataFrame:
     return rows.withColumns({c: F.round(c, 6) for c in ("mean", "within_100", "within_200", "within_500")})
 
 
-@query(f"""{SEG}, a as (select conv_id, row_number() over (partition by conv_id order by pos) as k, left(text, 1) as ch, start_ms from seg where text <> ''), b as (select conv_id, row_number() over (partition by conv_id order by pos) as k, left(text, 1) as ch, start_ms + 70 as t from seg where text <> '' and pos <> 1)
+@query(f"""{SEG}, c as (select *, unnest(range(1, length(text) + 1)) as i from seg where text <> ''), a as (select conv_id, row_number() over (partition by conv_id order by pos, i) as k, substr(text, i, 1) as ch, start_ms from c),
+b as (select conv_id, row_number() over (partition by conv_id order by pos, i) as k, substr(text, i, 1) as ch, start_ms + 70 as t from c where pos <> 1)
 select a.conv_id, k, ch, abs(a.start_ms - b.t) as offset_ms from a join b using (conv_id, k, ch)""")
 def positional_zip(spark, d) -> DataFrame:
-    rows = S.segments(spark, d).filter("text <> ''").select("conv_id", "pos", F.substring("text", 1, 1).alias("ch"), F.col("start_ms").alias("at_ms"))
-    return evaluation.zip_compare(rows, rows.filter("pos <> 1").withColumn("at_ms", F.col("at_ms") + 70), "conv_id")
+    """All characters of a conversation, and those of all its turns but one."""
+    rows = S.segments(spark, d).filter("text <> ''").select("conv_id", "pos", "text", F.col("start_ms").alias("at_ms"), F.explode(F.sequence(F.lit(1), F.length("text"))).alias("i"))
+    rows = rows.select("conv_id", F.struct("pos", "i").alias("pos"), F.expr("substr(text, i, 1)").alias("ch"), "at_ms")
+    return evaluation.zip_compare(rows, rows.filter("pos.pos <> 1").withColumn("at_ms", F.col("at_ms") + 70), "conv_id")
 
 
 @query()
@@ -475,14 +462,9 @@ def alert_states(spark, d) -> DataFrame:
     return service.alert_states(rows.groupBy("user_id", "at").agg(F.min("firing").alias("firing")), "user_id", "at", "firing", 900)
 
 
-@query("""with q as (select c_custkey as req, unnest(list_slice(range(c_custkey, c_custkey + 60), 1, 50)) as id, unnest(range(0, 50)) as n from customer where c_custkey % 10 = 0), t as (select event_id as id, event_type as s from events where event_id % 2 = 0)
+@query("""with q as (select c_custkey as req, unnest(list_slice(range(c_custkey, c_custkey + 60), 1, 50)) as id, unnest(range(0, 50)) as n from customer), t as (select event_id as id, event_type as s from events where event_id % 2 = 0)
 select req, n, id as task_id, coalesce(s, case when id % 3 = 0 then 'expired' else 'not_found' end) as status from q left join t using (id)""")
 def status_batch(spark, d) -> DataFrame:
-    return status_batch_all(spark, d).filter("req % 10 = 0")
-
-
-@query()
-def status_batch_all(spark, d) -> DataFrame:
     e = S.table(spark, d, "events")
     req = S.table(spark, d, "customer").select(F.col("c_custkey").alias("req"), F.expr("sequence(c_custkey, c_custkey + 59)").alias("ids"))
     tasks = e.filter("event_id % 2 = 0").select(F.col("event_id").alias("task_id"), F.col("event_type").alias("status"))

@@ -195,8 +195,27 @@ def srt_render(spark, d) -> DataFrame:
 
 @query()
 def terms_normalize(spark, d) -> DataFrame:
-    raw = F.split("text", ",")
-    return S.table(spark, d, "documents").select("doc_id", T.normalize_terms(raw).alias("terms"), records.term_error(raw).alias("error"))
+    rows = S.table(spark, d, "documents").select("doc_id", F.split("text", ",").alias("raw")).withColumn("terms", T.normalize_terms(F.col("raw")))
+    return rows.select("doc_id", "terms", records.term_error(F.col("raw"), F.col("terms")).alias("error"))
+
+
+@query(f"""{SEG}, w as (select seg.conv_id, seg.pos, t.pos as word, least(seg.end_ms, t.end_ms) - greatest(seg.start_ms, t.start_ms) as o, row_number() over (partition by seg.conv_id, t.pos order by least(seg.end_ms, t.end_ms) - greatest(seg.start_ms, t.start_ms) desc, seg.pos) as k
+  from seg join (select conv_id, pos, start_ms, case when pos % 5 = 0 then start_ms else end_ms end as end_ms from turns) t on seg.conv_id = t.conv_id and (least(seg.end_ms, t.end_ms) > greatest(seg.start_ms, t.start_ms) or t.start_ms = t.end_ms and seg.start_ms <= t.start_ms and t.start_ms <= seg.end_ms))
+select seg.conv_id, seg.pos, string_agg(w.word::varchar, ',' order by w.word) as words from seg left join (select * from w where k = 1) w on seg.conv_id = w.conv_id and seg.pos = w.pos group by seg.conv_id, seg.pos""")
+def words_of_segments(spark, d) -> DataFrame:
+    """Turns as words, every fifth of no length."""
+    words = S.turns(spark, d).withColumn("end_ms", F.when(F.col("pos") % 5 == 0, F.col("start_ms")).otherwise(F.col("end_ms")))
+    rows = intervals.words_of(S.segments(spark, d), words)
+    return rows.select("conv_id", "pos", F.array_join(F.col("words").cast("array<string>"), ",").alias("words"))
+
+
+@query(f"""{SEG}, t as (select * from turns where pos % 3 = 0), s as (select a.conv_id, a.pos, b.speaker, sum(least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms)) as o from seg a join t b on a.conv_id = b.conv_id and least(a.end_ms, b.end_ms) > greatest(a.start_ms, b.start_ms) group by all),
+m as (select *, row_number() over (partition by conv_id, pos order by o desc, speaker desc) as k from s),
+n as (select a.conv_id, a.pos, b.speaker, row_number() over (partition by a.conv_id, a.pos order by abs(a.start_ms + a.end_ms - b.start_ms - b.end_ms), b.pos) as k from seg a join t b on a.conv_id = b.conv_id anti join m on m.conv_id = a.conv_id and m.pos = a.pos)
+select conv_id, pos, speaker, o::bigint as overlap_ms from m where k = 1 union all select conv_id, pos, speaker, 0 from n where k = 1""")
+def majority_or_nearest(spark, d) -> DataFrame:
+    """Every third turn only, so that some segments meet none."""
+    return intervals.majority_or_nearest(S.segments(spark, d), S.turns(spark, d).filter("pos % 3 = 0"))
 
 
 @query()
@@ -204,17 +223,11 @@ def repetition(spark, d) -> DataFrame:
     return S.table(spark, d, "documents").select("doc_id", T.first_repetition(F.col("text")).alias("unit")).filter("unit is not null")
 
 
-@query(f"""{CACHE}, q as (select o_orderkey as req_id, md5((o_orderkey % 60)::varchar) as file_hash, case o_orderkey % 4 when 0 then 'qwen3+nospk' when 1 then 'qwen3' when 2 then 'funasr' else 'qwen3+wa:eng' end as engine from orders where o_orderkey <= 500),
+@query(f"""{CACHE}, q as (select o_orderkey as req_id, md5((o_orderkey % 60)::varchar) as file_hash, case o_orderkey % 4 when 0 then 'qwen3+nospk' when 1 then 'qwen3' when 2 then 'funasr' else 'qwen3+wa:eng' end as engine from orders),
 j as (select q.req_id, c.id, c.engine as have, created_min, case when c.engine = q.engine then 1 when c.engine = regexp_replace(q.engine, '\\+nospk$', '') then 2 when not contains(q.engine, '+') and not contains(c.engine, '+') then 3 end as rank from q left join cache c using (file_hash)),
 k as (select *, row_number() over (partition by req_id order by rank nulls last, created_min desc, id desc) as k from j)
 select req_id, case when rank is not null then id end as id, case when rank is not null then have end as engine, rank::bigint as rank from k where k = 1""")
 def cache_lookup(spark, d) -> DataFrame:
-    """The rows of cache_lookup_all that the SQL has."""
-    return cache_lookup_all(spark, d).filter("req_id <= 500")
-
-
-@query()
-def cache_lookup_all(spark, d) -> DataFrame:
     orders = S.table(spark, d, "orders")
     engine = F.element_at(F.array(*map(F.lit, ("qwen3+nospk", "qwen3", "funasr", "qwen3+wa:eng"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
     return results.lookup(orders.select(F.col("o_orderkey").alias("req_id"), F.md5((F.col("o_orderkey") % 60).cast("string").cast("binary")).alias("file_hash"), engine.alias("engine")), S.cache_rows(spark, d))

@@ -1,5 +1,7 @@
 import hashlib
 import random
+import re
+import unicodedata
 
 import duckdb
 import pytest
@@ -7,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from chronolake import catalog
 from chronolake.functions import text as T
-from chronolake.operators import intervals, results, sequence, speakers
+from chronolake.operators import intervals, records, results, sequence, speakers
 from chronolake.sources import tables
 from chronolake.streaming import tasks
 from pyspark.sql import functions as F
@@ -80,6 +82,36 @@ def test_texts(spark):
     assert tuple(row) == ("xyz", ["a b", "c"], "01:01:01,001")
 
 
+def test_repetition_equals_brute_force(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab  \n\u00a0\x1c") for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    texts += ["ab ab ab ab ab ab", "na na na na na na nan", *(r.text for r in tables.table(spark, DATA, "documents").collect())]
+
+    def first(text):
+        text = "".join(text.split())
+        for k in range(2, 13):
+            for i in range(len(text) - 6 * k + 1):
+                if text[i : i + 6 * k] == text[i : i + k] * 6:
+                    return text[i : i + k]
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.first_repetition(F.col("t")).alias("u")).collect()
+    assert {r.i: r.u for r in rows} == {i: first(t) for i, t in enumerate(texts)}
+
+
+def test_terms_equal_plain_python(spark):
+    """Compatibility forms, every kind of white space, and each limit in its order."""
+    lists = [["ＡＢＣ", "ABC", " a\u3000b\tc ", "", "\u00a0"], ["x"] * 101, ["y" * 257], [f"t{i}" for i in range(51)], ["z" * 65], [f"{i:02}" + "w" * 60 for i in range(20)], [], ["ﬁ" * 100], ["ﬁ" * 33]]
+
+    def judge(raw):
+        clean = list(dict.fromkeys(c for t in raw if (c := re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t).strip()))))
+        limits = [(len(raw) > 100, "too_many_raw_items"), (any(len(t) > 256 for t in raw), "raw_item_too_long"), (len(clean) > 50, "too_many_terms"), (any(len(t) > 64 for t in clean), "term_too_long"), (sum(map(len, clean)) > 1024, "total_too_long")]
+        return clean, next((name for broken, name in limits if broken), None)
+
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, raw array<string>").withColumn("terms", T.normalize_terms(F.col("raw")))
+    got = {r.i: (r.terms, r.error) for r in rows.select("i", "terms", records.term_error(F.col("raw"), F.col("terms")).alias("error")).collect()}
+    assert got == {i: judge(x) for i, x in enumerate(lists)}
+
+
 def test_upsert(spark):
     cache = spark.createDataFrame([("h", "e", 1), ("h", "f", 2)], "file_hash string, engine string, v int")
     new = spark.createDataFrame([("h", "e", 3)], cache.schema)
@@ -108,7 +140,7 @@ def test_cache_lookup_answers_every_request(spark):
         tries = [(1, [e]), (2, [e.removesuffix("+nospk")]), (3, ["funasr", "qwen3"] if "+" not in e else [])]
         found = [(rank, max((newest[h, x], x) for x in xs if (h, x) in newest)) for rank, xs in tries if any((h, x) in newest for x in xs)]
         want[k] = (found[0][1][0][1], found[0][1][1], found[0][0]) if found else (None, None, None)
-    rows = catalog.queries()["cache_lookup_all"](spark, DATA).collect()
+    rows = catalog.queries()["cache_lookup"](spark, DATA).collect()
     assert len(rows) == len(want) > 501
     assert {r.req_id: (r.id, r.engine, r.rank) for r in rows} == want
 
@@ -117,4 +149,4 @@ def test_terms_are_whole_and_judged(spark, tmp_path):
     rows = [(1, ",".join(f"term{i}" for i in range(60))), (2, "a, b ,a"), (3, ",".join(f"term{i}" for i in range(1200)))]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.terms, r.error) for r in catalog.queries()["terms_normalize"](spark, str(tmp_path)).collect()}
-    assert got == {1: ([f"term{i}" for i in range(60)], "too_many_terms"), 2: (["a", "b"], None), 3: ([f"term{i}" for i in range(1200)], "too_many_items")}
+    assert got == {1: ([f"term{i}" for i in range(60)], "too_many_terms"), 2: (["a", "b"], None), 3: ([f"term{i}" for i in range(1200)], "too_many_raw_items")}

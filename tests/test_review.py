@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from chronolake.functions import parse, rules
+from chronolake.functions import text as T
 from chronolake.operators import allocate, clusters, evaluation, frames, guard, intervals, planning, records, service
 from chronolake.plans import records as plans
 from chronolake.plans import review
@@ -290,7 +291,7 @@ def test_small_records(spark):
     got = records.json_turns(spark.createDataFrame([(1, body), (2, "{}")], "k int, body string"), "k").collect()
     assert [(r.k, r.speaker, r.start_ms, r.end_ms) for r in got] == [(1, 1, 500, 1250)]
     df = spark.createDataFrame([(["a"] * 101, ), (["a" * 257],), ([str(i) for i in range(60)],), (["a" * 65],), ([f"{i:02}" + "b" * 60 for i in range(20)],), (["ok"],)], "t array<string>")
-    assert [r[0] for r in df.coalesce(1).select(records.term_error(F.col("t"))).collect()] == ["too_many_items", "item_too_long", "too_many_terms", "term_too_long", "terms_too_long", None]
+    assert [r[0] for r in df.coalesce(1).select(records.term_error(F.col("t"), T.normalize_terms(F.col("t")))).collect()] == ["too_many_raw_items", "raw_item_too_long", "too_many_terms", "term_too_long", "total_too_long", None]
     chunks = segments(spark, [("A", "x", 0, 10), ("A", " ", 10, 20)])
     texts = spark.createDataFrame([(1, "x", 20), (2, "whole", 50)], "conv_id long, text string, duration_ms long")
     assert sorted(tuple(r) for r in records.without_turns(chunks, texts).collect()) == [(1, 0, "x", 0, 10), (2, 0, "whole", 0, 50)]
@@ -369,13 +370,13 @@ def test_speaker_accuracy_of_all_recordings(spark):
         own, true = sorted({a for a, _ in c}), sorted({b for _, b in c})
         trials = permutations(true, len(own)) if len(own) <= len(true) else product(true, repeat=len(own))
         want[rec] = round(max(sum(c.get(x, 0) for x in zip(own, t)) for t in trials) / sum(c.values()), 9)
-    assert {r.rec: r.accuracy for r in review.speaker_accuracy_all(spark, "/root/testdata/sf0.001").collect()} == want
+    assert {r.rec: r.accuracy for r in review.speaker_accuracy(spark, "/root/testdata/sf0.001").collect()} == want
 
 
 def test_queries_without_slices(spark):
     d = "/root/testdata/sf0.001"
     items = S.segments(spark, d)
-    assert plans.label_items_all(spark, d).select("conv_id", "pos").exceptAll(items.select("conv_id", "pos")).isEmpty()
-    assert plans.label_items_all(spark, d).count() == items.count()
-    assert review.status_batch_all(spark, d).count() == 50 * S.table(spark, d, "customer").count()
-    assert review.chunk_triggers_all(spark, d).agg(F.sum("segments")).first()[0] == items.count()
+    assert plans.label_items(spark, d).select("conv_id", "pos").exceptAll(items.select("conv_id", "pos")).isEmpty()
+    assert plans.label_items(spark, d).count() == items.count()
+    assert review.status_batch(spark, d).count() == 50 * S.table(spark, d, "customer").count()
+    assert review.chunk_triggers(spark, d).agg(F.sum("segments")).first()[0] == items.count()
