@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import regions as R
-from .components import components
+from .components import components, join_copies
 from .embedding_dedup import _roots
 from .memory import lean
 from .store import saved
@@ -294,9 +294,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(R.NULL_ID)).alias("key"), F.col("text").cast("string").alias("text"))
     profiles = saved(_profiles(source), "profiles")
     known = profiles.filter("m1 is not null")
-    classes = known.groupBy("m1", "m2").agg(F.min("key").alias("class"))
-    member = known.select("key", "m1", "m2").join(classes, ["m1", "m2"]).select("key", "class").distinct()
-    member = saved(member, "classes")
+    classes = known.groupBy("m1", "m2").agg(F.min("key").alias("class"), F.count(F.lit(1)).alias("copies"))
+    member = join_copies(known.select("key", "m1", "m2"), classes, ["m1", "m2"], "copies", known.count())
+    member = saved(member.select("key", "class").distinct(), "classes")
     one = member.filter("key = class").select("key")
     bands = known.join(one, "key", "left_semi").select("key", F.explode("bands").alias("band"))
     many = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lead")).filter("n > 1").select("band", "lead")

@@ -26,6 +26,15 @@ def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
     return met.unionByName(marked.filter("hot is null").select("a", "b").join(least.select("u", "m"), F.col("a") == F.col("u")).select("a", "b", "m"))
 
 
+def join_copies(rows: DataFrame, groups: DataFrame, keys: list[str], copies: str, total: int) -> DataFrame:
+    """rows joined with groups, which has one row for each of the keys and in column ``copies`` how many of the rows
+    have them. As above, groups that are hot are broadcast, so their rows stay where they are."""
+    limit = max(HOT_EDGES, total // MOST_HOT)
+    hot = groups.filter(F.col(copies) > limit)
+    rest = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(groups.filter(F.col(copies) <= limit), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long, undirected). Returns node and component, the smallest node reachable, for every node
     that an edge with different ends has. No edges give no rows; loops and repeated edges are ignored.

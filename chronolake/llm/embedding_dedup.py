@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, join_copies
 from .memory import lean
 from .regions import NULL_ID
 from .store import saved
@@ -153,9 +153,10 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD) ->
     named = rows.select("*", *name)
     known = named.filter(LINKABLE)
     classes = saved(known.groupBy("c1", "c2").agg(F.min("key").alias("class"), F.count(F.lit(1)).alias("copies"), F.min("label").alias("label")), "classes")
-    largest = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    largest, total = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("rows")).agg(F.max("n"), F.sum("rows")).first()
+    largest, total = largest or 0, total or 0
     bits, tables = table_plan(largest, threshold)
-    one = known.join(classes.select("c1", "c2", "class", "copies"), ["c1", "c2"]).filter("key = class").dropDuplicates(["c1", "c2"])
+    one = join_copies(known, classes.select("c1", "c2", "class", "copies"), ["c1", "c2"], "copies", total).filter("key = class").dropDuplicates(["c1", "c2"])
     one = saved(one.select(F.xxhash64("c1", "c2").alias("id"), "key", "label", "embedding", "copies"), "vectors")
     # id tells classes apart where rows share a vec_id
     coded = saved(_codes(one.select("id", "label", "embedding"), bits, tables), "codes")
@@ -176,7 +177,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD) ->
     least = whole.groupBy("group").agg(F.min("class").alias("component"))
     ids = classes.select("c1", "c2", "copies", F.xxhash64("c1", "c2").alias("id")).join(whole.join(least, "group"), "id").select("c1", "c2", "copies", "links", "component")
     # vectors that can't be linked keep to themselves, so they need no class
-    inside = known.select("key", "c1", "c2").join(ids, ["c1", "c2"]).select("key", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component")
+    inside = join_copies(known.select("key", "c1", "c2"), ids, ["c1", "c2"], "copies", total).select("key", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component")
     outside = named.filter(f"not coalesce({LINKABLE}, false)")
     outside = outside.select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component"))
     both = inside.unionByName(outside)

@@ -141,6 +141,17 @@ def test_hot_nodes(spark, monkeypatch):
     assert got == brute.components(nodes, [p for p in pairs if p[0] != p[1]])
 
 
+def test_hot_copies(spark, monkeypatch):
+    """Groups of very many copies are met by broadcast; the result is the same."""
+    monkeypatch.setattr(components_of, "HOT_EDGES", 4)
+    rows = [(i, "the very same text of more than five words" if i % 3 else f"own text {i} of a few more words") for i in range(90)]
+    got = {r.doc_id: r.component_id for r in bag_minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: 1 if i % 3 else i for i, _ in rows}
+    vectors = spark.createDataFrame([(i, [1.0, 0.0] if i % 3 else [0.0, 1.0 + i], 1) for i in range(60)], "vec_id long, embedding array<float>, label int")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicate_vectors(vectors).collect()}
+    assert found == {i: (39, 1) if i % 3 else (19, 0) for i in range(60)}
+
+
 def test_embedding_edges(spark, monkeypatch):
     """A bucket of several blocks, repeated and null ids, a column whose name clashes."""
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
