@@ -262,11 +262,11 @@ def _remaining(bands: DataFrame, groups: DataFrame, texts: DataFrame, threshold:
     # bands with the same members have the same pairs
     mixed = mixed.filter("low <> high").groupBy("n", "h1", "h2").agg(F.min("band").alias("band")).select("band")
     rest = saved(rest.join(mixed, "band").join(size, F.col("key") == F.col("node")).select("band", "key", "group", "bytes"), "rest")
-    number, total = F.count(F.lit(1)), F.sum("bytes")
+    number, total, size_of_rest = F.count(F.lit(1)), F.sum("bytes"), rest.count()
     large = rest.groupBy("band", "group").agg(number.alias("n"), total.alias("bytes")).filter((F.col("n") >= BLOCK) | (F.col("bytes") >= BLOCK_BYTES)).select("band", "group", F.col("group").alias("owner"))
     rest = rest.join(large, ["band", "group"], "left").select("band", F.struct(F.col("owner").isNotNull().alias("large"), F.coalesce("owner", F.lit(0)).alias("id")).alias("owner"), "key", "group", "bytes")
-    counts = rest.groupBy("band", "owner").agg(F.greatest(F.ceil(number / BLOCK), F.ceil(total / BLOCK_BYTES)).cast("int").alias("blocks"))
-    rest = rest.join(counts, ["band", "owner"]).select("band", F.struct("owner", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("no")).alias("block"), "key", "group")
+    counts = rest.groupBy("band", "owner").agg(F.greatest(F.ceil(number / BLOCK), F.ceil(total / BLOCK_BYTES)).cast("int").alias("blocks"), number.alias("n"))
+    rest = join_copies(rest, counts, ["band", "owner"], "n", size_of_rest).select("band", F.struct("owner", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("no")).alias("block"), "key", "group")
     blocks = counts.select("band", "owner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("no")).select("band", F.struct("owner", F.col("no").cast("long").alias("no")).alias("block"))
     two = blocks.select("band", F.col("block").alias("x")).join(blocks.select("band", F.col("block").alias("y")), "band")
     two = two.filter("x <= y and not (x.owner.large and x.owner = y.owner)")
