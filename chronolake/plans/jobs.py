@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronolake.functions import rules
 from chronolake.operators import jobs
 from chronolake.plans.timeline import CACHE, SEG, TASKS, query
 from chronolake.sources import tables as S
@@ -173,3 +174,25 @@ def benchmark_rows(spark, d) -> DataFrame:
 def task_ages(spark, d) -> DataFrame:
     done = F.when(F.col("status") == "completed", F.col("created_at") + F.expr("interval 90 seconds"))
     return S.task_rows(spark, d).select("task_id", jobs.age_seconds(F.lit("2030-01-01").cast("timestamp"), done, F.col("created_at")).alias("age"))
+
+
+@query("""with e as (select event_id, event_id % 4 as k, 'dir.x/File' || event_id || case event_id % 3 when 0 then '.WAV' when 1 then '.exe' else '' end as name from events)
+select event_id, k in (0, 1) as admitted, case when event_id % 2 = 0 then 'qwen3+nospk' else 'qwen3+wa:eng+nospk' end as saved, k = 0 as any_engine, k = 0 or event_id % 100 >= 50 as headroom,
+case event_id % 3 when 0 then '.wav' when 1 then '.exe' else '' end as extension, event_id % 3 = 0 and event_id % 100 <= 60 as file_ok, case k when 0 then 'cuda' when 1 then 'mac_ane' when 2 then case when event_id % 3 = 0 then 'cuda' else 'cpu' end else 'cpu' end as runtime,
+floor(greatest(event_id % 9 - 1, 0) / greatest(event_id % 3, 1)::double * 30)::int as wait_s from e""")
+def engine_rules(spark, d) -> DataFrame:
+    """Each rule on the ids of events: engines, keys, memory, files, platforms and places in a queue."""
+    i = F.col("event_id")
+    k, text = i % 4, i.cast("string")
+    name = F.concat(F.lit("dir.x/File"), text, F.when(i % 3 == 0, ".WAV").when(i % 3 == 1, ".exe").otherwise(""))
+    return S.table(spark, d, "events").select(
+        "event_id",
+        rules.engine_admitted(F.when(k == 0, " ").when(k == 1, "qwen3").otherwise("funasr"), F.lit("qwen3")).alias("admitted"),
+        rules.save_key(F.lit("qwen3+wa:eng+nospk"), i % 2 != 0).alias("saved"),
+        rules.cross_engine(F.when(k == 0, "qwen3").otherwise("qwen3+nospk")).alias("any_engine"),
+        rules.headroom(F.when(k > 0, i % 100), F.lit(50)).alias("headroom"),
+        rules.extension(name).alias("extension"),
+        rules.file_admitted(name, i % 100, (".wav", ".mp3"), 60).alias("file_ok"),
+        rules.runtime(F.when(k == 0, " CUDA "), F.when(k == 1, "darwin").when(k == 2, "linux").otherwise("win32"), i % 3 == 0).alias("runtime"),
+        rules.wait_seconds(i % 9, F.lit(30.0), i % 3).alias("wait_s"),
+    )
