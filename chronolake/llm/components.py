@@ -11,10 +11,13 @@ from .store import saved
 HOT_EDGES, MOST_HOT = 256, 4096
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Tells one set of edges from another."""
-    h = F.xxhash64("a", "b")
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.shiftright(h, 20)), F.sum(h.bitwiseAND(F.lit((1 << 20) - 1)))).first())
+def _state(edges: DataFrame) -> tuple[int, int]:
+    """The number of edges (a, b) and that of nodes that keep them from being stars: those with several edges to smaller
+    nodes and those with edges of both kinds. Edges to a smaller node that are stars are components with their least node."""
+    ends = edges.select(F.col("a").alias("u"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("b").alias("u"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    nodes = ends.groupBy("u").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    total, open_nodes = nodes.agg(F.sum("down"), F.count_if((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0)))).first()
+    return total or 0, open_nodes
 
 
 def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
@@ -40,22 +43,19 @@ def components(edges: DataFrame) -> DataFrame:
     that an edge with different ends has. No edges give no rows; loops and repeated edges are ignored.
 
     Minima are aggregated before they are shuffled, and edges of nodes with very many neighbours meet them
-    by broadcast, so such a node is no hot key.
+    by broadcast, so such a node is no hot key. Steps end when all edges are stars.
     """
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
     pairs = saved(pairs, "edges")
-    before = _mark(pairs)
+    total, open_nodes = _state(pairs)
     own = [F.min("b").alias("m"), F.count(F.lit(1)).alias("n")]
-    while before[0]:
+    while open_nodes:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(*own).select("u", F.least("u", "m").alias("m"), "n")
-        large = _with_least(both, least, 2 * before[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
+        large = _with_least(both, least, 2 * total).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
         least = large.groupBy(F.col("a").alias("u")).agg(*own)
-        moved = _with_least(large, least, before[0]).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        moved = _with_least(large, least, total).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         pairs = saved(moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
-        after = _mark(pairs)
-        if after == before:
-            break
-        before = after
+        total, open_nodes = _state(pairs)
     roots = pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
