@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import regions as R
-from .components import components, join_copies
-from .embedding_dedup import _roots
+from .components import components, join_copies, roots
 from .memory import lean
 from .store import saved
 
@@ -231,7 +230,7 @@ def _linked(batches, threshold: float):
             if new:
                 i, j = np.array(new).T
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[i], key[j])), pa.array(np.maximum(key[i], key[j]))], names=["a", "b"])
-                root = _roots(len(root), np.concatenate([np.arange(len(root)), node[i]]), np.concatenate([root, node[j]]))
+                root = roots(len(root), np.concatenate([np.arange(len(root)), node[i]]), np.concatenate([root, node[j]]))
                 apart = root[node[x]] != root[node[y]]
                 x, y = x[apart], y[apart]
 
@@ -305,9 +304,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = saved(source.join(involved, "key").dropDuplicates(["key"]), "texts")
     pairs = bands.filter("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()
     links = saved(_verified(pairs, texts, threshold), "links")
-    more = saved(_remaining(bands, components(links), texts, threshold), "links")
-    links = links.unionByName(more)
     groups = components(links)
+    more = saved(_remaining(bands, groups, texts, threshold), "links")
+    groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     found = member.join(groups, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("component", "class").alias("component"))
     rows = source.select("key").join(found, "key", "left").select("key", F.coalesce("class", "key").alias("class"), F.coalesce("component", "key").alias("component"))
     whole = [F.when(F.col(c) != R.NULL_ID, F.col(c)).alias(n) for c, n in (("key", "doc_id"), ("class", "class_id"), ("component", "component_id"))]

@@ -1,16 +1,60 @@
-"""Connected components by alternating large-star and small-star steps."""
+"""Connected components: edges are contracted by each task, then by alternating large-star and small-star steps."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import lean
 from .store import saved
 
+#: Edges that a task contracts at once.
+CONTRACTED = 1 << 20
+
 #: Nodes are hot that have more edges than both HOT_EDGES and a MOST_HOT-th of all.
 HOT_EDGES, MOST_HOT = 256, 4096
 
 
+def roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Smallest member of the connected part of each of n nodes."""
+    root = np.arange(n)
+    while True:
+        new = root.copy()
+        np.minimum.at(new, x, root[y])
+        np.minimum.at(new, y, root[x])
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _contracted(edges: DataFrame, most: int) -> DataFrame:
+    """Edges (a, b), a > b, from each node to the smallest that the edges a task holds at once connect it with: they
+    connect the same nodes as before, are no more, and are far fewer where a task has many edges of a component."""
+
+    def settle(held):
+        a, b = (np.concatenate([t.column(c).to_numpy() for t in held]) for c in ("a", "b"))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = roots(len(nodes), at[: len(a)], at[len(a) :])
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], names=["a", "b"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size >= most:
+                yield settle(held)
+                held, size = [], 0
+        if held:
+            yield settle(held)
+
+    return edges.select("a", "b").mapInArrow(lean(run), "a long, b long")
+
+
 def _state(edges: DataFrame) -> tuple[int, int]:
     """The number of edges (a, b) and that of nodes that keep them from being stars: those with several edges to smaller
     nodes and those with edges of both kinds. Edges to a smaller node that are stars are components with their least node."""
@@ -38,15 +82,18 @@ def join_copies(rows: DataFrame, groups: DataFrame, keys: list[str], copies: str
     return rows.join(F.broadcast(hot), keys).unionByName(rest)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, contracted: int = CONTRACTED) -> DataFrame:
     """edges: a, b (long, undirected). Returns node and component, the smallest node reachable, for every node
     that an edge with different ends has. No edges give no rows; loops and repeated edges are ignored.
 
-    Minima are aggregated before they are shuffled, and edges of nodes with very many neighbours meet them
-    by broadcast, so such a node is no hot key. Steps end when all edges are stars.
+    Edges are first replaced by the stars of ``contracted`` at a time, before anything is shuffled, so few steps are
+    left, and none where that many hold all. Minima are aggregated before they are shuffled, and edges of nodes with
+    very many neighbours meet them by broadcast, so such a node is no hot key. Steps end when all edges are stars.
     """
-    pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
-    pairs = saved(pairs, "edges")
+    pairs = saved(_contracted(edges.filter("a <> b"), contracted), "edges")
+    # files are read together, without a shuffle, by tasks of about ``contracted`` edges each
+    tasks = -(-pairs.count() // contracted) or 1
+    pairs = saved(_contracted(pairs.coalesce(tasks), contracted).distinct(), "edges")
     total, open_nodes = _state(pairs)
     own = [F.min("b").alias("m"), F.count(F.lit(1)).alias("n")]
     while open_nodes:

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import components, join_copies
+from .components import components, join_copies, roots
 from .memory import lean
 from .regions import NULL_ID
 from .store import saved
@@ -79,19 +79,6 @@ def _packed(bits: int) -> np.dtype:
     return np.dtype("<u1" if bits <= 8 else "<u2" if bits <= 16 else "<u4")
 
 
-def _roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Smallest member of the connected part of each of n nodes."""
-    root = np.arange(n)
-    while True:
-        new = root.copy()
-        np.minimum.at(new, x, root[y])
-        np.minimum.at(new, y, root[x])
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _compare(batches, threshold: float, bits: int):
     """For each task (pair of blocks of a bucket): how many vectors each row links with that no earlier
     table has found, and a root that connects what is linked."""
@@ -118,7 +105,7 @@ def _compare(batches, threshold: float, bits: int):
         if not len(x):
             return
         links = np.bincount(x, copies[y], len(key)) + np.bincount(y, copies[x], len(key))
-        root = key[_roots(len(key), x, y)]
+        root = key[roots(len(key), x, y)]
         some = np.flatnonzero(links)
         yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(links[some].astype(np.int64)), pa.array(root[some])], names=["key", "links", "root"])
 
