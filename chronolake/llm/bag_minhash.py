@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import regions as R
-from .components import components, join_copies, roots
+from .components import components, join_copies
 from .memory import lean
 from .store import saved
 
@@ -221,18 +221,35 @@ def _linked(batches, threshold: float):
         row, hashes, weight = (np.concatenate(x) for x in zip(*parts))
         x, y = _candidates(task, group, side, row, hashes, weight, threshold)
         edge = np.searchsorted(row, np.arange(len(key) + 1))
+        total = np.bincount(row, weight, len(key)).astype(np.int64)
+        name = np.unique(hashes, return_inverse=True)[1]
+        own = np.zeros(len(hashes) + 1, np.int64)  # weights of the text at hand, by shingle
         # a group is one in all tasks
         node = np.unique(group, return_inverse=True)[1]
         root = np.arange(len(node))
-        while len(x):
-            new = [(i, j) for i, j in zip(x[:1024].tolist(), y[:1024].tolist()) if weighted_jaccard(*((hashes[edge[k] : edge[k + 1]], weight[edge[k] : edge[k + 1]]) for k in (i, j))) >= threshold]
-            x, y = x[1024:], y[1024:]
-            if new:
-                i, j = np.array(new).T
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[i], key[j])), pa.array(np.maximum(key[i], key[j]))], names=["a", "b"])
-                root = roots(len(root), np.concatenate([np.arange(len(root)), node[i]]), np.concatenate([root, node[j]]))
-                apart = root[node[x]] != root[node[y]]
-                x, y = x[apart], y[apart]
+        heads = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+        links = []
+        for at, end in zip(heads.tolist(), np.append(heads[1:], len(x)).tolist()):
+            i, others = int(x[at]), y[at:end]
+            others = others[root[node[others]] != root[node[i]]]
+            if not len(others):
+                continue
+            mine = slice(edge[i], edge[i + 1])
+            own[name[mine]] = weight[mine]
+            long = edge[others + 1] - edge[others]
+            first = np.cumsum(long) - long
+            cells = np.arange(int(long.sum())) + np.repeat(edge[others] - first, long)
+            both = np.add.reduceat(np.minimum(own[name[cells]], weight[cells]), first)
+            own[name[mine]] = 0
+            near = others[both / (total[i] + total[others] - both) >= threshold]
+            if len(near):
+                met, one = np.unique(root[node[near]], return_index=True)
+                links.append(np.sort(key[np.stack([np.full(len(one), i), near[one]])], axis=0))
+                met = np.append(met, root[node[i]])
+                root[np.isin(root, met)] = met.min()
+        if links:
+            a, b = np.concatenate(links, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     held: list[pa.Table] = []
     size = 0
