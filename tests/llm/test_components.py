@@ -39,3 +39,15 @@ def test_components(spark, name):
     edges = CASES[name]
     found = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert sorted((r.node, r.component) for r in found) == sorted(union(edges).items())
+
+
+@pytest.mark.parametrize("name", ["chain", "random, repeated"])
+def test_components_by_steps(spark, name):
+    """Where a task contracts three edges at once, steps connect what is left."""
+    edges, size = CASES[name], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(size, "3")
+    try:
+        found = components(spark.createDataFrame(edges, "a long, b long"), 3).collect()
+    finally:
+        spark.conf.unset(size)
+    assert sorted((r.node, r.component) for r in found) == sorted(union(edges).items())
