@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bag_minhash, embedding_dedup, html_extraction, packing, quality_rules, sentencepiece_backend, substring_automaton, substring_suffix, token_counts, warc
+from . import bag_minhash, embedding_dedup, html_extraction, lexical_search, packing, quality_rules, secret_scan, sentencepiece_backend, spelling, substring_automaton, substring_suffix, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         packing.op8_packing,
         warc.op9_warc,
         substring_automaton.op10_automaton_dedup,
+        lexical_search.op11_lexical_search,
+        spelling.op12_spelling,
+        secret_scan.op13_secrets,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
+    return {"op3_quality_rules": quality_rules.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op11_lexical_search": lexical_search.ORACLE_SQL}
