@@ -207,5 +207,6 @@ def digest(spans: Column) -> Column:
 def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     base = F.filter("secrets", lambda s: s["kind"].isin(*BASE_KINDS))
-    counts = [F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    counts = [F.size(F.array_remove(F.col("secrets.kind"), k)) for k in BASE_KINDS]
+    counts = [(F.size("secrets") - n).cast("long").alias(f"n_{k}") for n, k in zip(counts, BASE_KINDS)]
     return docs.select("doc_id", *counts, F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("secrets")).alias("spans"))
