@@ -34,8 +34,8 @@ SHARD_DOCS, SHARD_POSTINGS = 16_384, 1 << 21
 BLOCK_COST, BLOCK_MOST = 2_000_000, 64
 #: Items of one pass over the documents.
 PASS_ITEMS = 4096
-#: Documents that are scored before the first are skipped, and then at once.
-SEEDS, STRIDE = 64, 256
+#: Documents that are scored to find what the others have to reach.
+SEEDS = 32
 #: Tasks that merge the shards' results of an item before the last one does.
 MERGERS = 64
 
@@ -227,7 +227,7 @@ class BlockedShard:
         self.first, self.last = docs[start].astype(np.int64), docs[last].astype(np.int64)
         self.largest = np.maximum.reduceat(shares, start) if len(start) else np.zeros(0, np.int64)
         self.blocks = np.searchsorted(start, self.begin)
-        self.scored = 0
+        self.looked = 0  # at postings, by all searches
 
     def bounds(self, slots: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Bound of every document's score: the weighted bounds of the blocks that lie over it."""
@@ -248,31 +248,70 @@ class BlockedShard:
             at[at == len(own)] = 0
             hit = np.flatnonzero(own[at] == docs)
             out[hit] += w * self.shares[a + at[hit]]
-        self.scored += len(docs)
+        self.looked += len(docs) * len(slots)
         return out
 
-    def best(self, query: Query, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the k documents of the highest scores above 0, equal scores by place."""
+    def _settle(self, docs: np.ndarray, upper: np.ndarray, slot: int, weight: int) -> None:
+        """Puts a term's own share of the scores of docs (ascending) in upper, in place of its blocks' bounds."""
+        a, b, p, q = self.begin[slot], self.begin[slot + 1], self.blocks[slot], self.blocks[slot + 1]
+        own, shares = self.docs[a:b], self.shares[a:b]
+        if len(docs) * 8 < len(own):  # few are left: only their blocks are looked at
+            block = np.searchsorted(self.last[p:q], docs)
+            over = np.flatnonzero(block < q - p)
+            over = over[self.first[p + block[over]] <= docs[over]]
+            at = np.searchsorted(own, docs[over])
+            upper[over] -= weight * self.largest[p + block[over]]
+            upper[over] += weight * np.where(own[at] == docs[over], shares[at], 0)
+            self.looked += len(over)
+            return
+        at = np.minimum(np.searchsorted(docs, own), len(docs) - 1)
+        hit = np.flatnonzero(docs[at] == own)
+        upper[at[hit]] += weight * shares[hit]
+        change = np.zeros(len(docs) + 1, np.int64)
+        bound = weight * self.largest[p:q]
+        np.subtract.at(change, np.searchsorted(docs, self.first[p:q]), bound)
+        np.add.at(change, np.searchsorted(docs, self.last[p:q], "right"), bound)
+        upper += np.cumsum(change[:-1])
+        self.looked += len(own)
+
+    def best(self, query: Query, k: int, seeds: int = SEEDS) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the k documents of the highest scores above 0, equal scores by place.
+
+        Terms are taken by what they can add at most. Before the first and after 1, 2, 4, ... of them the ``seeds``
+        documents of the highest bounds are scored, and all whose bound is below the k-th best score are skipped.
+        """
         slots = self.slot[query.terms]
         slots, weights = slots[slots >= 0], query.weights[slots >= 0]
         docs = scores = np.zeros(0, np.int64)
         if not len(slots):
             return docs, scores
-        bound = self.bounds(slots, weights)
-        seeds = np.sort(np.argpartition(-bound, SEEDS)[:SEEDS]) if self.n > SEEDS else np.arange(self.n)
-        left, batch, stride, least = None, seeds, STRIDE, 1
-        while len(batch):
-            docs, scores = np.append(docs, batch), np.append(scores, self.scores(batch, slots, weights))
-            order = np.lexsort((docs, -scores))[:k]
-            order = order[scores[order] > 0]
-            docs, scores = docs[order], scores[order]
+        most = weights * np.maximum.reduceat(self.largest, self.blocks[:-1])[slots]
+        order = np.argsort(-most, kind="stable")
+        slots, weights = slots[order], weights[order]
+        upper = self.bounds(slots, weights)
+        left, least = np.flatnonzero(upper > 0), 1
+        upper = upper[left]
+
+        def keep(some: np.ndarray, own: np.ndarray) -> None:
+            nonlocal docs, scores, least
+            docs, scores = np.append(docs, some), np.append(scores, own)
+            first = np.lexsort((docs, -scores))[:k]
+            first = first[scores[first] > 0]
+            docs, scores = docs[first], scores[first]
             if len(docs) == k:
-                least = int(scores[-1])
-            if left is None:
-                bound[seeds] = 0  # they are settled
-                left = np.flatnonzero(bound >= least)
-            left = left[bound[left] >= least]
-            batch, left, stride = left[:stride], left[stride:], 2 * stride
+                least = max(least, int(scores[-1]))
+
+        for done, (s, w) in enumerate(zip(slots.tolist(), weights.tolist())):
+            if done & (done - 1) == 0:  # 0, 1, 2, 4, ...
+                top = np.sort(np.argpartition(-upper, seeds)[:seeds]) if len(left) > seeds else np.arange(len(left))
+                keep(left[top], self.scores(left[top], slots, weights))
+                upper[top] = 0
+                live = upper >= least
+                left, upper = left[live], upper[live]
+            if not len(left):
+                return docs, scores
+            self._settle(left, upper, s, w)
+        keep(left, upper)  # all terms are settled, so these are scores
         return docs, scores
 
 
