@@ -31,7 +31,7 @@ BEST = 10
 #: Documents and postings of a shard, which a worker holds as arrays.
 SHARD_DOCS, SHARD_POSTINGS = 16_384, 1 << 21
 #: What a block costs, in the unit of shares (a millionth of a term's weight at most), and the most postings of a block.
-BLOCK_COST, BLOCK_MOST = 2_000_000, 64
+BLOCK_COST, BLOCK_MOST = 500_000, 64
 #: Items of one pass over the documents.
 PASS_ITEMS = 4096
 #: Documents that are scored to find what the others have to reach.
