@@ -71,7 +71,7 @@ def writer(folder: str) -> Callable[[DataFrame, int], None]:
 def dispatched(spark: SparkSession, raw: DataFrame, order: str = "id", n: int = 2) -> dict[str, DataFrame]:
     """The tables, by name, that a stream of raw messages (id, body) is written to when it comes in n parts."""
     run = Run(spark, raw.schema, routed)
-    for piece in pieces(raw, order, n):
+    for piece in pieces(run, raw, order, n):
         run.put(piece)
         run.go(writer(f"{run.folder}/tables"))
     return {name: spark.read.parquet(f"{run.folder}/tables/{name}") for name in (*TYPES, DEAD)}

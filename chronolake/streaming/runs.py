@@ -53,8 +53,11 @@ class Run:
         return spark.read.parquet(f"{self.folder}/out")
 
 
-def pieces(arrivals: DataFrame, order: str, n: int) -> list[DataFrame]:
-    """arrivals in n parts by ranges of ``order``; equal values stay together, and a null order comes first."""
+def pieces(run: Run, arrivals: DataFrame, order: str, n: int) -> list[DataFrame]:
+    """arrivals, written once beside the run, in n parts by ranges of ``order``; equal values stay together, and a null
+    order comes first."""
+    arrivals.write.parquet(f"{run.folder}/all")
+    arrivals = arrivals.sparkSession.read.schema(arrivals.schema).parquet(f"{run.folder}/all")
     bounds = arrivals.approxQuantile(order, [k / n for k in range(1, n)], 0.01) if n > 1 else []
     piece = sum(((F.coalesce(F.col(order), F.lit(-(2**62))) > b).cast("int") for b in bounds), F.lit(0))
     return [arrivals.filter(piece == k) for k in range(n)]
@@ -64,7 +67,7 @@ def replay(spark: SparkSession, arrivals: DataFrame, order: str, build: Callable
     """What a stream publishes for arrivals that come in n parts, ``order`` by ``order``. The stream is stopped after each part and
     started again from its checkpoint, so the result must not depend on where it was cut."""
     run = Run(spark, arrivals.schema, build)
-    for piece in pieces(arrivals, order, n):
+    for piece in pieces(run, arrivals, order, n):
         run.put(piece)
         run.go()
     return run.published(spark)
