@@ -15,25 +15,39 @@ from chronolake.operators import speakers
 
 def complete_linkage(vectors: np.ndarray, threshold: float = 0.9, count: int | None = None) -> np.ndarray:
     """Labels from 0 (by first member) of clusters merged while the largest cosine distance within stays at most threshold, or
-    down to ``count`` clusters. Nearest pairs go first (ties: the smallest places)."""
+    down to ``count`` clusters. Nearest pairs go first (ties: the smallest places).
+
+    Each cluster knows the nearest one after it. A union is at least as far from any other as its parts were, so only those
+    whose nearest was one of both look again, and a merge takes time linear in the number of vectors."""
     n = len(vectors)
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     unit = vectors / np.where(norm > 0, norm, 1)
     far = 1 - unit @ unit.T
-    far[np.tril_indices(n)] = np.inf
-    group = np.arange(n)
-    left = n
+    np.fill_diagonal(far, np.inf)
+    nearest, least = np.zeros(n, np.int64), np.full(n, np.inf)
+
+    def look(k: int) -> None:
+        if k + 1 < n:
+            nearest[k] = k + 1 + int(np.argmin(far[k, k + 1 :]))
+            least[k] = far[k, nearest[k]]
+
+    for k in range(n):
+        look(k)
+    group, left = np.arange(n), n
     while left > 1 and (count is None or left > count):
-        i, j = divmod(int(np.argmin(far)), n)
-        if count is None and far[i, j] > threshold:
+        i = int(np.argmin(least))
+        j = int(nearest[i])
+        if count is None and least[i] > threshold:
             break
         group[group == j] = i
-        # Distances to the union are the larger ones of both parts.
-        row = np.maximum(np.minimum(far[i], far[:, i]), np.minimum(far[j], far[:, j]))
-        far[i], far[:, i], far[j], far[:, j] = np.inf, np.inf, np.inf, np.inf
-        live = np.unique(group)
-        low, high = live[live < i], live[live > i]
-        far[low, i], far[i, high] = row[low], row[high]
+        union = np.maximum(far[i], far[j])  # its distances are the larger ones of both parts
+        far[i], far[:, i] = union, union
+        far[j], far[:, j] = np.inf, np.inf
+        least[j] = np.inf
+        nearest[j] = j
+        for k in np.flatnonzero((nearest == i) | (nearest == j) | (np.arange(n) == i)).tolist():
+            if np.isfinite(least[k]):
+                look(k)
         left -= 1
     return np.unique(group, return_inverse=True)[1]
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolake.operators import clusters
+
 # Samples of a chunk, of a step between chunks, between frames and under a frame; samples a second.
 CHUNK, STEP, SHIFT, FIELD, RATE = 160_000, 16_000, 270, 991, 16_000
 
@@ -94,6 +96,31 @@ def sliding_chunks(recordings: DataFrame, chunk: int = CHUNK, step: int = STEP)
     return rows.select("rec", "chunk", begin.alias("from_sample"), F.greatest(begin + chunk - F.col("samples"), F.lit(0)).alias("padding"))
 
 
+def diarized(frames: DataFrame, vectors: DataFrame, samples: DataFrame, threshold: float = 0.9, count: int | None = None, least_s: float = 0.3, on_s: float = 0.3, off_s: float = 0.5) -> DataFrame:
+    """Turns of recordings from end to end. frames: rec, chunk, frame, active; vectors: rec, chunk, slot, embedding, made by a
+    model from the samples of sample_ranges; samples: rec, samples. rec, cluster, start, end in seconds.
+
+    A recording of one chunk needs no clusters: its slots are the speakers. Otherwise the slots of all chunks are clustered
+    by their vectors, and each frame has the clusters with most votes, as many as speakers are heard in it. Slots that speak
+    alone for less than ``least_s`` or whose vector is null or holds nan have no cluster; recordings without any have no turns."""
+    chunks = frames.groupBy("rec").agg(F.max("chunk").alias("last"), (F.max("frame") + 1).alias("n"))
+    lone, more = chunks.filter("last = 0"), chunks.filter("last > 0")
+    slots = _slots(frames.join(lone.select("rec"), "rec", "left_semi")).select("rec", F.col("frame").alias("at"), F.col("slot").alias("cluster"))
+    rest = frames.join(more.select("rec"), "rec", "left_semi")
+    ranges = sample_ranges(rest).join(samples, "rec")
+    heard = ranges.groupBy("rec", "chunk", "slot").agg(F.sum(F.greatest(F.least("to_sample", "samples") - F.col("from_sample"), F.lit(0))).alias("k")).filter(F.col("k") >= least_s * RATE)
+    good = vectors.filter(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: F.isnan(x) | x.isNull())).join(heard, ["rec", "chunk", "slot"], "left_semi")
+    numbered = good.withColumn("vec_id", F.col("chunk").cast("long") * 16 + F.col("slot"))
+    labels = clusters.clustering(numbered, "rec", threshold, count)
+    pairs = labels.select("rec", F.floor(F.col("vec_id") / 16).alias("chunk"), (F.col("vec_id") % 16).alias("slot"), "cluster")
+    counted = votes(rest, pairs).join(samples, "rec")
+    top = top_clusters(truncated(counted, F.col("samples")), speakers_per_frame(rest))
+    grid = more.select("rec", (F.floor((CHUNK + F.col("last") * STEP) / SHIFT) + 1).alias("n")).join(samples, "rec")
+    part = (F.col("samples") > CHUNK) & ((F.col("samples") - CHUNK) % STEP > 0)
+    sizes = grid.select("rec", F.when(part, F.least("n", F.floor(F.col("samples") / SHIFT) + 1)).otherwise(F.col("n")).alias("n"))
+    return to_turns(slots.unionByName(top), lone.select("rec", "n").unionByName(sizes), on_s, off_s)
+
+
 def powerset_slots(classes: Column) -> Column:
     """Active slots of a class of none, one or two of three speakers."""
     # Slots by class.

@@ -2,46 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolake.functions import rules
 from chronolake.operators import sequence
-from chronolake.operators.sequence import _SEGMENT, _exploded, _ordered, _with
+from chronolake.operators.ordered import ordered_pass
 
 
 def absorb_tiny(segments: DataFrame, least_ms: int, gap_ms: int | None = 100, key: str = "conv_id") -> DataFrame:
     """A segment shorter than least_ms with a text joins the nearer neighbour (ties: the one before) if the gap is at
     most gap_ms (None: any). The one before is the last row put out; one that took in its predecessor isn't tested again."""
-    n = F.size("rows")
-    pairs = F.transform("rows", lambda x, i: F.struct(x.alias("cur"), F.get("rows", i + 1).alias("nxt")))
-    begin = F.struct(F.array().cast(f"array<{_SEGMENT}>").alias("out"), F.lit(False).alias("skip"))
-    near = lambda gap: F.lit(True) if gap_ms is None else gap <= gap_ms
-
-    def step(acc: Column, p: Column) -> Column:
-        cur, nxt, out = p["cur"], p["nxt"], acc["out"]
-        prev = F.try_element_at(out, F.lit(-1))
-        tiny = (cur["end_ms"] - cur["start_ms"] < least_ms) & (F.trim(F.coalesce(cur["text"], F.lit(""))) != "")
-        back, ahead = cur["start_ms"] - prev["end_ms"], nxt["start_ms"] - cur["end_ms"]
-        to_prev = prev.isNotNull() & (nxt.isNull() | (back <= ahead))
-        into_prev = tiny & to_prev & near(back)
-        into_next = tiny & ~to_prev & nxt.isNotNull() & near(ahead)
-        text = lambda a, b: F.concat(F.coalesce(a["text"], F.lit("")), F.coalesce(b["text"], F.lit("")))
-        longer = _with(prev, text=text(prev, cur), end_ms=F.greatest(prev["end_ms"], cur["end_ms"]))
-        earlier = _with(nxt, text=text(cur, nxt), start_ms=F.least(cur["start_ms"], nxt["start_ms"]))
-        rest = F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))
-        new = F.when(acc["skip"], out).when(into_prev, F.concat(rest, F.array(longer))).when(into_next, F.concat(out, F.array(earlier))).otherwise(F.concat(out, F.array(cur)))
-        return F.struct(new.alias("out"), F.coalesce(~acc["skip"] & into_next, F.lit(False)).alias("skip"))
-
-    folded = _ordered(segments, key).filter(n > 0).withColumn("pairs", pairs)
-    return _exploded(folded.select(key, F.aggregate("pairs", begin, step, lambda a: a["out"]).alias("rows")), key)
+
+    def fold(rows):
+        n, last, skip = 0, None, False  # last may still take in what follows
+        cur = next(rows)[2:]
+        while cur is not None:
+            ahead = next(rows, None)
+            ahead = ahead and ahead[2:]
+            (who, text, start, end), now = cur, cur
+            cur = ahead
+            if skip:
+                skip = False
+                continue
+            if start is not None and end is not None and end - start < least_ms and (text or "").strip(" "):
+                back = None if last is None or last[3] is None else start - last[3]
+                front = None if ahead is None or ahead[2] is None else ahead[2] - end
+                to_last = last is not None and (ahead is None or (back is not None and front is not None and back <= front))
+                gap = back if to_last else front
+                if (to_last or ahead is not None) and (gap_ms is None or (gap is not None and gap <= gap_ms)):
+                    if to_last:
+                        last = (last[0], (last[1] or "") + (text or ""), last[2], end if last[3] is None else max(last[3], end))
+                        continue
+                    now = (ahead[0], (text or "") + (ahead[1] or ""), start if ahead[2] is None else min(start, ahead[2]), ahead[3])
+                    skip = True
+            if last is not None:
+                yield n, *last
+                n += 1
+            last = now
+        yield n, *last
+
+    return ordered_pass(segments, key, sequence._ORDER, sequence._columns(), fold, sequence._OUT)
 
 
 def short_guard(segments: DataFrame, least_ms: int = 1500, middle_ms: int = 1500, gap_ms: int = 50, cap_ms: int = 0, key: str = "conv_id") -> DataFrame:
-    """absorb_tiny, smooth_aba, then the merge of neighbours of one speaker. All three are grouped by one key: one shuffle."""
+    """absorb_tiny, smooth_aba, then the merge of neighbours of one speaker: three passes after one shuffle."""
     rows = absorb_tiny(segments, least_ms, gap_ms, key).withColumnRenamed("seg_no", "pos")
-    rows = sequence.smooth_aba(rows, middle_ms, key=key).withColumnRenamed("seg_no", "pos")
-    return sequence.merge_segments(rows, gap_ms, cap_ms, closed=True, guard=False, key=key)
+    rows = sequence.smooth_aba(rows, middle_ms, key=key, placed=True).withColumnRenamed("seg_no", "pos")
+    return sequence.merge_segments(rows, gap_ms, cap_ms, closed=True, guard=False, key=key, placed=True)
 
 
 def has_aba(segments: DataFrame, most_ms: int, keys: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,15 +14,21 @@ def macro_cuts(duration: int, gaps: list[tuple[int, int]], target: int, soft: in
     limit, else the target; a rest shorter than ``least`` joins the last segment."""
     if not 0 < least <= target <= soft <= hard:
         raise ValueError("0 < least <= target <= soft <= hard must hold")
+    gaps = sorted(gaps, key=sum)
+    middles = [sum(g) / 2 for g in gaps]
+
+    def between(low: float, high: float) -> list[tuple[int, int]]:
+        return gaps[bisect_left(middles, low) : bisect_right(middles, high)]
+
     ends, at = [], 0.0
     while at < duration:
         if duration - at <= soft:
             end = float(duration)
         else:
             goal = at + target
-            near = [g for g in gaps if max(at + least, goal - search) <= sum(g) / 2 <= min(at + soft, goal + search)]
-            near = near or [g for g in gaps if at + least <= sum(g) / 2 <= min(duration, at + hard)]
-            end = sum(min(near, key=lambda g: (abs(sum(g) / 2 - goal), g[0] - g[1]))) / 2 if near else goal
+            near = between(max(at + least, goal - search), min(at + soft, goal + search))
+            near = near or between(at + least, min(duration, at + hard))
+            end = sum(min(near, key=lambda g: (abs(sum(g) / 2 - goal), g[0] - g[1], g))) / 2 if near else goal
         if duration - end < least:
             end = float(duration)
         ends.append(end)

@@ -1,4 +1,4 @@
-"""Operators on ordered segments. State that depends on earlier output is an in-Catalyst fold over one recording."""
+"""Operators on ordered segments. State that depends on earlier output is one ordered pass over a recording."""
 
 from __future__ import annotations
 
@@ -6,63 +6,69 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolake.functions import rules
+from chronolake.operators.ordered import ordered_pass
 
-_SEGMENT = "struct<pos:bigint,speaker:string,text:string,start_ms:bigint,end_ms:bigint>"
+_ORDER = ["pos", "speaker", "text", "start_ms", "end_ms"]
+_OUT = "seg_no long, speaker string, text string, start_ms long, end_ms long"
 
 
-def _ordered(segments: DataFrame, key: str) -> DataFrame:
-    row = F.struct("pos", "speaker", "text", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms")).cast(_SEGMENT)
-    return segments.groupBy(key).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+def _columns() -> list[str | Column]:
+    return ["pos", "speaker", "text", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms")]
 
 
-def _exploded(folded: DataFrame, key: str) -> DataFrame:
-    return folded.select(key, F.posexplode("rows").alias("seg_no", "s")).select(key, F.col("seg_no").cast("long").alias("seg_no"), "s.speaker", "s.text", "s.start_ms", "s.end_ms")
-
-
-def _with(s: Column, **new: Column) -> Column:
-    return F.struct(*(new.get(c, s[c]).alias(c) for c in ("pos", "speaker", "text", "start_ms", "end_ms"))).cast(_SEGMENT)
-
-
-def merge_segments(segments: DataFrame, gap_ms: int, cap_ms: int, closed: bool = False, guard: bool = True, key: str = "conv_id") -> DataFrame:
+def merge_segments(segments: DataFrame, gap_ms: int, cap_ms: int, closed: bool = False, guard: bool = True, key: str = "conv_id", placed: bool = False) -> DataFrame:
     """Merges a segment into the one before if the speaker is the same (null-safe), the gap is below gap_ms (closed:
     or equal) and the merged span is at most cap_ms (<= 0: no cap). guard: and it does not start before the
-    previous input row. End is the larger one; texts are joined."""
-    start = F.struct(F.array().cast(f"array<{_SEGMENT}>").alias("done"), F.lit(None).cast(_SEGMENT).alias("now"), F.lit(None).cast("bigint").alias("last"))
-
-    def step(acc: Column, x: Column) -> Column:
-        now = acc["now"]
-        gap = x["start_ms"] - now["end_ms"]
-        join = now.isNotNull() & now["speaker"].eqNullSafe(x["speaker"]) & ((gap <= gap_ms) if closed else (gap < gap_ms))
-        if guard:
-            join = join & (x["start_ms"] >= acc["last"])
-        if cap_ms > 0:
-            join = join & (x["end_ms"] - now["start_ms"] <= cap_ms)
-        merged = _with(now, text=F.concat(now["text"], x["text"]), end_ms=F.greatest(now["end_ms"], x["end_ms"]))
-        done = F.when(join | now.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(now)))
-        return F.struct(done.alias("done"), F.when(join, merged).otherwise(x).cast(_SEGMENT).alias("now"), x["start_ms"].alias("last"))
-
-    rows = F.aggregate("rows", start, step, lambda a: F.concat(a["done"], F.array(a["now"])))
-    return _exploded(_ordered(segments, key).select(key, rows.alias("rows")), key)
-
-
-def smooth_aba(segments: DataFrame, most_ms: int, dense_ms: int = 1000, dense_cps: float = 5.0, wide: bool = False, key: str = "conv_id") -> DataFrame:
+    previous input row. End is the larger one; texts are joined. Times that are null merge with nothing, and a null
+    text makes the joined one null."""
+
+    def joins(speaker, first, until, last, who, start, end) -> bool:
+        if speaker != who or start is None or until is None or (guard and (last is None or start < last)):
+            return False
+        if cap_ms > 0 and (end is None or first is None or end - first > cap_ms):
+            return False
+        return start - until <= gap_ms if closed else start - until < gap_ms
+
+    def fold(rows):
+        n, speaker, texts, first, until, last = -1, None, None, None, None, None
+        for _, _, who, text, start, end in rows:
+            if n >= 0 and joins(speaker, first, until, last, who, start, end):
+                texts.append(text)
+                until = max(until, end) if end is not None else until
+            else:
+                if n >= 0:
+                    yield n, speaker, None if None in texts else "".join(texts), first, until
+                n, speaker, texts, first, until = n + 1, who, [text], start, end
+            last = start
+        yield n, speaker, None if None in texts else "".join(texts), first, until
+
+    return ordered_pass(segments, key, _ORDER, _columns(), fold, _OUT, placed)
+
+
+def smooth_aba(segments: DataFrame, most_ms: int, dense_ms: int = 1000, dense_cps: float = 5.0, wide: bool = False, key: str = "conv_id", placed: bool = False) -> DataFrame:
     """A short middle segment between two of another speaker takes their speaker if it is a backchannel, or no
     longer than dense_ms with dense_cps characters a second or more. Left to right: a changed segment is the
     next one's left neighbour. wide: more assents, and tails of questions."""
-    begin = F.array().cast(f"array<{_SEGMENT}>")
-
-    def step(acc: Column, x: Column) -> Column:
-        b, a = F.try_element_at(acc, F.lit(-1)), F.try_element_at(acc, F.lit(-2))
-        span = b["end_ms"] - b["start_ms"]
-        dense = (span <= dense_ms) & (F.length(F.trim(b["text"])) * 1000 >= dense_cps * span) & (span > 0)
-        small = rules.backchannel(F.trim(b["text"]), wide) | dense
-        if wide:
-            small = small | rules.question_tail(b["text"])
-        hit = (F.size(acc) >= 2) & a["speaker"].eqNullSafe(x["speaker"]) & ~b["speaker"].eqNullSafe(x["speaker"]) & (span <= most_ms) & small
-        changed = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(_with(b, speaker=x["speaker"]), x))
-        return F.when(hit, changed).otherwise(F.concat(acc, F.array(x)))
-
-    return _exploded(_ordered(segments, key).select(key, F.aggregate("rows", begin, step).alias("rows")), key)
+    span = F.col("end_ms") - F.col("start_ms")
+    bare = F.trim("text")
+    small = rules.backchannel(bare, wide) | ((span <= dense_ms) & (F.length(bare) * 1000 >= dense_cps * span) & (span > 0))
+    if wide:
+        small = small | rules.question_tail(F.col("text"))
+    small = F.coalesce((span <= most_ms) & small, F.lit(False)).alias("small")
+
+    def fold(rows):
+        before = held = None  # the last two segments, of which the later one may still change
+        n = 0
+        for _, _, who, text, start, end, may in rows:
+            if held is not None:
+                if before is not None and held[4] and before[0] == who and held[0] != who:
+                    held = (who, *held[1:])
+                yield n, *held[:4]
+                n += 1
+            before, held = held, (who, text, start, end, may)
+        yield n, *held[:4]
+
+    return ordered_pass(segments, key, _ORDER, [*_columns(), small], fold, _OUT, placed)
 
 
 def speaker_runs(segments: DataFrame, key: str = "conv_id") -> DataFrame:

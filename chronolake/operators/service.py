@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolake.operators.ordered import ordered_pass
 from chronolake.operators.results import TERMINAL
 
 
@@ -54,21 +55,21 @@ def retries(attempts: DataFrame, most: int, key: str = "task_id", order: str = "
 def alert_states(scrapes: DataFrame, key: str, at: str, firing: str, cooldown: int, recovers: bool = True) -> DataFrame:
     """scrapes: key, at (seconds), firing (null: unknown, the state stays). Notices: fire when a rule begins to hold, again once ``cooldown`` has
     passed since the last notice, recovery when it ends. The last notice depends on earlier ones, so rules are folded in order."""
-    kind = "struct<since:bigint,last:bigint,out:array<struct<at:bigint,notice:string>>>"
-    rows = scrapes.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(at).cast("bigint").alias("at"), F.col(firing).alias("f")))).alias("s"))
-    none = F.lit(None).cast("bigint")
-    begin = F.struct(none.alias("since"), none.alias("last"), F.array().cast("array<struct<at:bigint,notice:string>>").alias("out")).cast(kind)
-
-    def step(s: Column, x: Column) -> Column:
-        on, f = s["since"].isNotNull(), x["f"]
-        fresh, again, over = f & ~on, f & on & (x["at"] - s["last"] >= cooldown), ~f & on
-        notice = F.when(fresh, "fire").when(again, "repeat").when(over & F.lit(recovers), "recovery")
-        since = F.when(f.isNull(), s["since"]).when(~f, none).otherwise(F.coalesce(s["since"], x["at"]))
-        last = F.when(f.isNull(), s["last"]).when(~f, none).when(fresh | again, x["at"]).otherwise(s["last"])
-        out = F.when(notice.isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(x["at"].alias("at"), notice.alias("notice")))))
-        return F.struct(since.alias("since"), last.alias("last"), out.alias("out")).cast(kind)
-
-    return rows.select(key, F.explode(F.aggregate("s", begin, step, lambda s: s["out"])).alias("n")).select(key, "n.at", "n.notice")
+    def fold(rows):
+        since = last = None
+        for _, now, on in rows:
+            if on is None:
+                continue
+            if not on:
+                if since is not None and recovers:
+                    yield now, "recovery"
+                since = last = None
+            elif since is None or now - last >= cooldown:
+                yield now, "fire" if since is None else "repeat"
+                since, last = now if since is None else since, now
+
+    rows = scrapes.select(key, F.col(at).cast("long").alias("at"), F.col(firing).alias("firing"))
+    return ordered_pass(rows, key, ["at", "firing"], ["at", "firing"], fold, "at long, notice string")
 
 
 def status_answers(requests: DataFrame, tasks: DataFrame, evicted: DataFrame, most: int = 50) -> DataFrame:
