@@ -3,8 +3,6 @@ to some thousand vectors) are one group; recordings are spread over the cluster.
 
 from __future__ import annotations
 
-from itertools import permutations, product
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -185,18 +183,18 @@ def _assigned(gain: list[list[int]]) -> list[int]:
 
 
 def best_mapping(confusion: dict) -> dict:
-    """Mapping of labels that covers most of the counts {(own, true): n}; labels in order, the first best one; with more labels
-    than true ones, several may share one. Beyond seven labels, where trials grow as factorials, the Hungarian method finds a best one."""
+    """Mapping of labels that covers most of the counts {(own, true): n}: one-to-one, or, with more own labels than true ones,
+    each to its most frequent one. Of equally good mappings it is the first, as labels are sorted: the first label has the
+    smallest true one it can, then the second."""
     own, true = sorted({a for a, _ in confusion}), sorted({b for _, b in confusion})
+    if len(own) > len(true):
+        return {a: max(true, key=lambda b: confusion.get((a, b), 0)) for a in own}
     if not own:
         return {}
-    if max(len(own), len(true)) > 7:
-        if len(own) <= len(true):
-            return {a: true[j] for a, j in zip(own, _assigned([[confusion.get((a, b), 0) for b in true] for a in own]))}
-        return {a: max(true, key=lambda b: (confusion.get((a, b), 0), [-ord(c) for c in b])) for a in own}
-    trials = permutations(true, len(own)) if len(own) <= len(true) else product(true, repeat=len(own))
-    best = max(trials, key=lambda t: sum(confusion.get(p, 0) for p in zip(own, t)))
-    return dict(zip(own, best))
+    # a place costs less than any count is worth, and that of an earlier label more than all of later ones
+    n, m = len(own), len(true)
+    gain = [[confusion.get((a, b), 0) * m**n - j * m ** (n - 1 - i) for j, b in enumerate(true)] for i, a in enumerate(own)]
+    return {a: true[j] for a, j in zip(own, _assigned(gain))}
 
 
 def label_mapping(counts: DataFrame, key: str = "rec") -> DataFrame:

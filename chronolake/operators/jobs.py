@@ -74,10 +74,17 @@ def waiting_ranges(tasks: DataFrame, key: str) -> DataFrame:
     return tasks.groupBy(key).agg(F.count_if(F.col("queue_position").isNotNull()).alias("waiting"), F.count_if("refused").alias("refused"), *ranges)
 
 
-def counters(events: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The value of a key's counter after each of its events."""
-    window = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("value", F.count(F.lit(1)).over(window))
+def counters(events: DataFrame, key: str, order: list[str], coarse: Column) -> DataFrame:
+    """The value of a key's counter after each of its events. coarse: a value that never falls along ``order``, such as the hour.
+    Events are counted by key and coarse value, and numbered within them from the sum of those before, so a key with most of
+    the events is no single task."""
+    rows = events.withColumn("__coarse", coarse)
+    sums = rows.groupBy(key, "__coarse").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(key).orderBy("__coarse").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col(key).alias("__key"), F.col("__coarse").alias("__at"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy(key, "__coarse").orderBy(*order))
+    numbered = rows.withColumn("__own", own).join(sums, F.col(key).eqNullSafe(F.col("__key")) & F.col("__coarse").eqNullSafe(F.col("__at")))
+    return numbered.withColumn("value", F.col("__before") + F.col("__own")).drop("__coarse", "__key", "__at", "__before", "__own")
 
 
 def probe_alerts(probes: DataFrame, key: str, order: str, ratio: float, surge: int) -> DataFrame:
@@ -141,10 +148,28 @@ def without_comments(settings: Column) -> Column:
     return F.map_filter(settings, lambda k, v: ~k.rlike(r"(^|\.)_comment"))
 
 
-def layered(default: Column, file: Column, environment: Column) -> Column:
-    """Maps of settings, later ones before earlier ones, key by key."""
-    keys = F.array_distinct(F.concat(*(F.map_keys(m) for m in (default, file, environment))))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.coalesce(F.element_at(environment, k), F.element_at(file, k), F.element_at(default, k))))
+def layered(*layers: Column) -> Column:
+    """Maps of settings, later ones before earlier ones, key by key: a null wins too, a value takes the place of the settings
+    below it, and a setting below a value takes the value's place."""
+
+    def over(low: Column, high: Column) -> Column:
+        hidden = lambda k: F.exists(F.map_keys(high), lambda p: (p == k) | F.startswith(k, F.concat(p, F.lit("."))) | F.startswith(p, F.concat(k, F.lit("."))))
+        return F.map_concat(F.map_filter(low, lambda k, v: ~hidden(k)), high)
+
+    out = layers[0]
+    for layer in layers[1:]:
+        out = over(out, layer)
+    return out
+
+
+def profile(name: Column, profiles: dict[str, dict[str, str | None]]) -> Column:
+    """The settings of a named profile; none where the name is empty or unknown. Names are trimmed and in lower case."""
+    empty = F.create_map().cast("map<string,string>")
+    out = F.when(F.lit(False), empty)
+    for known, settings in profiles.items():
+        own = F.create_map(*(F.lit(x).cast("string") for kv in settings.items() for x in kv))
+        out = out.when(F.lower(F.trim(name)) == known, own)
+    return out.otherwise(empty)
 
 
 def prompt(prefix: str, terms: Column) -> Column:
@@ -178,10 +203,13 @@ def free_memory(log: Column) -> Column:
 
 
 def process_memory(log: Column, pid: Column) -> Column:
-    """Sum of what the lines "pid, MiB" of a process say; 0 without any."""
+    """Sum of what the lines "pid, MiB" of a process say; 0 without any, null if a line can't be read."""
     lines = F.filter(F.split(log, "\n"), lambda x: F.trim(x) != "")
-    own = F.filter(lines, lambda x: F.trim(F.split_part(x, F.lit(","), F.lit(1))).cast("long") == pid)
-    return F.aggregate(own, F.lit(0).cast("long"), lambda s, x: s + F.trim(F.split_part(x, F.lit(","), F.lit(2))).cast("long"))
+    number = lambda x, k: F.trim(F.regexp_extract(x, "^([^,]*),(.*)$", k)).try_cast("long")
+    rows = F.transform(lines, lambda x: F.struct(number(x, 1).alias("pid"), number(x, 2).alias("used")))
+    spoilt = F.exists(rows, lambda r: r["pid"].isNull() | ((r["pid"] == pid) & r["used"].isNull()))
+    return F.when(~spoilt, F.aggregate(F.filter(rows, lambda r: r["pid"] == pid), F.lit(0).cast("long"), lambda s, r: s + r["used"]))
+
 
 
 def hypothesis(segments: DataFrame, normalized: Column, key: str = "conv_id") -> DataFrame:

@@ -66,7 +66,7 @@ def waiting_ranges(spark, d) -> DataFrame:
 
 @query(f"{TASKS} select task_id, row_number() over (partition by status order by created_at, task_id) as value from tasks")
 def terminal_counters(spark, d) -> DataFrame:
-    return jobs.counters(S.task_rows(spark, d), "status", ["created_at", "task_id"]).select("task_id", "value")
+    return jobs.counters(S.task_rows(spark, d), "status", ["created_at", "task_id"], F.date_trunc("hour", "created_at")).select("task_id", "value")
 
 
 @query("""with p as (select user_id, event_id, event_type <> 'error' as up, event_id % 3 = 0 as sick, case when event_id % 4 > 0 then event_id * 3 end as errors, event_id % 11 as q, event_id % 2 * 10 as qm from events),
@@ -142,23 +142,26 @@ def progress_curves(spark, d) -> DataFrame:
     return rows.select("event_id", jobs.progress(F.coalesce("value", F.lit(0.0)), F.col("event_id") % 50 + 1).alias("percent"), jobs.heartbeat(F.col("event_id") % 40).cast("int").alias("beat"))
 
 
-@query("""select event_id, (event_id % 90)::bigint + 7 as used, case when event_id % 3 > 0 then event_id % 1000 end::int as free from events""")
+@query("""select event_id, case when event_id % 7 <> 1 then (event_id % 90)::bigint + 7 end as used, case when event_id % 3 > 0 then event_id % 1000 end::int as free from events""")
 def memory_logs(spark, d) -> DataFrame:
     i = F.col("event_id")
-    log = F.concat((i + 1).cast("string"), F.lit(", 5\n\n "), i.cast("string"), F.lit(", "), (i % 90).cast("string"), F.lit("\n"), i.cast("string"), F.lit(",7\n"))
+    log = F.concat((i + 1).cast("string"), F.lit(", 5\n\n "), i.cast("string"), F.lit(", "), (i % 90).cast("string"), F.lit("\n"), i.cast("string"), F.lit(",7\n"), F.when(i % 14 == 1, "[N/A], 5\n").when(i % 14 == 8, "none\n").otherwise(""))
     free = F.when(i % 3 > 0, F.concat(F.lit(" "), (i % 1000).cast("string"), F.lit(" \n9\n"))).otherwise("[N/A]\n9")
     return S.table(spark, d, "events").select("event_id", jobs.process_memory(log, i).alias("used"), jobs.free_memory(free).alias("free"))
 
 
-@query("""select doc_id, coalesce('f' || case when doc_id % 2 = 0 then doc_id end, 'd') as engine, case when doc_id % 3 = 0 then 'e' else 'd' end as model, 2 as keys from documents""")
+@query("""select doc_id, case when doc_id % 5 = 0 then 'p' else coalesce('f' || case when doc_id % 2 = 0 then doc_id end, 'd') end as engine, case when doc_id % 3 = 0 then 'e' when doc_id % 5 = 0 then null else 'd' end as model,
+case when doc_id % 7 = 0 then 'off' end as cache, case when doc_id % 7 > 0 then '9' end as cache_size, 3 as keys from documents""")
 def layered_settings(spark, d) -> DataFrame:
+    """Defaults, a file, a profile and the environment of each document."""
     i, text = F.col("doc_id"), lambda *kv: F.create_map(*(F.lit(x) if isinstance(x, str) else x for x in kv))
     empty = F.create_map().cast("map<string,string>")
-    file = F.when(i % 2 == 0, text("asr.engine", F.concat(F.lit("f"), i.cast("string")), "asr._comment_engine", "no")).otherwise(empty)
+    file = F.map_concat(F.when(i % 2 == 0, text("asr.engine", F.concat(F.lit("f"), i.cast("string")), "asr._comment_engine", "no")).otherwise(empty), F.when(i % 7 == 0, text("cache", "off")).otherwise(empty))
+    chosen = jobs.profile(F.when(i % 5 == 0, " Server").when(i % 5 == 1, "unknown").otherwise(""), {"server": {"asr.engine": "p", "asr.model": None}, "laptop": {"asr.engine": "l"}})
     environment = F.when(i % 3 == 0, text("asr.model", "e")).otherwise(empty)
-    out = jobs.without_comments(jobs.layered(text("asr.engine", "d", "asr.model", "d", "_comment", "x"), file, environment))
+    out = jobs.without_comments(jobs.layered(text("asr.engine", "d", "asr.model", "d", "cache.size", "9", "_comment", "x"), file, chosen, environment))
     rows = S.table(spark, d, "documents").select("doc_id", out.alias("m"))
-    return rows.select("doc_id", F.col("m")["asr.engine"].alias("engine"), F.col("m")["asr.model"].alias("model"), F.size("m").alias("keys"))
+    return rows.select("doc_id", F.col("m")["asr.engine"].alias("engine"), F.col("m")["asr.model"].alias("model"), F.col("m")["cache"].alias("cache"), F.col("m")["cache.size"].alias("cache_size"), F.size("m").alias("keys"))
 
 
 @query("""select o_orderkey, '| t' || o_orderkey || ' | ' || printf('%.1f', (o_orderkey % 9)::double + 0.25) || ' | ' || printf('%.0f', (o_orderkey % 50)::double) || ' | ' || printf('%.3f', (o_orderkey % 8) / 8.0::double) || ' | ' || o_orderkey % 12 || ' | ' || printf('%.1f', (o_orderkey % 5)::double) || ' | 0.0 |' as row from orders""")

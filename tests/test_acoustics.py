@@ -267,3 +267,18 @@ def test_macro_cuts_by_search():
         gaps = sorted((a, a + rng.randint(1, 9)) for a in rng.sample(range(400), rng.randint(0, 40)))
         args = (rng.randint(1, 400), gaps, rng.randint(20, 40), rng.randint(40, 50), rng.randint(50, 70), rng.randint(1, 20), rng.randint(0, 15))
         assert planning.macro_cuts(*args) == plain(*args)
+
+
+def test_mapping_is_the_first_best():
+    """Equal to trying all mappings in order, with ties, on either side of any number of labels."""
+    from itertools import permutations, product
+
+    rng = random.Random(11)
+    for _ in range(200):
+        own, true = [str(k) for k in range(rng.randint(1, 4))], "vwxyz"[: rng.randint(1, 5)]
+        counts = {(a, b): rng.randint(0, 3) for a in own for b in true}
+        trials = permutations(true, len(own)) if len(own) <= len(true) else product(true, repeat=len(own))
+        best = max(trials, key=lambda t: sum(counts[p] for p in zip(own, t)))
+        assert clusters.best_mapping(counts) == dict(zip(own, best))
+    many = {(f"{a:02}", f"{b:02}"): 5 if a == b else 1 for a in range(12) for b in range(12)}
+    assert clusters.best_mapping(many) == {f"{k:02}": f"{k:02}" for k in range(12)}
