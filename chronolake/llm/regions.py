@@ -349,7 +349,7 @@ def repeated_ranges(docs: DataFrame, plan: Plan, compare: Callable) -> DataFrame
             if len(rows):
                 number = np.cumsum(whole) - 1
                 strings = [raw[a[k] : b[k]] for k in first[whole].tolist()]
-                yield as_sent(decide(strings, windows[first[whole]], number[group[rows]], key[rows], start[rows], np.ones(len(rows), np.int64), key[rows]))
+                yield as_sent(decide(strings, anchor[first[whole]], windows[first[whole]], number[group[rows]], key[rows], start[rows], np.ones(len(rows), np.int64), key[rows]))
             sent = first if plan.scope != "docs" else np.flatnonzero(~whole[group] | np.isin(np.arange(len(order)), first))
             text = [raw[a[k] : b[k]] for k in sent.tolist()]
             alike = copies[group[sent]] if plan.scope == "any" else np.ones(len(sent), np.int64)
@@ -362,13 +362,13 @@ def repeated_ranges(docs: DataFrame, plan: Plan, compare: Callable) -> DataFrame
         spot, n = mix(doc.astype(np.int64).view(U) + begin.astype(np.int64).view(U)).view(np.int64), len(doc)
         return pa.RecordBatch.from_arrays([pa.array(spot), pa.array(doc), pa.array(begin), pa.nulls(n, pa.int32()), pa.array(end), *(pa.nulls(n, f.type) for f in list(_SENT)[5:])], schema=_SENT)
 
-    def decide(strings, size, of, doc, start, copies, high):
+    def decide(strings, anchor, size, of, doc, start, copies, high):
         """Ranges (doc, begin, end) that repeated windows cover: of[k] is the string at place k (doc, start), where
         copies[k] places are alike, up to document high[k]."""
         order = np.lexsort((start, doc, of))
         lead = order[np.searchsorted(of[order], np.arange(len(strings)))]  # the first place of each string
         sort = np.lexsort((start[lead], doc[lead]))
-        strings, size, lead = [strings[k] for k in sort.tolist()], size[sort], lead[sort]
+        strings, anchor, size, lead = [strings[k] for k in sort.tolist()], anchor[sort], size[sort], lead[sort]
         rank = np.empty(len(sort), np.int64)
         rank[sort] = np.arange(len(sort))
         of = rank[of]
@@ -376,6 +376,11 @@ def repeated_ranges(docs: DataFrame, plan: Plan, compare: Callable) -> DataFrame
         total = np.bincount(of, copies, len(strings)).astype(np.int64)
         numbers, heads = compare(plan, strings, size, total)
         mask = np.zeros(int(size.sum()), bool)
+        if plan.scope == "docs" and len(numbers):  # equal windows of different anchors are those of different groups
+            own, kind = anchor[np.searchsorted(base, numbers, "right") - 1], np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(numbers))))
+            apart = np.lexsort((own, kind))
+            numbers, own, kind = numbers[apart], own[apart], kind[apart]
+            heads = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (kind[1:] != kind[:-1])))
         if len(numbers):
             lengths = np.diff(np.append(heads, len(numbers)))
             owner = np.searchsorted(base, numbers, "right") - 1
@@ -423,7 +428,7 @@ def repeated_ranges(docs: DataFrame, plan: Plan, compare: Callable) -> DataFrame
             return
         number, rows = np.cumsum(use) - 1, np.flatnonzero(use[group])
         strings = text.take(pa.array(first[use])).to_pylist()
-        yield _cover_batch(*decide(strings, windows[first[use]], number[group[rows]], doc[rows], start[rows], copies[rows], high[rows]))
+        yield _cover_batch(*decide(strings, anchor[first[use]], windows[first[use]], number[group[rows]], doc[rows], start[rows], copies[rows], high[rows]))
 
     def shard(batches):
         held, size = [], 0

@@ -19,54 +19,62 @@ ANCHOR = 11
 RESULT = ("kept", "n_words", "n_removed")
 
 
-def _symbols(strings: list[bytes]) -> list[str]:
-    """Each string as text with one code point for each word; equal words have equal code points."""
-    ids: dict[bytes, str] = {}
-    out = []
-    for s in strings:
-        for w in (words := s.split()):
-            if w not in ids:
-                n = len(ids) + 1
-                ids[w] = chr(n if n < 0xD800 else n + 0x800)
-        out.append("".join([ids[w] for w in words]))
-    return out
-
-
-def recurring_passages(texts: list[str], copies: list[int], width: int) -> list[str]:
+#: Words that one code point can name, and bits of the second of two, which lies above all first ones.
+ONE_POINT, LOW_BITS = 1_112_000, 15
+
+
+def _symbols(strings: list[bytes], most: int = ONE_POINT) -> tuple[list[str], int]:
+    """Each string as text in which every word has a name of as many code points, and how many these are: one, or two where
+    there are more than ``most`` words. The second point of a name is no first one, so names are found at their places only."""
+    ids: dict[bytes, int] = {}
+    numbers = [[ids.setdefault(w, len(ids) + 1) for w in s.split()] for s in strings]
+    if len(ids) <= most:
+        name = {n: chr(n if n < 0xD800 else n + 0x800) for n in ids.values()}
+        return ["".join([name[n] for n in own]) for own in numbers], 1
+    first, second = 1 << LOW_BITS, (1 << LOW_BITS) - 1
+    if len(ids) >> LOW_BITS >= first:
+        raise ValueError("more words than names")
+    name = {n: chr((n >> LOW_BITS) + 1) + chr(0x10000 + (n & second)) for n in ids.values()}
+    return ["".join([name[n] for n in own]) for own in numbers], 2
+
+
+def recurring_passages(texts: list[str], copies: list[int], width: int, points: int = 1) -> list[str]:
     """The longest phrases that recur as a whole: runs of windows at two places or more, of which each is
-    always followed by the next. So every place of a recurring window lies in a place of its passage."""
+    always followed by the next. So every place of a recurring window lies in a place of its passage.
+    points: code points of a word's name."""
     seen, joined = Counter(), Counter()
+    step, size = points, points * width
     for t, n in zip(texts, copies):
-        for k in range(len(t) - width + 1):
-            seen[t[k : k + width]] += n
-        for k in range(len(t) - width):
-            joined[t[k : k + width + 1]] += n
+        for k in range(0, len(t) - size + 1, step):
+            seen[t[k : k + size]] += n
+        for k in range(0, len(t) - size, step):
+            joined[t[k : k + size + step]] += n
     found: dict[str, None] = {}
     for t in texts:
-        k, last = 0, len(t) - width
+        k, last = 0, len(t) - size
         while k <= last:
-            n, end = seen[t[k : k + width]], k
+            n, end = seen[t[k : k + size]], k
             if n > 1:
-                while end < last and seen[t[end + 1 : end + 1 + width]] == joined[t[end : end + width + 1]] == n:
-                    end += 1
-                found[t[k : end + width]] = None
-            k = end + 1
+                while end < last and seen[t[end + step : end + step + size]] == joined[t[end : end + size + step]] == n:
+                    end += step
+                found[t[k : end + size]] = None
+            k = end + step
     return list(found)
 
 
 def classes_by_automaton(plan: R.Plan, strings: list[bytes], windows: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Windows of strings that lie in an occurrence of a recurring passage, by passage and place in it, and
     where each such class begins. The occurrences come from an automaton over all passages."""
-    texts = _symbols(strings)
+    texts, points = _symbols(strings)
     automaton = ahocorasick.Automaton()
     sizes = []
-    for passage in recurring_passages(texts, copies.tolist(), plan.width):
+    for passage in recurring_passages(texts, copies.tolist(), plan.width, points):
         automaton.add_word(passage, (len(sizes), len(passage)))
-        sizes.append(len(passage) - plan.width + 1)
+        sizes.append(len(passage) // points - plan.width + 1)
     if not sizes:
         return (np.zeros(0, np.int64),) * 2
     automaton.make_automaton()
-    hits = [(number, b + end - length + 1) for b, t in zip((np.cumsum(windows) - windows).tolist(), texts) for end, (number, length) in automaton.iter(t)]
+    hits = [(number, b + (end - length + 1) // points) for b, t in zip((np.cumsum(windows) - windows).tolist(), texts) for end, (number, length) in automaton.iter(t)]
     passage, at = np.array(hits, np.int64).T
     size = np.array(sizes)[passage]
     place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)

@@ -303,7 +303,9 @@ def join_strings(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def window_classes(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int, memory_bytes: int = 1 << 28) -> tuple[np.ndarray, np.ndarray]:
     """For the strings of join_strings, all places of windows of ``width`` bytes in suffix order, and the
-    number of each one's class of equal windows. width must not exceed LCP_CAP."""
+    number of each one's class of equal windows. A width above LCP_CAP raises ValueError."""
+    if width > LCP_CAP:
+        raise ValueError(f"windows may have {LCP_CAP} bytes at most")
     order, common = induced_suffix_array(text, memory_bytes)
     room = np.zeros(len(text), bool)
     long = lengths >= width

@@ -1,10 +1,12 @@
 import hashlib
+import random
 
 import numpy as np
 import pytest
 
 from chronolake.llm import bag_minhash
 from chronolake.llm import components as components_of
+from chronolake.llm import regions as R
 from chronolake.llm import embedding_dedup, substring_automaton, substring_suffix
 from chronolake.llm.components import components
 
@@ -211,3 +213,30 @@ def test_blocks_of_a_band(spark, monkeypatch):
     rows = family(90, 24, 22, 10)
     got = {r.doc_id: r.component_id for r in bag_minhash.near_duplicates(frame(spark, rows)).collect()}
     assert got == brute.near_components(rows)
+
+
+@pytest.mark.parametrize("most", [substring_automaton.ONE_POINT, 3])
+def test_names_of_one_or_two_points(monkeypatch, most):
+    """Passages are the same whatever the width of names; two points are never found out of place."""
+    rng = random.Random(7)
+    strings = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 60))).encode() for _ in range(40)]
+    texts, points = substring_automaton._symbols(strings, most)
+    assert points == (1 if most > 8 else 2) and [len(t) for t in texts] == [points * len(s.split()) for s in strings]
+    plan = R.Plan(4, 2, "word", "any")
+    monkeypatch.setattr(substring_automaton, "_symbols", lambda own, f=substring_automaton._symbols: f(own, most))
+    windows = np.array([max(0, len(s.split()) - 3) for s in strings])
+    numbers, heads = substring_automaton.classes_by_automaton(plan, strings, windows, np.ones(len(strings), np.int64))
+    own = [tuple(s.split()[k : k + 4]) for s in strings for k in range(len(s.split()) - 3)]
+    counts = {}
+    for w in own:
+        counts[w] = counts.get(w, 0) + 1
+    assert sorted(set(numbers.tolist())) == [k for k, w in enumerate(own) if counts[w] > 1]
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(numbers)]):
+        assert len({own[k] for k in numbers[a:b].tolist()}) == 1
+
+
+def test_more_words_than_code_points():
+    """Above the number of code points words have two: a million and a half different words in one comparison."""
+    words = [b"w%d" % k for k in range(1_500_000)]
+    texts, points = substring_automaton._symbols([b" ".join(words), b" ".join(words[:50])])
+    assert points == 2 and texts[0].startswith(texts[1]) and len(set(texts[0][k : k + 2] for k in range(0, len(texts[0]), 2))) == len(words)

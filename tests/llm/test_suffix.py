@@ -55,3 +55,11 @@ def test_window_classes(strings):
 
 def test_empty():
     assert len(induced_suffix_array(np.zeros(0, np.uint8))[0]) == 0
+
+
+def test_too_wide_windows():
+    from chronolake.llm import suffix
+
+    text, starts = suffix.join_strings([b"a" * 400, b"a" * 400])
+    with pytest.raises(ValueError):
+        suffix.window_classes(text, starts, np.array([400, 400]), suffix.LCP_CAP + 1)

@@ -235,6 +235,12 @@ CASES = [
     ("<article>Body</article><article class='comment'>Nice post!</article><article class='promo box'>Buy</article>", "Body"),
     ("<article class='post no-comments'><p>a</p><div class='related-work'>b</div><div class='related-posts'>c</div><p class='ad-slot'>d</p></article>", "a\n\nb"),
     ("<main class='has-sidebar'>a<ul><li>b<li>c</ul></main>", "a\n\nb\n\nc"),
+    ("<div class='layout has-sidebar'><nav>n</nav><article><p>Body</p></article><div class='has-sidebar'>x</div></div>", "Body"),
+    ("<form id='aspnetForm'><input><article><p>Body</p></article><p>Name</p></form>", "Body"),
+    ("<article><section id='ad-hoc-queries'><p>Body</p></section><div class='ad-slot'>x</div></article>", "Body"),
+    ("<div id='comments'><article><p>nice</p></article></div><aside><article>teaser</article></aside><p>text", "text"),
+    ("<form><div>All of the page</div><p>is in a form</p></form><p>short", "All of the page\n\nis in a form\n\nshort"),
+    ("<p>long text of the page</p><form><p>Name</p></form>", "long text of the page"),
 ]
 
 
@@ -286,6 +292,14 @@ def test_pages_without_article_equal_brute_force(spark):
     assert {r.page_id: r.text for r in html_extraction.extract(pages).collect()} == want
 
 
+def test_copies_on_a_host_keep_their_text(spark):
+    """Pages without an article that hold the same count as one; what others have too is boilerplate for all of them."""
+    bar, story = "<div>Home of the daily news and more, all rights reserved by this site</div>", "a story that two pages of a host have in the very same words " * 2
+    rows = [(1, "http://h/1", f"{bar}<p>{story}</p>"), (2, "http://h/2", f"{bar}<p>{story}</p>"), (3, "http://h/3", f"{bar}<p>another page</p>"), (4, "http://g/", f"<p>{story}</p>"), (5, "http://g/", f"<p>{story}</p><article>own</article>")]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {1: story.strip(), 2: story.strip(), 3: "another page", 4: story.strip(), 5: "own"}
+
+
 def test_host_boilerplate(spark):
     bar = "<div>Home of the daily news and more, all rights reserved by the publisher of this site</div>"
     rows = [(i, f"http://Site.example:80/{i}", f"<body>{bar}<div>own story number {i} with its own words {i * 7919}</div></body>") for i in range(6)]
