@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chronolake.plans.timeline import query
 from chronolake.sources import tables as S
-from chronolake.streaming import alerts, life, messages, queues, runs, uploads
+from chronolake.streaming import alerts, directory, life, messages, queues, runs, uploads
 
 START_S = 1_704_067_200  # 2024-01-01
 CHUNK = 1000
@@ -159,3 +159,12 @@ def alert_stream(spark, d) -> DataFrame:
     """Alerts of all probes; a third of them isn't delivered."""
     rows = probe_rows(S.table(spark, d, "events")).withColumn("s", F.unix_timestamp("at"))
     return runs.replay(spark, rows, "s", lambda x: alerts.alert_loop(x.drop("s"), alerts.Thresholds(surge=2.0, cooldown_s=7200.0)))
+
+
+@query("""select case when doc_id % 13 > 0 then doc_id end as task, case when doc_id % 13 = 0 then 'bad_task' end as error, case when doc_id % 13 > 0 then md5(coalesce(text, '')) end as hash, case when doc_id % 13 > 0 then length(coalesce(text, '')) end as size from documents""")
+def directory_queue(spark, d) -> DataFrame:
+    """Documents as tasks in files of a folder; every thirteenth line can't be read."""
+    i = F.col("doc_id")
+    line = F.when(i % 26 == 0, "no task").when(i % 13 == 0, '{"task": "x"}').otherwise(F.to_json(F.struct(i.alias("task"), F.coalesce("text", F.lit("")).alias("body"))))
+    work = lambda rows: rows.select("task", "error", F.md5(F.col("body").cast("binary")).alias("hash"), F.length("body").cast("long").alias("size"))
+    return directory.worked(spark, S.table(spark, d, "documents").select(i, line.alias("value")), "doc_id", work)

@@ -34,17 +34,17 @@ def stateful(spark: SparkSession) -> SparkSession:
 class Run:
     """A stream of the files of a folder to another one, with its checkpoint beside them."""
 
-    def __init__(self, spark: SparkSession, schema, build: Callable[[DataFrame], DataFrame]):
-        self.folder, self.spark, self.schema, self.build = shared_folder(spark), stateful(spark), schema, build
+    def __init__(self, spark: SparkSession, schema, build: Callable[[DataFrame], DataFrame], kind: str = "parquet"):
+        self.folder, self.spark, self.schema, self.build, self.kind = shared_folder(spark), stateful(spark), schema, build, kind
 
     def put(self, arrivals: DataFrame) -> None:
-        arrivals.write.mode("append").parquet(f"{self.folder}/in")
+        arrivals.write.mode("append").format(self.kind).save(f"{self.folder}/in")
 
     def go(self, write: Callable[[DataFrame, int], None] | None = None) -> None:
         """Reads all that has arrived since, in one batch or more, and stops. Each batch is given to ``write`` with its
         number. Without it, batches are appended to a folder whose log names the files of finished batches, so one
         that is run again publishes its rows once."""
-        rows = self.build(self.spark.readStream.schema(self.schema).parquet(f"{self.folder}/in"))
+        rows = self.build(self.spark.readStream.schema(self.schema).format(self.kind).load(f"{self.folder}/in"))
         sink = rows.writeStream.outputMode("append").option("checkpointLocation", f"{self.folder}/state")
         sink = sink.foreachBatch(write) if write else sink.format("parquet").option("path", f"{self.folder}/out")
         sink.trigger(availableNow=True).start().awaitTermination()

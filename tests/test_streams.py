@@ -9,7 +9,7 @@ from types import SimpleNamespace
 import pytest
 
 from chronolake.operators import sequence, service
-from chronolake.streaming import alerts, life, messages, queues, runs, uploads
+from chronolake.streaming import alerts, directory, life, messages, queues, runs, uploads
 from pyspark.sql import functions as F
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -390,3 +390,45 @@ def test_alert_states():
     assert alerts.load_state(None) == alerts.load_state("{") == alerts.load_state("[]") == alerts.load_state('{"active": 3}') == {}
     state = {"active": {"server_down": {"since": 5.0, "last": 9.0}}, "errors": 7.0, "sent": {"server_down": False, "error_surge": False}, "before": {"active": {}, "errors": 2.0}}
     assert alerts.settle(state) == {"active": {}, "errors": 2.0}
+
+
+def test_directory_queue(spark):
+    """Attempts that are killed at any step leave nothing to see, and each result is published once."""
+    run = directory.queue(spark)
+    made = []
+
+    def work(rows):
+        made.append(1)
+        return rows.selectExpr("task", "upper(body) as body", "error")
+
+    def put(*lines):
+        run.put(spark.createDataFrame([(x,) for x in lines], "value string"))
+
+    def killed(step):
+        """A worker that ends before, or after, its attempt is published."""
+        whole = directory.worker(run.spark, run.folder, work)
+
+        def attempt(batch, number):
+            if step == "work":
+                work(batch).write.parquet(f"{run.folder}/attempts/{number}-lost")
+            else:
+                whole(batch, number)
+            raise RuntimeError("killed")
+
+        return attempt
+
+    def seen():
+        return sorted((tuple(r) for r in directory.results(spark, run.folder).select("task", "body", "error").collect()), key=str)
+
+    put('{"task": 1, "body": "a"}', "not json")
+    with pytest.raises(Exception, match="killed"):
+        run.go(killed("work"))
+    with pytest.raises(Exception, match="killed"):
+        run.go(killed("publish"))
+    assert seen() == [(1, "A", None), (None, None, "bad_task")]
+    run.go(directory.worker(run.spark, run.folder, work))  # the batch is published already
+    assert seen() == [(1, "A", None), (None, None, "bad_task")] and len(made) == 2
+    put('{"task": 2, "body": "b"}', '{"task": 2, "body": "b"}', '{"body": "c"}')
+    run.go(directory.worker(run.spark, run.folder, work))
+    run.go(directory.worker(run.spark, run.folder, work))
+    assert seen() == [(1, "A", None), (2, "B", None), (2, "B", None), (None, None, "bad_task"), (None, None, "bad_task")] and len(made) == 3
