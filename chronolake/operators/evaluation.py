@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
+from chronolake.functions.blocks import blocks, gaps, similarity
 from chronolake.functions.text import unit_ratio
 from chronolake.operators import intervals
 
@@ -25,27 +25,21 @@ def plain(text: Column) -> Column:
     return F.regexp_replace(F.lower(nfkc(text)), r"[\p{P}\p{Z}\p{S}\x{FEFF}\n\r\t]", "")
 
 
-@F.pandas_udf(Y.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio."""
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
-
-
-@F.pandas_udf(Y.ArrayType(Y.StructType([Y.StructField("tag", Y.StringType()), *(Y.StructField(c, Y.IntegerType()) for c in ("i1", "i2", "j1", "j2"))])))
-def opcodes(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Steps from a to b."""
-    keys = ("tag", "i1", "i2", "j1", "j2")
-    return pd.Series([[dict(zip(keys, o)) for o in SequenceMatcher(None, x or "", y or "", autojunk=False).get_opcodes()] for x, y in zip(a, b)])
-
-
 def edit_stats(pairs: DataFrame, key: str, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
-    """Equal, inserted, deleted and replaced characters, edits and their share of the reference."""
-    rows = pairs.select(key, F.length(ref).alias("ref_chars"), F.length(hyp).alias("hyp_chars"), opcodes(ref, hyp).alias("ops"))
-
-    def total(tag: str, low: str, high: str) -> Column:
-        return F.aggregate("ops", F.lit(0), lambda s, o: s + F.when(o["tag"] == tag, o[high] - o[low]).otherwise(0))
-
-    rows = rows.select(key, "ref_chars", "hyp_chars", total("equal", "i1", "i2").alias("equal"), total("insert", "j1", "j2").alias("inserted"), total("delete", "i1", "i2").alias("deleted"), total("replace", "i1", "i2").alias("replaced_ref"), total("replace", "j1", "j2").alias("replaced_hyp"))
+    """Equal, inserted, deleted and replaced characters, edits and their share of the reference, by matching blocks; a null text
+    counts as empty."""
+    rows = pairs.select(key, F.length(ref).alias("ref_chars"), F.length(hyp).alias("hyp_chars"), ref, hyp, blocks(ref, hyp).alias("blocks"))
+    rows = rows.withColumn("gaps", gaps(F.col("blocks"), F.col(ref), F.col(hyp)))
+
+    def total(column: str, value) -> Column:
+        return F.aggregate(column, F.lit(0), lambda s, x: s + value(x))
+
+    both = lambda x: (x["a"] > 0) & (x["b"] > 0)
+    rows = rows.select(
+        key, "ref_chars", "hyp_chars", total("blocks", lambda x: x["n"]).alias("equal"),
+        total("gaps", lambda x: F.when(x["a"] == 0, x["b"]).otherwise(0)).alias("inserted"), total("gaps", lambda x: F.when(x["b"] == 0, x["a"]).otherwise(0)).alias("deleted"),
+        total("gaps", lambda x: F.when(both(x), x["a"]).otherwise(0)).alias("replaced_ref"), total("gaps", lambda x: F.when(both(x), x["b"]).otherwise(0)).alias("replaced_hyp"),
+    )
     rows = rows.withColumn("edits", F.col("inserted") + F.col("deleted") + F.greatest("replaced_ref", "replaced_hyp"))
     return rows.withColumn("error_rate", unit_ratio(F.col("edits"), F.col("ref_chars")))
 

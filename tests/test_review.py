@@ -2,13 +2,14 @@
 
 import math
 import random
+import time
 from difflib import SequenceMatcher
 from itertools import permutations, product
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from chronolake.functions import parse, rules
+from chronolake.functions import blocks, parse, rules
 from chronolake.functions import text as T
 from chronolake.operators import allocate, clusters, evaluation, frames, guard, intervals, planning, records, service
 from chronolake.plans import records as plans
@@ -380,3 +381,27 @@ def test_queries_without_slices(spark):
     assert plans.label_items(spark, d).count() == items.count()
     assert review.status_batch(spark, d).count() == 50 * S.table(spark, d, "customer").count()
     assert review.chunk_triggers(spark, d).agg(F.sum("segments")).first()[0] == items.count()
+
+
+def test_blocks_equal_the_definition_and_stay_linear():
+    rng = random.Random(21)
+
+    def joined(found):
+        out = []
+        for i, j, n in found:
+            if out and (out[-1][0] + out[-1][2], out[-1][1] + out[-1][2]) == (i, j):
+                out[-1][2] += n
+            else:
+                out.append([i, j, n])
+        return out
+
+    for t in range(300):
+        letters = "ab" if t % 3 else "abcdefgh 的"
+        a = [rng.choice(letters) for _ in range(rng.choice([0, 1, 20, 210, 260]))]
+        b = [rng.choice([c, c, c, c, "x", "", "b"]) for c in a] if t % 2 else [rng.choice(letters) for _ in range(rng.choice([0, 3, 199, 200, 250]))]
+        for skip in (False, True):
+            want = [list(m) for m in SequenceMatcher(None, "".join(a), "".join(b), autojunk=skip).get_matching_blocks() if m.size]
+            assert joined(blocks.matching("".join(a), "".join(b), skip)) == want
+    began, text = time.time(), "".join(rng.choice("abcdefgh ") for _ in range(100_000))
+    assert sum(n for _, _, n in blocks.matching(text, text[:40_000] + "!" + text[40_003:])) == 99_997
+    assert time.time() - began < 20
