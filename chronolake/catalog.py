@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import acoustics, jobs, records, review, streams, timeline  # noqa: F401  (the others add to the same registry)
+from .plans import acoustics, jobs, records, reports, review, streams, timeline  # noqa: F401  (the others add to the same registry)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

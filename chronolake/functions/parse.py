@@ -54,13 +54,49 @@ def exposition(rows: DataFrame, keys: list[str], prefix: str = "engine") -> Data
     return texts.select(*keys, F.concat(F.array_join(F.transform("b", lambda x: x["block"]), "\n"), F.lit("\n")).alias("text"))
 
 
-def sensors(logs: DataFrame, key: str, log: str = "log", pattern: str = r"(?m)^([A-Za-z][\w -]*?): (\d+(?:\.\d+)?) m?W") -> DataFrame:
-    """Mean and maximum of each named reading in a log."""
-    names, values = F.regexp_extract_all(log, F.lit(pattern), 1), F.regexp_extract_all(log, F.lit(pattern), 2)
-    rows = logs.select(key, F.explode(F.arrays_zip(names.alias("name"), values.alias("value"))).alias("r")).select(key, "r.name", F.col("r.value").cast("double").alias("value"))
+def paired_silences(logs: DataFrame, keys: list[str], log: str = "log", strict: bool = False) -> DataFrame:
+    """Silences of a detector's log, in milliseconds: an end closes the last start since the end before it. strict: lines count
+    only with a plain number, ends only with a bar after it; otherwise any line that names a start or an end counts, and where its
+    number can't be read its silence is lost."""
+    number, tail = (r":\s*(-?[0-9.]+)", r"\s*\|") if strict else (r":\s*(\S+)", "")
+    lines = logs.select(*keys, F.posexplode(F.split(log, "\r?\n")).alias("n", "line"))
+    ms = lambda p: F.round(F.regexp_extract("line", p, 1).try_cast("double") * 1000).try_cast("long")
+    start, end = f"silence_start{number}", f"silence_end{number}{tail}"
+    is_start, is_end = F.col("line").rlike(start if strict else "silence_start"), F.col("line").rlike(end if strict else "silence_end")
+    marks = lines.withColumn("mark", F.when(is_start, F.struct(F.lit(True).alias("opens"), ms(start).alias("ms"))).when(is_end, F.struct(F.lit(False).alias("opens"), ms(end).alias("ms")))).filter("mark is not null")
+    rows = marks.withColumn("before", F.lag("mark").over(Window.partitionBy(*keys).orderBy("n")))
+    rows = rows.filter("not mark.opens and before.opens and mark.ms is not null and before.ms is not null")
+    return rows.select(*keys, F.col("before.ms").alias("start_ms"), F.col("mark.ms").alias("end_ms"))
+
+
+def window_silences(logs: DataFrame, keys: list[str], log: str = "log", start: str = "from_ms", end: str = "to_ms", least_ms: int = 500, least_window_ms: int = 1000) -> DataFrame:
+    """Silences of at least least_ms in logs of windows (start, end), on the clock of the whole recording; windows below
+    least_window_ms have none."""
+    rows = paired_silences(logs.filter(F.col(end) - F.col(start) >= least_window_ms), [*keys, start], log)
+    rows = rows.filter(F.col("end_ms") - F.col("start_ms") >= least_ms)
+    return rows.select(*keys, start, (F.col(start) + F.col("start_ms")).alias("start_ms"), (F.col(start) + F.col("end_ms")).alias("end_ms"))
+
+
+#: Readings of the power log and their units.
+SHARES, MILLIWATTS = ("GPU HW active residency",), ("ANE Power", "CPU Power", "GPU Power")
+
+
+def sensors(logs: DataFrame, key: str, log: str = "log") -> DataFrame:
+    """Mean, maximum and number of each reading in a power log (per cent and milliwatts); readings that a log lacks have no row."""
+    share, power = "|".join(SHARES), "|".join(MILLIWATTS)
+    pattern = rf"({share}|{power}):\s+([\d.]+)(%|\s*mW)"
+    part = lambda i, name: F.regexp_extract_all(log, F.lit(pattern), i).alias(name)
+    rows = logs.select(key, F.explode(F.arrays_zip(part(1, "name"), part(2, "value"), part(3, "unit"))).alias("r"))
+    rows = rows.select(key, "r.name", F.col("r.value").try_cast("double").alias("value"), (F.col("r.unit") == "%").alias("share"))
+    rows = rows.filter(F.col("value").isNotNull() & (F.col("share") == F.col("name").isin(*SHARES)))
     return rows.groupBy(key, "name").agg(F.avg("value").alias("mean"), F.max("value").alias("peak"), F.count(F.lit(1)).alias("n"))
 
 
+def summed(values: DataFrame, keys: list[str]) -> DataFrame:
+    """Sum of each metric over its labels; those without a label aren't part of it."""
+    return values.filter("label is not null").groupBy(*keys, "name").agg(F.sum("value").alias("value"))
+
+
 def last_clock(text: Column) -> Column:
     """Seconds of the last time=HH:MM:SS.ff of a log; null without one."""
     last = F.try_element_at(F.regexp_extract_all(text, F.lit(r"time=(\d+:\d+:\d+(?:\.\d+)?)"), 1), F.lit(-1))

@@ -130,9 +130,17 @@ def merged_clusters(centroids: DataFrame, key: str = "rec") -> DataFrame:
     return centroids.select(key, "label", "duration", "centroid").groupBy(key).applyInPandas(each, f"{key} {centroids.schema[key].dataType.simpleString()}, label string, merged string")
 
 
+def regrouped(rows: DataFrame, mapping: DataFrame, key: str = "rec") -> DataFrame:
+    """rows: key, label, duration; mapping: key, label, to. Durations and shares by new label; labels without an entry stay."""
+    moved = rows.join(mapping.select(key, "label", "to"), [key, "label"], "left")
+    own = moved.groupBy(key, F.coalesce("to", "label").alias("label")).agg(F.sum("duration").alias("duration"))
+    whole = F.sum("duration").over(Window.partitionBy(key))
+    return own.withColumn("share", F.col("duration") / F.when(whole == 0, 1.0).otherwise(whole))
+
+
 def remap(rows: DataFrame, mapping: DataFrame, keys: list[str], inner: bool = False) -> DataFrame:
     """Speakers by a mapping (keys, speaker, to); without an entry they stay, or (inner) their rows go."""
-    found = rows.join(mapping.withColumn("speaker", F.col("speaker")), [*keys, "speaker"], "inner" if inner else "left")
+    found = rows.join(mapping.select(*keys, "speaker", "to"), [*keys, "speaker"], "inner" if inner else "left")
     return found.withColumn("speaker", F.coalesce("to", "speaker")).drop("to")
 
 

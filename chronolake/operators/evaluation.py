@@ -71,6 +71,12 @@ def worst_segments(segments: DataFrame, most: int = 12, key: str = "rec") -> Dat
     return segments.filter("not right").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
 
+def segment_report(labels: DataFrame, key: str = "rec") -> DataFrame:
+    """labels: rows of segment_majority. Segments considered, with the mapped label, with another, and mixed ones."""
+    rows = labels.groupBy(key).agg(F.count(F.lit(1)).alias("considered"), F.count_if("right").alias("ok"), F.count_if(~F.col("right")).alias("wrong"), F.count_if("mixed").alias("mixed"))
+    return rows.withColumn("accuracy", unit_ratio(F.col("ok"), F.col("considered")))
+
+
 def boundary_alignment(segments: DataFrame, regions: DataFrame, durations: DataFrame, tolerance_ms: int = 300, epsilon_ms: int = 10, key: str = "conv_id") -> DataFrame:
     """Share of the segments' boundaries that lie outside speech or within tolerance_ms of a region's edge; 1 without any.
     durations: key, duration_ms."""
@@ -181,8 +187,18 @@ def listing(before: DataFrame, after: DataFrame, name: str = "name", value: str
     return both.select(name, F.concat(show("old"), F.lit(" -> "), show("new")).alias("line"))
 
 
-def worst_severity(checks: DataFrame, key: str) -> DataFrame:
-    """checks: key, severity (ok, warning, error). The worst one and the number of each."""
-    rank = F.when(F.col("severity") == "error", 2).when(F.col("severity") == "warning", 1).otherwise(0)
-    rows = checks.groupBy(key).agg(F.max(rank).alias("r"), F.count_if(rank == 1).alias("warnings"), F.count_if(rank == 2).alias("errors"))
-    return rows.withColumn("severity", F.get(F.array(F.lit("ok"), F.lit("warning"), F.lit("error")), F.col("r"))).drop("r")
+def check_report(checks: DataFrame, key: str) -> DataFrame:
+    """checks: key, severity (ok, warning, error), name, at. The worst severity and the names of warnings and of errors, each
+    once, by their first appearance."""
+    once = checks.groupBy(key, "severity", "name").agg(F.min("at").alias("at"))
+    named = lambda s: F.array_sort(F.collect_list(F.when(F.col("severity") == s, F.struct("at", "name"))))
+    rows = once.groupBy(key).agg(named("warning").alias("w"), named("error").alias("e"))
+    status = F.when(F.size("e") > 0, "error").when(F.size("w") > 0, "warning").otherwise("ok")
+    return rows.select(key, status.alias("status"), F.transform("w", lambda x: x["name"]).alias("warnings"), F.transform("e", lambda x: x["name"]).alias("errors"))
+
+
+def system_load(samples: DataFrame, key: str) -> DataFrame:
+    """samples: key, cores (use of each), memory. Mean and peak of the use summed over cores, and of memory."""
+    whole = F.aggregate("cores", F.lit(0.0), lambda s, x: s + x)
+    rows = samples.select(key, whole.alias("load"), "memory")
+    return rows.groupBy(key).agg(F.avg("load").alias("load_mean"), F.max("load").alias("load_peak"), F.avg("memory").alias("memory_mean"), F.max("memory").alias("memory_peak"), F.count(F.lit(1)).alias("samples"))

@@ -93,8 +93,10 @@ def file_needed(tasks: DataFrame) -> DataFrame:
 
 
 def notices(tasks: DataFrame, connections: DataFrame) -> DataFrame:
-    """One row for each connection (task_id, connection) of a task."""
-    return connections.join(tasks, "task_id")
+    """tasks: task_id, status. One message for each connection (connection, task_id) of a task, of the type that its status asks
+    for; a connection that follows a task twice is told once."""
+    kind = F.when(F.col("status") == "completed", "task_complete").when(F.col("status") == "failed", "task_error").otherwise("task_progress")
+    return connections.select("connection", "task_id").distinct().join(tasks.withColumn("type", kind), "task_id")
 
 
 def metadata(rows: DataFrame) -> DataFrame:

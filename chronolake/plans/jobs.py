@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolake.functions import rules
-from chronolake.operators import jobs
+from chronolake.operators import evaluation, jobs
 from chronolake.plans.timeline import CACHE, SEG, TASKS, query
 from chronolake.sources import tables as S
 
@@ -102,10 +102,10 @@ def first_runnable(spark, d) -> DataFrame:
     return jobs.first_runnable(rows, 2).select("conv_id", F.col("chunk").alias("pos"), "runs")
 
 
-@query(f"""{SEG}, n as (select conv_id, pos, speaker, regexp_replace(lower(text), '[^a-z]', '', 'g') as t, row_number() over (partition by conv_id order by pos) - 1 as segment from seg), b as (select *, coalesce(sum(length(t)) over (partition by conv_id order by pos rows between unbounded preceding and 1 preceding), 0) as before from n),
+@query(f"""{SEG}, n as (select conv_id, pos, speaker, regexp_replace(lower(nfc_normalize(text)), '[\\p{{P}}\\p{{Z}}\\p{{S}}\\x{{FEFF}}\\n\\r\\t]', '', 'g') as t, row_number() over (partition by conv_id order by pos) - 1 as segment from seg), b as (select *, coalesce(sum(length(t)) over (partition by conv_id order by pos rows between unbounded preceding and 1 preceding), 0) as before from n),
 c as (select *, unnest(range(0, length(t))) as i from b where t <> '') select conv_id, (before + i)::bigint as n, substr(t, i + 1, 1) as ch, speaker, segment from c""")
 def hypothesis_chars(spark, d) -> DataFrame:
-    return jobs.hypothesis(S.segments(spark, d), F.regexp_replace(F.lower("text"), "[^a-z]", "")).withColumn("segment", F.col("segment").cast("long"))
+    return jobs.hypothesis(S.segments(spark, d), evaluation.plain(F.col("text"))).withColumn("segment", F.col("segment").cast("long"))
 
 
 @query(f"""{SEG}, a as (select conv_id, (max(end_ms) + 1000) / 1000.0::double as audio, count(*) as n, string_agg(distinct speaker, ',' order by speaker) as speakers from seg group by 1), w as (select conv_id, sum((end_ms - start_ms) / 1000.0::double) as done, count(*) as windows from seg where pos % 2 = 0 group by 1)

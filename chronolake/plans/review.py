@@ -229,19 +229,38 @@ def sliding_chunks(spark, d) -> DataFrame:
     return frames.sliding_chunks(S.table(spark, d, "customer").select(F.col("c_custkey").alias("rec"), (1000 + F.col("c_custkey") * 997 % 900_000).alias("samples")))
 
 
+#: Recordings of a hundred vectors each, moved towards each other by label so that cosines lie on both sides of the limits.
+RECORDINGS = """lv as (select vec_id, vec_id // 100 as rec, label, [x::double + 0.1 + 0.05 * (label % 4) for x in embedding] as e, 1000 + vec_id % 7000 as dur from embeddings),
+b as (select *, row_number() over (partition by rec, label order by dur desc, vec_id) as k from lv), u as (select rec, label, unnest(e) as x, unnest(range(1, len(e) + 1)) as i from b where k <= 30),
+m as (select rec, label, i, avg(x) as x from u group by all), z as (select rec, label, i, x / sqrt(sum(x * x) over (partition by rec, label)) as x from m),
+d as (select rec, label, sum(dur % 100 * 2.0 ** label)::double as dur from lv where label is not null group by all), s as (select *, dur / sum(dur) over (partition by rec) as share from d),
+p as (select a.rec, a.label, b.label as "to", sum(a.x * b.x) as sim, any_value(t.share) as sh from z a join s on s.rec = a.rec and s.label = a.label and s.share < 0.03 join z b on a.rec = b.rec and a.i = b.i join s t on t.rec = b.rec and t.label = b.label and t.share >= 0.03 group by all),
+k as (select *, row_number() over (partition by rec, label order by sim desc, sh desc, "to") as k from p), mv as (select rec, label, "to", sim from k where k = 1 and sim >= 0.55)"""
+
+
 def _shares(spark, d) -> DataFrame:
-    own = _vectors(spark, d).groupBy("label").agg(F.sum(F.col("duration_ms") % 100 * F.pow(F.lit(2), F.col("label"))).alias("duration"))
-    rows = speakers.centroids(_vectors(spark, d)).join(own, "label").withColumn("rec", F.lit(0))
+    rows = _vectors(spark, d).filter("label is not null").withColumn("rec", F.expr("vec_id div 100"))
+    rows = rows.withColumn("embedding", F.expr("transform(embedding, x -> double(x) + 0.1D + 0.05D * (label % 4))")).withColumn("of", F.concat_ws(":", "rec", "label"))
+    own = rows.groupBy("of", "rec", "label").agg(F.sum(F.col("duration_ms") % 100 * F.pow(F.lit(2), F.col("label"))).alias("duration"))
+    rows = speakers.centroids(rows, "of").join(own, "of").drop("of")
     total = F.sum("duration").over(Window.partitionBy("rec"))
     return rows.withColumn("share", F.col("duration") / total).withColumn("is_main", F.col("share") >= 0.03)
 
 
-@query(f"""with {CENTROIDS}, d as (select label, sum((1000 + vec_id % 7000) % 100 * 2.0 ** label)::double as dur from embeddings where label is not null group by label), s as (select label, dur / sum(dur) over () as share from d),
-p as (select a.label, b.label as "to", sum(a.x * b.x) as sim, any_value(t.share) as sh from z a join s on s.label = a.label and s.share < 0.03 join z b on a.i = b.i join s t on t.label = b.label and t.share >= 0.03 group by 1, 2),
-k as (select *, row_number() over (partition by label order by sim desc, sh desc, "to") as k from p) select label, "to", round(sim, 6) as sim from k where k = 1 and sim >= 0.05""")
+def _moved(rows: DataFrame) -> DataFrame:
+    return clusters.minor_to_main(rows.select("rec", "label", "centroid"), rows.select("rec", "label", "share", "is_main"))
+
+
+@query(f'with {RECORDINGS} select rec, label, "to", round(sim, 6) as sim from mv')
 def minor_to_main(spark, d) -> DataFrame:
+    return _moved(_shares(spark, d)).withColumn("sim", F.round("sim", 6))
+
+
+@query(f"""with {RECORDINGS}, g as (select s.rec, coalesce(mv."to", s.label) as label, sum(s.dur) as duration from s left join mv on s.rec = mv.rec and s.label = mv.label group by 1, 2)
+select rec, label, duration, round(duration / sum(duration) over (partition by rec), 9) as share from g""")
+def folded_shares(spark, d) -> DataFrame:
     rows = _shares(spark, d)
-    return clusters.minor_to_main(rows.select("rec", "label", "centroid"), rows.select("rec", "label", "share", "is_main"), least=0.05).select("label", "to", F.round("sim", 6).alias("sim"))
+    return clusters.regrouped(rows.select("rec", "label", "duration"), _moved(rows)).withColumn("share", F.round("share", 9))
 
 
 @query()
