@@ -175,8 +175,8 @@ def stage_ratio(stages: DataFrame, stage: str, level: str, value: str, low: int
 
 
 def peaks(samples: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """Mean and largest value and when it was reached first."""
-    top = F.min(F.struct((-F.col(value)).alias("o"), F.col(at).alias("t")))
+    """Mean and largest value and when it was reached first; null for a key without values."""
+    top = F.min(F.when(F.col(value).isNotNull(), F.struct((-F.col(value)).alias("o"), F.col(at).alias("t"))))
     return samples.groupBy(key).agg(F.avg(value).alias("mean"), F.max(value).alias("peak"), top.alias("m")).select(key, "mean", "peak", F.col("m.t").alias("at"))
 
 

@@ -89,9 +89,16 @@ def ema(rows: DataFrame, key: str, order: str, value: str, alpha: float = 0.3) -
 
 def last_kept(points: DataFrame, key: str, point: str, epsilon: int) -> DataFrame:
     """Sorted points without those within epsilon of the last kept one."""
-    rows = points.groupBy(key).agg(F.sort_array(F.collect_list(point)).alias("p"))
-    step = lambda a, x: F.when((F.size(a) == 0) | (x - F.try_element_at(a, F.lit(-1)) > epsilon), F.concat(a, F.array(x))).otherwise(a)
-    return rows.select(key, F.explode(F.aggregate("p", F.array().cast("array<bigint>"), step)).alias(point))
+
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        last = None
+        for _, at in rows:
+            if last is None or at - last > epsilon:
+                last = at
+                yield (at,)
+
+    rows = points.select(key, F.col(point).cast("long").alias(point)).filter(F.col(point).isNotNull())
+    return ordered_pass(rows, key, [point], [point], fold, f"{point} long")
 
 
 def switches(segments: DataFrame, key: str = "conv_id") -> DataFrame:

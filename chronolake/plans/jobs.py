@@ -136,9 +136,9 @@ def small_functions(spark, d) -> DataFrame:
     )
 
 
-@query("""select event_id, floor(least(10 + value / ((event_id % 50 + 1) / 10.0::double) * 80, 85))::int as percent, least(5 + event_id % 40 * 3, 95)::int as beat from events where value >= 0""")
+@query("""select event_id, floor(least(10 + coalesce(value, 0) / ((event_id % 50 + 1) / 10.0::double) * 80, 85))::int as percent, least(5 + event_id % 40 * 3, 95)::int as beat from events""")
 def progress_curves(spark, d) -> DataFrame:
-    rows = S.table(spark, d, "events").filter("value >= 0")
+    rows = S.table(spark, d, "events")
     return rows.select("event_id", jobs.progress(F.coalesce("value", F.lit(0.0)), F.col("event_id") % 50 + 1).alias("percent"), jobs.heartbeat(F.col("event_id") % 40).cast("int").alias("beat"))
 
 

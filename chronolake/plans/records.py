@@ -46,10 +46,10 @@ def piece_of(spark, d) -> DataFrame:
     return records.piece_of(S.turns(spark, d), S.segments(spark, d))
 
 
-@query("""with v as (select label, vec_id, embedding::double[] as e, lag(embedding::double[]) over (partition by label order by vec_id) as b from embeddings where label is not null)
+@query("""with v as (select label, vec_id, embedding::double[] as e, lag(embedding::double[]) over (partition by label order by vec_id) as b from embeddings)
 select label, vec_id, round(1 - list_cosine_similarity(e, b), 6) as distance from v where b is not null""")
 def embedding_jumps(spark, d) -> DataFrame:
-    return records.jumps(_vectors(spark, d).filter("label is not null"), "label", "vec_id", "label").select("label", "vec_id", F.round("distance", 6).alias("distance"))
+    return records.jumps(_vectors(spark, d), "label", "vec_id", "label").select("label", "vec_id", F.round("distance", 6).alias("distance"))
 
 
 CLOCK = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"

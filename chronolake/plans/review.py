@@ -212,15 +212,25 @@ def frame_top_k(spark, d) -> DataFrame:
     return frames.top_clusters(_votes(spark, d), frames.speakers_per_frame(_frames(spark, d)))
 
 
-@query()
+TURNS = f"""with {FRAMES_SQL}, {VOTES}, per as (select rec, "at", floor(sum("on") / (count(distinct chunk) + 1e-12::double) + 0.5) as n from act group by rec, "at"),
+k as (select v.*, n, row_number() over (partition by v.rec, v."at" order by votes desc, cluster) as k from vot v join per using (rec, "at")), tc as (select rec, cluster, "at", "at" - row_number() over (partition by rec, cluster order by "at") as island from k where k <= n),
+sz as (select rec, (160000 + max(chunk) * 16000) // 270 + 1 as n from frm group by rec), rn as (select rec, cluster, min("at") as a, max("at") + 1 as b, any_value(n) as n from tc join sz using (rec) group by rec, cluster, island),
+se as (select rec, cluster, a * (270 / 16000::double) + 0.5::double * 991 / 16000 as s, case when b < n then b else n - 1 end * (270 / 16000::double) + 0.5::double * 991 / 16000 as e from rn),
+gp as (select *, s - lag(e) over (partition by rec, cluster order by s) as gap from se), tn as (select *, sum(case when gap > 0 and gap <= 0.5::double then 0 else 1 end) over (partition by rec, cluster order by s) as turn from gp)
+select rec, cluster, round(min(s), 6) as start, round(max(e), 6) as "end" from tn group by rec, cluster, turn having max(e) - min(s) > 0.3::double"""
+
+
+@query(TURNS)
 def frame_turns(spark, d) -> DataFrame:
     sizes = _frames(spark, d).groupBy("rec").agg((F.floor((frames.CHUNK + F.max("chunk") * frames.STEP) / frames.SHIFT) + 1).alias("n"))
-    return frames.to_turns(frame_top_k(spark, d), sizes, 0.0, 0.05).select("rec", "cluster", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+    return frames.to_turns(frame_top_k(spark, d), sizes).select("rec", "cluster", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
 
 
-@query()
+@query(f"""with {FRAMES_SQL}, al as (select rec, chunk, frame, case when s0 = 1 then 0 when s1 = 1 then 1 else 2 end as slot from frm where s0 + s1 + s2 = 1), n as (select rec, chunk, max(frame) + 1 as n from frm group by 1, 2),
+en as (select rec, chunk, slot from al group by all having count(*) >= 10), i as (select *, frame - row_number() over (partition by rec, chunk, slot order by frame) as island from al), rn as (select rec, chunk, slot, min(frame) as a, max(frame) + 1 as b from i group by rec, chunk, slot, island)
+select rec, chunk, slot, (trunc(a / n::double * 160000) + chunk * 16000)::bigint as from_sample, (trunc(case when b < n then b else n - 1 end / n::double * 160000) + chunk * 16000)::bigint as to_sample from rn join n using (rec, chunk) join en using (rec, chunk, slot)""")
 def frame_sample_ranges(spark, d) -> DataFrame:
-    return frames.sample_ranges(_frames(spark, d), 3)
+    return frames.sample_ranges(_frames(spark, d))
 
 
 @query("""with r as (select c_custkey as rec, 1000 + c_custkey * 997 % 900000 as n from customer), c as (select rec, n, unnest(range(0, greatest(n - 160000, 0) // 16000 + case when n > 160000 and (n - 160000) % 16000 > 0 then 2 else 1 end)) as chunk from r)
@@ -270,7 +280,7 @@ def centroid_merge(spark, d) -> DataFrame:
 
 @query()
 def linkage(spark, d) -> DataFrame:
-    return clusters.clustering(S.table(spark, d, "embeddings").withColumn("rec", F.col("label")).filter("label is not null"), threshold=0.9)
+    return clusters.clustering(S.table(spark, d, "embeddings").withColumn("rec", F.coalesce("label", F.lit(-1))), threshold=0.9)
 
 
 @query()
@@ -315,12 +325,13 @@ def speaker_accuracy(spark, d) -> DataFrame:
     return evaluation.mapped_accuracy(counts, clusters.label_mapping(counts)).select("rec", F.round("accuracy", 9).alias("accuracy"))
 
 
-@query(f"""{SEG}, {NORMAL}, dur as (select conv_id, max(end_ms) + 1000 as d from seg group by conv_id), raw as (select distinct t.conv_id, x as p from (select conv_id, unnest([start_ms, end_ms]) as x from turns) t join dur using (conv_id) where x > 0 and x < d),
-c as (select raw.*, not exists (select 1 from reg where reg.conv_id = raw.conv_id and reg.start_ms < p and p < reg.end_ms) as q, coalesce((select min(least(abs(p - reg.start_ms), abs(p - reg.end_ms))) from reg where reg.conv_id = raw.conv_id) <= 300, false) as n from raw)
+@query(f"""{SEG}, {NORMAL}, dur as (select conv_id, max(end_ms) + 1000 as d from seg group by conv_id), raw as (select distinct t.conv_id, x as p from (select conv_id, unnest([start_ms, end_ms]) as x from turns) t join dur using (conv_id) where x > 10 and x < d - 10),
+rn as (select conv_id, p, row_number() over (partition by conv_id order by p) as n from raw), rk as (select conv_id, n, p, p as kept, true as k from rn where n = 1 union all select rn.conv_id, rn.n, rn.p, case when rn.p - rk.kept > 10 then rn.p else rk.kept end, rn.p - rk.kept > 10 from rk join rn on rn.conv_id = rk.conv_id and rn.n = rk.n + 1),
+c as (select raw.conv_id, raw.p, not exists (select 1 from reg where reg.conv_id = raw.conv_id and reg.start_ms < p and p < reg.end_ms) as q, coalesce((select min(least(abs(p - reg.start_ms), abs(p - reg.end_ms))) from reg where reg.conv_id = raw.conv_id) <= 300, false) as n from rk as raw where k)
 select dur.conv_id, count(p) as boundaries, count(*) filter (where q) as in_silence, count(*) filter (where q or n) as aligned, round(case when count(p) = 0 then 1 else count(*) filter (where q or n) / count(p)::double end, 9) as ratio from dur left join c using (conv_id) group by dur.conv_id""")
 def boundary_alignment(spark, d) -> DataFrame:
     ends = S.segments(spark, d).groupBy("conv_id").agg((F.max("end_ms") + 1000).alias("duration_ms"))
-    return evaluation.boundary_alignment(S.turns(spark, d), _regions(spark, d), ends, epsilon_ms=0).withColumn("ratio", F.round("ratio", 9))
+    return evaluation.boundary_alignment(S.turns(spark, d), _regions(spark, d), ends).withColumn("ratio", F.round("ratio", 9))
 
 
 @query("""with o as (select user_id, abs(event_id * 37 % 701) as x from events), s as (select *, row_number() over (partition by user_id order by x) as k, count(*) over (partition by user_id) as n from o)
@@ -384,9 +395,9 @@ def stage_ratio(spark, d) -> DataFrame:
     return evaluation.stage_ratio(rows, "l_shipmode", "l_linenumber", "l_quantity").withColumn("ratio", F.round("ratio", 6))
 
 
-@query("select user_id, round(avg(value), 6) as mean, max(value) as peak, arg_max(event_id, (value, -event_id)) as at from events where value is not null group by user_id")
+@query("select user_id, round(avg(value), 6) as mean, max(value) as peak, arg_max(event_id, (value, -event_id)) filter (where value is not null) as at from events group by user_id")
 def peaks(spark, d) -> DataFrame:
-    return evaluation.peaks(S.table(spark, d, "events").filter("value is not null"), "user_id", "event_id", "value").withColumn("mean", F.round("mean", 6))
+    return evaluation.peaks(S.table(spark, d, "events"), "user_id", "event_id", "value").withColumn("mean", F.round("mean", 6))
 
 
 @query("""with a as (select c_nationkey as name, count(*) as v from customer where c_nationkey % 3 <> 0 group by 1), b as (select s_nationkey as name, count(*) as v from supplier where s_nationkey % 4 <> 0 group by 1)

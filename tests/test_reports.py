@@ -7,8 +7,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from chronolake.functions import parse
-from chronolake.operators import clusters, evaluation, service
-from chronolake.plans import reports, review
+from chronolake.operators import clusters, evaluation, sequence, service
+from chronolake.plans import records, reports, review
 
 D = "/root/testdata/sf0.001"
 
@@ -108,3 +108,29 @@ def test_reports_use_all_rows(spark):
     n = spark.read.parquet(f"{D}/conversations.parquet").count()
     assert reports.json_turns(spark, D).count() == reports.speaker_remap(spark, D).count() == reports.transcript_paragraphs(spark, D).count() == n
     assert reports.probe_durations(spark, D).count() == spark.read.parquet(f"{D}/events.parquet").count()
+
+
+def test_peaks_and_kept_points(spark):
+    df = spark.createDataFrame([("a", 1, 5.0), ("a", 2, None), ("a", 3, 7.0), ("a", 4, 7.0), ("b", 1, None)], "k string, at int, v double")
+    assert {r.k: (r["mean"], r.peak, r["at"]) for r in evaluation.peaks(df, "k", "at", "v").collect()} == {"a": (19 / 3, 7.0, 3), "b": (None, None, None)}
+    rng = random.Random(8)
+    points = [(k, rng.randrange(5_000)) for k in range(3) for _ in range(400)]
+    want = set()
+    for k in range(3):
+        last = None
+        for p in sorted(p for c, p in points if c == k):
+            if last is None or p - last > 10:
+                last = p
+                want.add((k, p))
+    got = [(r.k, r.p) for r in sequence.last_kept(spark.createDataFrame([*points, (0, None)], "k int, p long"), "k", "p", 10).collect()]
+    assert set(got) == want and len(got) == len(want)
+    # One key with many points is one pass.
+    many = spark.range(200_000).select((F.col("id") * 0).alias("k"), F.col("id").alias("p"))
+    assert sequence.last_kept(many, "k", "p", 1).count() == 100_000
+
+
+def test_vectors_without_label_stay(spark, tmp_path):
+    rows = [(i, [float(i % 3), 1.0], None if i % 2 else i % 4) for i in range(12)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert review.linkage(spark, str(tmp_path)).count() == 12
+    assert records.embedding_jumps(spark, str(tmp_path)).filter("label is null").count() == 5
