@@ -91,6 +91,20 @@ def jumps(vectors: DataFrame, key: str, order: str, label: str, far: float = 0.5
     return rows.withColumn("suspect", (F.col(label) == F.col("was")) & (F.col("distance") > far)).drop("before", "was")
 
 
+def spoken_srt(segments: DataFrame, key: str = "conv_id") -> DataFrame:
+    """segments: key, pos, speaker (number from 0), text, start_s, end_s. Subtitles with the speaker before each text; blank texts are
+    left out but keep their numbers, and milliseconds round half to even (they may show as 1000)."""
+
+    def clock(s: Column) -> Column:
+        whole = F.floor(s)
+        return F.format_string("%02d:%02d:%02d,%03d", F.floor(whole / 3600), F.floor(whole / 60) % 60, whole % 60, F.rint((s - whole) * 1000).cast("long"))
+
+    rows = segments.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).filter(F.trim("text") != "")
+    block = F.concat(F.col("n").cast("string"), F.lit("\n"), clock(F.col("start_s")), F.lit(" --> "), clock(F.col("end_s")), F.lit("\nSpeaker"), (F.col("speaker") + 1).cast("string"), F.lit(": "), F.trim("text"), F.lit("\n"))
+    parts = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", block.alias("l")))).alias("p"))
+    return parts.select(key, F.array_join(F.transform("p", lambda x: x["l"]), "\n").alias("srt"))
+
+
 def srt(sentences: DataFrame, key: str = "conv_id") -> DataFrame:
     """SRT of raw sentences: numbers count all of them, also blank ones that aren't shown."""
     rows = sentences.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).filter(F.trim("text") != "")

@@ -168,3 +168,15 @@ def probe_durations(spark, d) -> DataFrame:
     stream = F.when(i % 3 == 0, F.lit(None).cast("string")).when(i % 3 == 1, "inf").otherwise(text(F.col("value") * 2))
     log = F.when(i % 5 > 0, F.concat(F.lit("time=00:00:09.00 x\nsize=1 time=00:01:"), F.lpad(text(i % 50), 2, "0"), F.lit(".50 speed=1"))).otherwise("no clock")
     return S.table(spark, d, "events").select("event_id", parse.duration(container, stream, log).alias("seconds"))
+
+
+SPOKEN = "printf('%02d:%02d:%02d,%03d', floor({0})::bigint // 3600, floor({0})::bigint // 60 % 60, floor({0})::bigint % 60, round_even(({0} - floor({0})) * 1000, 0)::bigint)"
+
+
+@query(f"""{SEG}, n as (select conv_id, row_number() over (partition by conv_id order by pos) as n, pos % 3 as speaker, case when pos % 4 = 1 then ' ' else text end as text, start_ms / 1000.0::double as s, (end_ms + pos % 2 * 0.25::double) / 1000 as e from seg)
+select conv_id, string_agg(n || chr(10) || {SPOKEN.format("s")} || ' --> ' || {SPOKEN.format("e")} || chr(10) || 'Speaker' || (speaker + 1) || ': ' || trim(text) || chr(10), chr(10) order by n) as srt from n where trim(text) <> '' group by conv_id""")
+def spoken_srt(spark, d) -> DataFrame:
+    """Subtitles with speakers; every fourth segment is blank, and some ends lie between milliseconds."""
+    rows = S.segments(spark, d).withColumn("text", F.when(F.col("pos") % 4 == 1, " ").otherwise(F.col("text")))
+    rows = rows.withColumns({"speaker": F.col("pos") % 3, "start_s": F.col("start_ms") / 1000, "end_s": (F.col("end_ms") + F.col("pos") % 2 * F.lit(0.25)) / 1000})
+    return records.spoken_srt(rows)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from chronolake.functions import parse
 from chronolake.operators import clusters, evaluation, sequence, service
+from chronolake.operators import records as record_operators
 from chronolake.plans import records, reports, review
 
 D = "/root/testdata/sf0.001"
@@ -134,3 +135,9 @@ def test_vectors_without_label_stay(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert review.linkage(spark, str(tmp_path)).count() == 12
     assert records.embedding_jumps(spark, str(tmp_path)).filter("label is null").count() == 5
+
+
+def test_spoken_srt(spark):
+    df = spark.createDataFrame([(1, 0, 0, " hi ", 0.0, 1.0625), (1, 1, 1, " ", 2.0, 3.0), (1, 2, 1, "yo", 3661.9996, 3662.5)], "conv_id int, pos int, speaker int, text string, start_s double, end_s double")
+    want = "1\n00:00:00,000 --> 00:00:01,062\nSpeaker1: hi\n\n3\n01:01:01,1000 --> 01:01:02,500\nSpeaker2: yo\n"
+    assert [r.srt for r in record_operators.spoken_srt(df).collect()] == [want]
