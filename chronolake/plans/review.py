@@ -492,12 +492,12 @@ def alert_states(spark, d) -> DataFrame:
     return service.alert_states(rows.groupBy("user_id", "at").agg(F.min("firing").alias("firing")), "user_id", "at", "firing", 900)
 
 
-@query("""with q as (select c_custkey as req, unnest(list_slice(range(c_custkey, c_custkey + 60), 1, 50)) as id, unnest(range(0, 50)) as n from customer), t as (select event_id as id, event_type as s from events where event_id % 2 = 0)
+@query("""with q as (select c_custkey as req, unnest(list_slice(range(c_custkey, c_custkey + 60), 1, 50)) as id, unnest(range(0, 50)) as n from customer), t as (select event_id * 2 as id, event_type as s from events)
 select req, n, id as task_id, coalesce(s, case when id % 3 = 0 then 'expired' else 'not_found' end) as status from q left join t using (id)""")
 def status_batch(spark, d) -> DataFrame:
     e = S.table(spark, d, "events")
     req = S.table(spark, d, "customer").select(F.col("c_custkey").alias("req"), F.expr("sequence(c_custkey, c_custkey + 59)").alias("ids"))
-    tasks = e.filter("event_id % 2 = 0").select(F.col("event_id").alias("task_id"), F.col("event_type").alias("status"))
+    tasks = e.select((F.col("event_id") * 2).alias("task_id"), F.col("event_type").alias("status"))
     gone = req.select(F.explode("ids").alias("task_id")).filter("task_id % 3 = 0")
     return service.status_answers(req, tasks, gone)
 

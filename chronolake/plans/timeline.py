@@ -209,13 +209,13 @@ def words_of_segments(spark, d) -> DataFrame:
     return rows.select("conv_id", "pos", F.array_join(F.col("words").cast("array<string>"), ",").alias("words"))
 
 
-@query(f"""{SEG}, t as (select * from turns where pos % 3 = 0), s as (select a.conv_id, a.pos, b.speaker, sum(least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms)) as o from seg a join t b on a.conv_id = b.conv_id and least(a.end_ms, b.end_ms) > greatest(a.start_ms, b.start_ms) group by all),
+@query(f"""{SEG}, t as (select conv_id, pos, speaker, start_ms, case when pos % 3 = 0 then end_ms else start_ms end as end_ms from turns), s as (select a.conv_id, a.pos, b.speaker, sum(least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms)) as o from seg a join t b on a.conv_id = b.conv_id and least(a.end_ms, b.end_ms) > greatest(a.start_ms, b.start_ms) group by all),
 m as (select *, row_number() over (partition by conv_id, pos order by o desc, speaker desc) as k from s),
 n as (select a.conv_id, a.pos, b.speaker, row_number() over (partition by a.conv_id, a.pos order by abs(a.start_ms + a.end_ms - b.start_ms - b.end_ms), b.pos) as k from seg a join t b on a.conv_id = b.conv_id anti join m on m.conv_id = a.conv_id and m.pos = a.pos)
 select conv_id, pos, speaker, o::bigint as overlap_ms from m where k = 1 union all select conv_id, pos, speaker, 0 from n where k = 1""")
 def majority_or_nearest(spark, d) -> DataFrame:
-    """Every third turn only, so that some segments meet none."""
-    return intervals.majority_or_nearest(S.segments(spark, d), S.turns(spark, d).filter("pos % 3 = 0"))
+    """Two of three turns have no length, so that some segments meet none."""
+    return intervals.majority_or_nearest(S.segments(spark, d), S.turns(spark, d).withColumn("end_ms", F.when(F.col("pos") % 3 == 0, F.col("end_ms")).otherwise(F.col("start_ms"))))
 
 
 @query()
