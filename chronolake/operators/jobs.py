@@ -49,11 +49,11 @@ def touched(cache: DataFrame, reads: DataFrame) -> DataFrame:
 def answered_meanwhile(tasks: DataFrame, cache: DataFrame) -> DataFrame:
     """Tasks (file_hash, queued_min, start_min) that the cache can answer when they start, though it couldn't
     when they were queued: hit (the first result stored in between) is null for the others."""
-    joined = tasks.join(cache.select("file_hash", "id", "created_min"), "file_hash", "left")
-    known = F.bool_or(F.coalesce(F.col("created_min") <= F.col("queued_min"), F.lit(False)))
-    between = F.when((F.col("created_min") > F.col("queued_min")) & (F.col("created_min") <= F.col("start_min")), F.struct("created_min", "id"))
-    rows = joined.groupBy(*tasks.columns).agg(known.alias("known"), F.min(between).alias("m"))
-    return rows.select(*tasks.columns, F.when(~F.col("known"), F.col("m.id")).alias("hit"))
+    # where nothing was stored by the time of queueing, the first of all results is the first one in between
+    first = cache.filter("created_min is not null").groupBy("file_hash").agg(F.min(F.struct("created_min", "id")).alias("m"))
+    known = F.coalesce(F.col("m.created_min") <= F.col("queued_min"), F.lit(False))
+    between = (F.col("m.created_min") > F.col("queued_min")) & (F.col("m.created_min") <= F.col("start_min"))
+    return tasks.distinct().join(first, "file_hash", "left").select(*tasks.columns, F.when(~known & between, F.col("m.id")).alias("hit"))
 
 
 def request_error(size: Column, digest: Column, output_format: Column, extension: Column, most: int, extensions: tuple[str, ...]) -> Column:
