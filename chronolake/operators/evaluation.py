@@ -117,7 +117,8 @@ def char_offsets(segments: DataFrame, chars: DataFrame, key: str = "conv_id") ->
     order = Window.partitionBy(key).orderBy("pos")
     rows = segments.filter("text <> ''").withColumn("to", F.sum(F.length("text")).over(order)).withColumn("from", F.col("to") - F.length("text") + 1)
     first, last = chars.select(key, F.col("n").alias("from"), F.col("start_ms").alias("c_start")), chars.select(key, F.col("n").alias("to"), F.col("end_ms").alias("c_end"))
-    hit = rows.join(first, [key, "from"]).join(last, [key, "to"])
+    # a row for each character: its size is guessed far too low, and so it must not be broadcast
+    hit = rows.join(first.hint("merge"), [key, "from"]).join(last.hint("merge"), [key, "to"])
     return hit.select(key, "pos", F.abs(F.col("start_ms") - F.col("c_start")).alias("start_off"), F.abs(F.col("end_ms") - F.col("c_end")).alias("end_off"))
 
 

@@ -3,6 +3,7 @@
 import random
 
 from chronolake.operators import jobs
+from chronolake.plans import reports
 
 
 def join_rows(df):
@@ -35,3 +36,12 @@ def test_answered_meanwhile_makes_no_pairs(spark):
     got = jobs.answered_meanwhile(spark.createDataFrame(tasks, "task_id int, file_hash string, queued_min int, start_min int"), spark.createDataFrame(cache, "id int, file_hash string, created_min int"))
     assert {r.task_id: r.hit for r in got.collect()} == want
     assert len({v for v in want.values() if v is not None}) > 1 and join_rows(got) == [len(tasks)]
+
+
+def test_characters_are_not_broadcast(spark, tmp_path):
+    rows = [(c, t, "user", "ab c" * (20 + t)) for c in range(40) for t in range(4)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    for df in (reports.char_alignment(spark, str(tmp_path)),):
+        assert df.count() > 0
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
