@@ -108,7 +108,8 @@ def zip_compare(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(key).orderBy("pos"))
     left = a.select(key, rank.alias("k"), "ch", F.col("at_ms").alias("a_ms"))
     right = b.select(key, rank.alias("k"), F.col("ch").alias("other"), F.col("at_ms").alias("b_ms"))
-    return left.join(right, [key, "k"]).filter("ch = other").select(key, "k", "ch", F.abs(F.col("a_ms") - F.col("b_ms")).alias("offset_ms"))
+    # a row for each character: its size is guessed far too low, and so it must not be broadcast
+    return left.hint("merge").join(right, [key, "k"]).filter("ch = other").select(key, "k", "ch", F.abs(F.col("a_ms") - F.col("b_ms")).alias("offset_ms"))
 
 
 def char_offsets(segments: DataFrame, chars: DataFrame, key: str = "conv_id") -> DataFrame:

@@ -3,7 +3,7 @@
 import random
 
 from chronolake.operators import jobs
-from chronolake.plans import reports
+from chronolake.plans import reports, review
 
 
 def join_rows(df):
@@ -41,7 +41,7 @@ def test_answered_meanwhile_makes_no_pairs(spark):
 def test_characters_are_not_broadcast(spark, tmp_path):
     rows = [(c, t, "user", "ab c" * (20 + t)) for c in range(40) for t in range(4)]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
-    for df in (reports.char_alignment(spark, str(tmp_path)),):
+    for df in (reports.char_alignment(spark, str(tmp_path)), review.positional_zip(spark, str(tmp_path))):
         assert df.count() > 0
         df.collect()
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
