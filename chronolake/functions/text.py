@@ -41,6 +41,13 @@ def first_repetition(text: Column, sizes: range = range(2, 13), times: int = 6)
     return F.coalesce(*found)
 
 
+def rounded(number: Column, places: int) -> Column:
+    """A number that isn't negative, rounded half up as a double: what is compared with a half is the product by the power of ten."""
+    scaled = number * 10.0**places
+    down = F.floor(scaled)
+    return (down + (scaled - down >= 0.5).cast("int")) / 10.0**places
+
+
 def unit_ratio(part: Column, whole: Column) -> Column:
     """part / whole, 0 where whole is 0."""
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolake.functions.text import rounded
+
 #: Formats that a request may ask for.
 FORMATS = ("json", "srt")
 DIGEST = r"^[0-9a-fA-F]{32}$"
@@ -124,8 +126,8 @@ def cluster_shares(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     speaker that comes first)."""
     own = turns.groupBy(key, "speaker").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("ms"), F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
     found = own.groupBy(key).agg(F.count(F.lit(1)).alias("clusters"), F.sum("n").alias("turns"), F.sum("ms").alias("total"), F.sort_array(F.collect_list(F.struct((-F.col("ms")).alias("down"), "first"))).alias("l"))
-    seconds = F.transform("l", lambda x: F.round(-x["down"] / 1000, 2))
-    shares = F.transform("l", lambda x: F.when(F.col("total") > 0, F.round(-x["down"] / F.col("total"), 4)).otherwise(0.0))
+    seconds = F.transform("l", lambda x: rounded(-x["down"] / 1000, 2))
+    shares = F.transform("l", lambda x: F.when(F.col("total") > 0, rounded(-x["down"] / F.col("total"), 4)).otherwise(0.0))
     return found.select(key, "clusters", "turns", seconds.alias("seconds"), shares.alias("shares"))
 
 

@@ -87,7 +87,7 @@ def sent_alerts(spark, d) -> DataFrame:
 @query(f"""{SEG}, c as (select conv_id, speaker, sum(end_ms - start_ms) as ms, count(*) as n, min(pos) as first from turns group by 1, 2), t as (select *, sum(ms) over (partition by conv_id) as total from c)
 select conv_id, count(*) as clusters, sum(n)::bigint as turns, string_agg(printf('%.2f', round(ms / 1000.0::double, 2)), ',' order by ms desc, first) as seconds, string_agg(printf('%.4f', case when total > 0 then round(ms / total::double, 4) else 0 end), ',' order by ms desc, first) as shares from t group by conv_id""")
 def cluster_shares(spark, d) -> DataFrame:
-    text = lambda c, n: F.array_join(F.transform(c, lambda x: F.format_string(f"%.{n}f", x)), ",").alias(c)
+    text = lambda c, n: F.array_join(F.transform(c, lambda x: F.when(x.isNotNull(), F.format_string(f"%.{n}f", x))), ",").alias(c)
     return jobs.cluster_shares(S.turns(spark, d)).select("conv_id", "clusters", "turns", text("seconds", 2), text("shares", 4))
 
 

@@ -45,3 +45,9 @@ def test_characters_are_not_broadcast(spark, tmp_path):
         assert df.count() > 0
         df.collect()
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shares_are_rounded_as_doubles(spark):
+    # 57 / 800 is 0.07125, whose product by 10,000 is a little below the half
+    got = jobs.cluster_shares(spark.createDataFrame([(1, 0, "A", 0, 570), (1, 1, "B", 0, 7430), (2, 0, "A", 0, 0)], "conv_id int, pos int, speaker string, start_ms long, end_ms long"))
+    assert {r.conv_id: (r.seconds, r.shares) for r in got.collect()} == {1: ([7.43, 0.57], [0.9288, 0.0712]), 2: ([0.0], [0.0])}
