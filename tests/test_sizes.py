@@ -2,8 +2,12 @@
 
 import random
 
+import pandas as pd
+
 from chronolake.operators import jobs
 from chronolake.plans import reports, review
+from chronolake.streaming import life
+from chronolake.streaming.ordered import in_order
 
 
 def join_rows(df):
@@ -60,3 +64,65 @@ def test_short_turns_are_refined_too(spark, tmp_path):
     want = {(c, t): "B" if c % 5 and c % 3 == 0 and t % 2 == 0 else "A" if t % 4 < 2 else "B" for c, t, _, _ in rows}
     assert got == want
     assert {r.conv_id: r.reasons for r in review.refinement_reasons(spark, str(tmp_path)).collect()} == {4: "many_short_segments", 5: "empty", 6: "many_short_segments", 7: "many_short_segments"}
+
+
+def test_rows_in_order_by_parts():
+    rng = random.Random(9)
+    rows = [(i, rng.choice([None, 1.0, 2.0]), rng.choice(["x", None]), b"d") for i in (rng.randrange(40) for _ in range(500))]
+    frames = [pd.DataFrame(rows[k : k + 30], columns=["at", "seq", "kind", "data"]) for k in range(0, 500, 30)]
+    plain = [tuple(r) for r in in_order(iter(frames), ["at", "seq"])]
+    parts = [tuple(r) for r in in_order(iter(frames), ["at", "seq"], held=60)]
+    clean = lambda l: [tuple(None if v != v else v for v in r) for r in l]
+    assert clean(parts) == clean(plain) == sorted(rows, key=lambda r: (r[0], r[1] is None, r[1] or 0))
+    assert list(in_order(iter([]), ["at"])) == []
+
+
+class Stored:
+    """State of one key in memory that counts its calls."""
+
+    calls, value = 0, None
+
+    def __init__(self):
+        self.data = {}
+
+    def __getattr__(self, name):
+        def call(*a):
+            Stored.calls += 1
+            if name == "iterator":
+                return iter(list(self.data.items()))
+            if name == "containsKey":
+                return a[0] in self.data
+            if name == "getValue":
+                return self.data[a[0]]
+            if name == "updateValue":
+                self.data[a[0]] = a[1]
+            elif name == "removeKey":
+                self.data.pop(a[0], None)
+            elif name == "exists":
+                return self.value is not None
+            elif name == "update":
+                self.value = a[0]
+            elif name == "clear":
+                self.value = None
+            return self.value if name == "get" else []
+
+        return call
+
+
+class Handle:
+    getMapState = getValueState = lambda self, *a: Stored()
+
+    def __getattr__(self, name):
+        return lambda *a: []
+
+
+def test_task_life_touches_state_little():
+    """What a batch costs in state is bounded by what is left at its end, not by its events."""
+    steps = [(0, "create"), (5, "start"), (30, "done")]
+    rows = [(pd.Timestamp(1_700_000_000 + k + s, unit="s"), k * 10 + n, k, kind, None) for k in range(30_000) for n, (s, kind) in enumerate(steps)]
+    frame = pd.DataFrame(rows, columns=["at", "seq", "task", "kind", "error"])
+    own = life.TaskLife(life.Limits(kept=1_000_000, remembered=1000))
+    own.init(Handle())
+    Stored.calls = 0
+    out = pd.concat(own.handleInputRows((0,), iter([frame]), None))
+    assert (out.status == "evicted").sum() > 20_000 and Stored.calls < 6000
