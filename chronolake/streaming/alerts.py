@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from chronolake.streaming.ordered import ROWS, in_order
+
 ROW = "server long, at timestamp, seq long, kind string, reachable boolean, health string, metrics boolean, queue double, queue_max double, errors double, rule string, delivered boolean"
 ALERT = "server long, at timestamp, seq long, rule string, level string, state string"
 DOWN, FULL, SURGE = "server_down", "queue_saturation", "error_surge"
@@ -101,9 +103,11 @@ class AlertLoop(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = load_state(self.state.get()[0]) if self.state.exists() else {}
-        frame = pd.concat(list(rows)).sort_values(["at", "seq"], kind="stable").astype(object)
         out = []
-        for r in frame.where(frame.notna(), None).itertuples(index=False):
+        for r in in_order(rows, ["at", "seq"], lambda f: f.astype(object).where(f.notna(), None)):
+            if len(out) >= ROWS:
+                yield pd.DataFrame(out, columns=["server", "at", "seq", "rule", "level", "state"])
+                out = []
             if r.kind == "delivery":
                 if r.rule in state.get("sent", {}):
                     state["sent"][r.rule] = bool(r.delivered)
@@ -111,9 +115,9 @@ class AlertLoop(StatefulProcessor):
             before = settle(state)
             alerts, state = evaluate(before, r, r.at.timestamp(), self.limits)
             if alerts:
+                text = json.dumps(state, sort_keys=True)
                 state |= {"sent": {name: False for name, _ in alerts}, "before": before}
-            text = json.dumps({k: v for k, v in state.items() if k in ("active", "errors")}, sort_keys=True)
-            out += [(key[0], r.at, r.seq, name, level, text) for name, level in alerts]
+                out += [(key[0], r.at, r.seq, name, level, text) for name, level in alerts]
         self.state.update((json.dumps(state),))
         if out:
             yield pd.DataFrame(out, columns=["server", "at", "seq", "rule", "level", "state"])

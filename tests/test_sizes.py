@@ -6,7 +6,7 @@ import pandas as pd
 
 from chronolake.operators import jobs
 from chronolake.plans import reports, review
-from chronolake.streaming import life
+from chronolake.streaming import alerts, life
 from chronolake.streaming.ordered import in_order
 
 
@@ -126,3 +126,12 @@ def test_task_life_touches_state_little():
     Stored.calls = 0
     out = pd.concat(own.handleInputRows((0,), iter([frame]), None))
     assert (out.status == "evicted").sum() > 20_000 and Stored.calls < 6000
+
+
+def test_alerts_are_handed_on_in_parts():
+    rows = [(1, pd.Timestamp(1_700_000_000 + i, unit="s"), i, "probe", i % 2 == 0, "healthy", False, None, None, None, None, None) for i in range(30_000)]
+    frame = pd.DataFrame(rows, columns=[f.split()[0] for f in alerts.ROW.split(", ")])
+    own = alerts.AlertLoop(alerts.Thresholds(cooldown_s=0.0))
+    own.init(Handle())
+    found = list(own.handleInputRows((1,), iter([frame]), None))
+    assert len(found) > 1 and sum(map(len, found)) == 15_000
