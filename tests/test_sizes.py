@@ -6,7 +6,7 @@ import pandas as pd
 
 from chronolake.operators import jobs
 from chronolake.plans import reports, review
-from chronolake.streaming import alerts, life
+from chronolake.streaming import alerts, life, queues
 from chronolake.streaming.ordered import in_order
 
 
@@ -135,3 +135,12 @@ def test_alerts_are_handed_on_in_parts():
     own.init(Handle())
     found = list(own.handleInputRows((1,), iter([frame]), None))
     assert len(found) > 1 and sum(map(len, found)) == 15_000
+
+
+def test_queues_share_calls():
+    """A call takes a shard of queues, and hands their events on together."""
+    rows = [(i % 700, i, "submit", None, False) for i in range(2100)]
+    own = queues.Admission(2, 2)
+    own.init(Handle())
+    found = list(own.handleInputRows((0,), iter([pd.DataFrame(rows, columns=["queue", "event", "kind", "seconds", "refused"])]), None))
+    assert len(found) == 1 and found[0].queue.nunique() == 700 and found[0].admitted.sum() == 1400
