@@ -24,10 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from chronolake.streaming.ordered import ROWS, in_order
+
 MESSAGE = "pool long, at timestamp, seq long, kind string, upload long, idx int, total int, chunk_bytes int, size long, md5 string, data binary, full boolean"
 ANSWER = "pool long, upload long, at timestamp, seq long, answer string, progress double, size long, md5 string"
 _SESSION = "chunk_bytes int, total int, size long, md5 string, received int, last long, phase string"
 UPLOADING, FINALIZING, READY = "uploading", "finalizing", "ready"
+#: Fixed value: bytes of a batch's chunks that wait in memory.
+FRESH = 64_000_000
 
 
 def _given(value) -> bool:
@@ -49,13 +53,15 @@ class Sessions(StatefulProcessor):
         pass
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        messages = pd.concat(list(rows)).sort_values(["at", "seq"], kind="stable")
         self._load()
         out: list[tuple] = []
-        for m in messages.itertuples(index=False):
+        for m in in_order(rows, ["at", "seq"]):
             now = m.at.value // 1000  # microseconds
             self._expire(now, out)
             self._take(m, now, out)
+            if len(out) >= ROWS:
+                yield self._frame(key, out)
+                out.clear()
         yield from self._done(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -65,8 +71,12 @@ class Sessions(StatefulProcessor):
         yield from self._done(key, out)
 
     def _load(self) -> None:
-        """The sessions of the pool, at most as many as it may have open; chunks stay in the store."""
+        """The sessions of the pool, at most as many as it may have open. Chunks stay in the store; those of this batch go there at its
+        end, if they are still wanted, or when they are more than FRESH bytes."""
         self.open = {k[0]: list(v) for k, v in self.sessions.iterator()}
+        self.kept, self.fresh, self.size = set(self.open), {}, 0  # uploads with chunks in the store, and chunks that aren't there
+        self.purge_at = self.purge.get()[0] if self.purge.exists() else None
+        self.look = 0  # before this time no session expires
         self.before = {k: tuple(v) for k, v in self.open.items()}
 
     def _done(self, key, out: list[tuple]) -> Iterator[pd.DataFrame]:
@@ -75,41 +85,62 @@ class Sessions(StatefulProcessor):
         for upload, s in self.open.items():
             if self.before.get(upload) != tuple(s):
                 self.sessions.updateValue((upload,), tuple(s))
+        self._flush()
+        if self.purge_at is not None:
+            self.purge.update((self.purge_at,))
+        elif self.purge.exists():
+            self.purge.clear()
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
         due = [s[5] + self.idle for s in self.open.values() if s[6] != FINALIZING]
-        if self.purge.exists():
-            due.append(self.purge.get()[0])
+        if self.purge_at is not None:
+            due.append(self.purge_at)
         if due:
             self.handle.registerTimer(min(due) // 1000 + 1)
         if out:
-            upload, at, seq, answer, progress, size, md5 = zip(*out)
-            frame = pd.DataFrame({"upload": upload, "at": pd.to_datetime(at, unit="us"), "seq": pd.array(seq, "Int64"), "answer": answer, "progress": pd.array(progress, "Float64"), "size": pd.array(size, "Int64"), "md5": list(md5)})
-            frame.insert(0, "pool", key[0])
-            yield frame
+            yield self._frame(key, out)
+
+    def _frame(self, key, out: list[tuple]) -> pd.DataFrame:
+        upload, at, seq, answer, progress, size, md5 = zip(*out)
+        frame = pd.DataFrame({"upload": upload, "at": pd.to_datetime(at, unit="us"), "seq": pd.array(seq, "Int64"), "answer": answer, "progress": pd.array(progress, "Float64"), "size": pd.array(size, "Int64"), "md5": list(md5)})
+        frame.insert(0, "pool", key[0])
+        return frame
+
+    def _has(self, upload: int, idx: int) -> bool:
+        return (upload, idx) in self.fresh or upload in self.kept and self.chunks.containsKey((upload, idx))
+
+    def _flush(self) -> None:
+        for place, data in self.fresh.items():
+            self.chunks.updateValue(place, (data,))
+            self.kept.add(place[0])
+        self.fresh, self.size = {}, 0
 
     def _drop(self, upload: int) -> None:
         total = self.open.pop(upload)[1]
         for idx in range(total):
-            if self.chunks.containsKey((upload, idx)):
+            data = self.fresh.pop((upload, idx), None)
+            if data is not None:
+                self.size -= len(data)
+            elif upload in self.kept and self.chunks.containsKey((upload, idx)):
                 self.chunks.removeKey((upload, idx))
+        self.kept.discard(upload)
 
     def _expire(self, now: int, out: list[tuple]) -> None:
-        late = sorted((s[5] + self.idle, u) for u, s in self.open.items() if s[6] != FINALIZING and now - s[5] > self.idle)
+        late = [] if now <= self.look else sorted((s[5] + self.idle, u) for u, s in self.open.items() if s[6] != FINALIZING and now - s[5] > self.idle)
         for at, upload in late:
             self._drop(upload)
             out.append((upload, at, None, "expired", None, None, None))
-        if self.purge.exists() and now > self.purge.get()[0]:
+        if now > self.look:
+            self.look = min((s[5] + self.idle for s in self.open.values() if s[6] != FINALIZING), default=now)
+        self.look = min(self.look, now + self.idle)
+        if self.purge_at is not None and now > self.purge_at:
             # submitted uploads are forgotten in one go now and then, so the state stays as large as their rate
             left = {k[0]: v[0] for k, v in self.submitted.iterator()}
             for upload, at in left.items():
                 if now - at > self.remember:
                     self.submitted.removeKey((upload,))
             left = [at for at in left.values() if now - at <= self.remember]
-            if left:
-                self.purge.update((now + self.remember // 4,))
-            else:
-                self.purge.clear()
+            self.purge_at = now + self.remember // 4 if left else None
 
     def _take(self, m, now: int, out: list[tuple]) -> None:
         def answer(text: str, progress=None, size=None, md5=None) -> None:
@@ -145,8 +176,8 @@ class Sessions(StatefulProcessor):
                 answer("queue_full")
             else:
                 self.submitted.updateValue((upload,), (now,))
-                if not self.purge.exists():
-                    self.purge.update((now + self.remember,))
+                if self.purge_at is None:
+                    self.purge_at = now + self.remember
                 answer("upload_complete", 100.0, session[2], session[3])
                 self._drop(upload)
         else:
@@ -164,12 +195,15 @@ class Sessions(StatefulProcessor):
             return answer("missing_chunk_data")
         if len(data) > chunk_bytes or (idx < total - 1 and len(data) < chunk_bytes):
             return answer("upload_error")
-        if session[6] != UPLOADING or self.chunks.containsKey((upload, idx)):
+        if session[6] != UPLOADING or self._has(upload, idx):
             session[5] = now
             return answer("duplicate", 100.0 * session[4] / total)
         if m.md5 is not None and hashlib.md5(data).hexdigest() != m.md5:
             return answer("chunk_hash_mismatch")
-        self.chunks.updateValue((upload, idx), (data,))
+        self.fresh[upload, idx] = data
+        self.size += len(data)
+        if self.size > FRESH:
+            self._flush()
         session[4], session[5] = session[4] + 1, now
         answer("received", 100.0 * session[4] / total)
         if session[4] == total:
@@ -181,8 +215,8 @@ class Sessions(StatefulProcessor):
         if session[6] == UPLOADING:
             whole, size = hashlib.md5(), 0
             for idx in range(session[1]):
-                if self.chunks.containsKey((upload, idx)):
-                    data = self.chunks.getValue((upload, idx))[0]
+                if self._has(upload, idx):
+                    data = self.fresh[upload, idx] if (upload, idx) in self.fresh else self.chunks.getValue((upload, idx))[0]
                     whole.update(data)
                     size += len(data)
             if session[4] < session[1] or whole.hexdigest() != session[3]:

@@ -1,12 +1,13 @@
 """What queries hold and move: rows that joins make, broadcasts, and the memory and time of large keys."""
 
+import hashlib
 import random
 
 import pandas as pd
 
 from chronolake.operators import jobs
 from chronolake.plans import reports, review
-from chronolake.streaming import alerts, life, queues
+from chronolake.streaming import alerts, life, queues, uploads
 from chronolake.streaming.ordered import in_order
 
 
@@ -144,3 +145,17 @@ def test_queues_share_calls():
     own.init(Handle())
     found = list(own.handleInputRows((0,), iter([pd.DataFrame(rows, columns=["queue", "event", "kind", "seconds", "refused"])]), None))
     assert len(found) == 1 and found[0].queue.nunique() == 700 and found[0].admitted.sum() == 1400
+
+
+def test_uploads_of_one_batch_touch_state_little():
+    """Chunks that come and go in one batch never reach the state."""
+    names = [f.split()[0] for f in uploads.MESSAGE.split(", ")]
+    data, rows = b"x" * 10, []
+    for u in range(300):
+        sent = [("open", None, 10, 10, 100, hashlib.md5(data * 10).hexdigest(), None, None), *(("chunk", i, None, None, None, None, data, None) for i in range(10)), ("queue", None, None, None, None, None, None, False)]
+        rows += [(1, pd.Timestamp(1_700_000_000 + u, unit="s"), u * 100 + n, kind, u, *rest) for n, (kind, *rest) in enumerate(sent)]
+    own = uploads.Sessions(1800, 1000, 86_400)
+    own.init(Handle())
+    Stored.calls = 0
+    out = pd.concat(own.handleInputRows((1,), iter([pd.DataFrame(rows, columns=names)]), None))
+    assert (out.answer == "upload_complete").sum() == 300 and (out.answer == "received").sum() == 3000 and Stored.calls < 1000
