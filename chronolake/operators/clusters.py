@@ -3,6 +3,8 @@ to some thousand vectors) are one group; recordings are spread over the cluster.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,18 +13,51 @@ from pyspark.sql import functions as F
 from chronolake.operators import speakers
 
 
-def complete_linkage(vectors: np.ndarray, threshold: float = 0.9, count: int | None = None) -> np.ndarray:
-    """Labels from 0 (by first member) of clusters merged while the largest cosine distance within stays at most threshold, or
-    down to ``count`` clusters. Nearest pairs go first (ties: the smallest places).
+#: Clusters whose distances are held as one square (34 MB), and numbers of a block of rows of what is larger (32 MB).
+SQUARE, BLOCK = 2048, 1 << 22
+
+
+def _nearness(unit: np.ndarray, order: np.ndarray, starts: np.ndarray, which: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Cosine distances of the clusters ``which`` (ascending) to all clusters, one after the other: the largest ones between
+    members. Cluster k has the members order[starts[k] : starts[k + 1]]. A block of rows is held at a time."""
+    sizes = np.diff(starts, append=len(order))
+    members = np.concatenate([order[starts[k] : starts[k] + sizes[k]] for k in which.tolist()])
+    owner = np.repeat(which, sizes[which])
+    # first members of all clusters, then the second ones of those that have two, and so on, larger clusters ahead
+    large = np.argsort(-sizes, kind="stable")
+    rank = np.arange(len(order)) - np.repeat(starts, sizes)
+    place = np.empty(len(starts), np.int64)
+    place[large] = np.arange(len(starts))
+    theirs = unit[order[np.lexsort((np.repeat(place, sizes), rank))]]
+    layers = np.bincount(rank).tolist()
+    rows, held = max(1, BLOCK // len(order)), None
+    for at in range(0, len(members), rows):
+        own = owner[at : at + rows]
+        near = theirs @ unit[members[at : at + rows]].T
+        done = layers[0]
+        for n in layers[1:]:
+            np.minimum(near[:n], near[done : done + n], out=near[:n])
+            done += n
+        near = np.ascontiguousarray(near[place].T)
+        heads = [*np.flatnonzero(np.append(True, own[1:] != own[:-1])).tolist(), len(own)]
+        for begin, end in zip(heads, heads[1:]):
+            k, row = int(own[begin]), near[begin:end].min(axis=0)
+            if held is not None and held[0] == k:
+                row = np.minimum(held[1], row)  # a cluster with rows in several blocks
+            elif held is not None:
+                yield held[0], 1 - held[1]
+            held = k, row
+    yield held[0], 1 - held[1]
+
+
+def _greedy(far: np.ndarray, limit: float) -> list[tuple[float, int, int]]:
+    """Merges (distance, both places) by falling nearness in a square of distances, up to ``limit``.
 
     Each cluster knows the nearest one after it. A union is at least as far from any other as its parts were, so only those
-    whose nearest was one of both look again, and a merge takes time linear in the number of vectors."""
-    n = len(vectors)
-    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    unit = vectors / np.where(norm > 0, norm, 1)
-    far = 1 - unit @ unit.T
+    whose nearest was one of both look again, and a merge takes time linear in the number of clusters."""
+    n = len(far)
     np.fill_diagonal(far, np.inf)
-    nearest, least = np.zeros(n, np.int64), np.full(n, np.inf)
+    nearest, least, merges = np.zeros(n, np.int64), np.full(n, np.inf), []
 
     def look(k: int) -> None:
         if k + 1 < n:
@@ -31,13 +66,12 @@ def complete_linkage(vectors: np.ndarray, threshold: float = 0.9, count: int | N
 
     for k in range(n):
         look(k)
-    group, left = np.arange(n), n
-    while left > 1 and (count is None or left > count):
+    while len(merges) < n - 1:
         i = int(np.argmin(least))
         j = int(nearest[i])
-        if count is None and least[i] > threshold:
+        if least[i] > limit:
             break
-        group[group == j] = i
+        merges.append((float(least[i]), i, j))
         union = np.maximum(far[i], far[j])  # its distances are the larger ones of both parts
         far[i], far[:, i] = union, union
         far[j], far[:, j] = np.inf, np.inf
@@ -46,8 +80,76 @@ def complete_linkage(vectors: np.ndarray, threshold: float = 0.9, count: int | N
         for k in np.flatnonzero((nearest == i) | (nearest == j) | (np.arange(n) == i)).tolist():
             if np.isfinite(least[k]):
                 look(k)
-        left -= 1
-    return np.unique(group, return_inverse=True)[1]
+    return merges
+
+
+def _joined(group: np.ndarray, merges: list[tuple[float, int, int]]) -> np.ndarray:
+    """The place of each vector's cluster after merges (the second place goes to the first, which is smaller)."""
+    to = np.arange(len(group))
+    for _, i, j in merges:
+        to[j] = i
+    for j in sorted(j for _, _, j in merges):
+        to[j] = to[to[j]]
+    return to[group]
+
+
+def _by_rounds(unit: np.ndarray, limit: float) -> list[tuple[float, int, int]]:
+    """The merges of _greedy, in another order, in memory linear in the vectors.
+
+    Of pairs ordered by distance and places, a merge never makes one that comes before what both parts had. So two clusters
+    that are each other's nearest are merged whatever comes first, and all such pairs of a round at once. Equal vectors are
+    merged ahead. Once SQUARE clusters are left their distances are a square."""
+    n = len(unit)
+    _, first, same = np.unique(unit, axis=0, return_index=True, return_inverse=True)
+    group = first[same.ravel()]
+    self = 1 - np.einsum("ij,ij->i", unit, unit)
+    group = np.where(self <= limit, group, np.arange(n))
+    merges = [(float(self[j]), int(group[j]), j) for j in np.flatnonzero(group != np.arange(n)).tolist()]
+    nearest, least, stale = np.zeros(n, np.int64), np.full(n, np.inf), np.ones(n, bool)
+    while True:
+        order = np.argsort(group, kind="stable")
+        places, starts = np.unique(group[order], return_index=True)
+        if len(places) <= SQUARE:
+            far = np.empty((len(places), len(places)))
+            for k, row in _nearness(unit, order, starts, np.arange(len(places))):
+                far[k] = row
+            return merges + [(d, int(places[i]), int(places[j])) for d, i, j in _greedy(far, limit)]
+        for k, row in _nearness(unit, order, starts, np.flatnonzero(stale[places])):
+            row[k] = np.inf
+            best = int(np.argmin(row))  # of equally near ones the smallest place, from both sides
+            nearest[places[k]], least[places[k]] = places[best], row[best]
+        other = nearest[places]
+        ready = (places < other) & (nearest[other] == places)
+        if not ready.any():  # rounding has made a distance differ from its mirror
+            ready[np.argmin(np.where(places < other, least[places], np.inf))] = True
+        ready &= least[places] <= limit
+        if not ready.any():
+            return merges
+        found = [(float(least[i]), i, int(nearest[i])) for i in places[ready].tolist()]
+        merges += found
+        moved = np.zeros(n, bool)
+        moved[[i for _, i, _ in found] + [j for _, _, j in found]] = True
+        group = _joined(group, found)
+        stale = moved | moved[nearest]
+
+
+def complete_linkage(vectors: np.ndarray, threshold: float = 0.9, count: int | None = None) -> np.ndarray:
+    """Labels from 0 (by first member) of clusters merged while the largest cosine distance within stays at most threshold, or
+    down to ``count`` clusters. Nearest pairs go first (ties: the smallest places).
+
+    Up to SQUARE vectors their distances are held; more take time by the square of their number, and memory in proportion."""
+    n = len(vectors)
+    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = vectors / np.where(norm > 0, norm, 1)
+    limit = threshold if count is None else np.inf
+    if n <= SQUARE:
+        far = unit @ unit.T
+        merges = _greedy(np.subtract(1, far, out=far), limit)
+    else:
+        merges = _by_rounds(unit, limit)
+    if count is not None:
+        merges = sorted(merges)[: max(0, n - max(count, 1))]
+    return np.unique(_joined(np.arange(n), merges), return_inverse=True)[1]
 
 
 def clustering(vectors: DataFrame, key: str = "rec", threshold: float = 0.9, count: int | None = None) -> DataFrame:

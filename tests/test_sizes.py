@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import tracemalloc
 
+import numpy as np
 import pandas as pd
 
-from chronolake.operators import jobs
+from chronolake.operators import clusters, jobs
 from chronolake.plans import reports, review
 from chronolake.streaming import alerts, life, queues, uploads
 from chronolake.streaming.ordered import in_order
@@ -159,3 +161,25 @@ def test_uploads_of_one_batch_touch_state_little():
     Stored.calls = 0
     out = pd.concat(own.handleInputRows((1,), iter([pd.DataFrame(rows, columns=names)]), None))
     assert (out.answer == "upload_complete").sum() == 300 and (out.answer == "received").sum() == 3000 and Stored.calls < 1000
+
+
+def test_linkage_in_memory_linear_in_the_vectors(monkeypatch):
+    """Rounds of mutual nearest clusters make the merges of one square of distances, in blocks; copies are merged ahead."""
+    rng = np.random.default_rng(8)
+    for t in range(60):
+        n = int(rng.integers(1, 40))
+        x = rng.normal(size=(n, 4)) if t % 2 else rng.normal(size=(8, 4))[rng.integers(0, 8, n)]
+        k = int(rng.integers(1, len(np.unique(x, axis=0)) + 1))
+        cases = [{"threshold": 0.2}, {"threshold": 0.9}, {"threshold": 1.6}, {"count": k}]
+        monkeypatch.setattr(clusters, "SQUARE", 2048, raising=False)
+        want = [clusters.complete_linkage(x, **c).tolist() for c in cases]
+        monkeypatch.setattr(clusters, "SQUARE", 3, raising=False)
+        monkeypatch.setattr(clusters, "BLOCK", int(rng.integers(1, 300)), raising=False)
+        assert [clusters.complete_linkage(x, **c).tolist() for c in cases] == want
+    monkeypatch.undo()
+    x = rng.normal(size=(500, 16))[rng.integers(0, 500, 5000)] + rng.normal(size=(5000, 16)) * 0.05
+    tracemalloc.start()
+    labels = clusters.complete_linkage(x, 0.9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6 and 3 < labels.max() < 500  # a square of 5,000 has 200 MB
