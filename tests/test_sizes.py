@@ -6,7 +6,9 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
+from chronolake.functions import blocks
 from chronolake.operators import clusters, jobs
 from chronolake.plans import reports, review
 from chronolake.streaming import alerts, life, queues, uploads
@@ -183,3 +185,17 @@ def test_linkage_in_memory_linear_in_the_vectors(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 150e6 and 3 < labels.max() < 500  # a square of 5,000 has 200 MB
+
+
+def test_blocks_of_a_batch_take_little_memory(spark, monkeypatch):
+    df = spark.createDataFrame([("a", "b"), (None, "x"), ("", None), ("abcd", "abxd")], "a string, b string").coalesce(1)
+    got = df.select(blocks.blocks("a", "b").alias("m")).collect()
+    assert [[tuple(m) for m in r.m] for r in got] == [[], [], [], [(0, 0, 2), (3, 3, 1)]]
+    assert [r.m for r in df.limit(1).select(blocks.blocks("a", "b").alias("m")).collect()] == [[]] and not df.limit(0).select(blocks.blocks("a", "b")).collect()
+    monkeypatch.setattr(blocks, "matching", lambda a, b: [(7 * k, 6 * k, 6) for k in range(80)])
+    texts = pa.array(["x" * 500] * 10_000)
+    tracemalloc.start()
+    assert len(blocks.blocks.func(texts, texts)) == 10_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # a dictionary for each block has 180 MB
