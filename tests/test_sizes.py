@@ -2,13 +2,16 @@
 
 import hashlib
 import random
+import time
 import tracemalloc
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from chronolake.functions import blocks
+from chronolake.functions import text as T
 from chronolake.operators import clusters, jobs
 from chronolake.plans import reports, review
 from chronolake.streaming import alerts, life, queues, uploads
@@ -199,3 +202,22 @@ def test_blocks_of_a_batch_take_little_memory(spark, monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 40e6  # a dictionary for each block has 180 MB
+
+
+def test_repetition_is_linear_in_the_text(spark):
+    """A text that has almost a repetition at each place took 77 steps a character; one without a unit ends as fast."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("ab") for _ in range(k)) for k in range(2, 13)]
+    texts = [w * n + rng.choice(["", "c", " \x1c"]) + w for w in words for n in (4, 5, 6, 7)] + ["", None, "x", "\U0001f600b" * 6, "ab" * 3 + " \n" + "ab" * 3]
+
+    def first(text):
+        text = "".join((text or "").split())
+        return next((text[i : i + k] for k in range(2, 13) for i in range(len(text) - 6 * k + 1) if text[i : i + 6 * k] == text[i : i + k] * 6), None)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert {r.i: r.u for r in df.select("i", T.first_repetition(F.col("t")).alias("u")).collect()} == {i: first(t) for i, t in enumerate(texts)}
+    long = "".join(rng.choice("ab") * rng.randint(1, 5) + rng.choice("cd") for _ in range(1_000_000))
+    began = time.process_time()
+    assert T._first_unit(long + "xyz" * 6, range(3, 4), 6) == "xyz" and T._first_unit("ab" * 5 + "c", range(2, 13), 6) is None
+    assert T._first_unit("".join(map(chr, range(0x4E00, 0x9000))) * 100, range(2, 13), 6) is None
+    assert time.process_time() - began < 10
