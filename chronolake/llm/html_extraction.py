@@ -4,9 +4,10 @@ A page is parsed into blocks of text.  Blocks of navigation, headers, footers, s
 forms, scripts, styles and reader comments are noise.  The text outside articles is the page's token
 stream; the streams of a host are suffix-sorted together (regions.repeated_ranges with the host in the
 anchors, so that a host of any size is spread over tasks), and what other pages of the host have too is
-boilerplate.  Pages with an article element give the article.  On pages without, the blocks that are
-not noise and are not covered by boilerplate by half or more are the main text.  Inside an article
-nothing is removed for being repeated: copies of an article would lose their text (figures: README).
+boilerplate.  Pages with an article element give the article; blocks in it whose names have a word of
+noise among others stand in the stream too and go if boilerplate covers half of them or more.  On pages without an article, the
+blocks that are not noise and are not covered so are the main text.  Nothing else of an article
+is removed for being repeated: copies of an article would lose their text (figures: README).
 """
 
 from __future__ import annotations
@@ -118,8 +119,8 @@ def _noise(tag: str, attributes: str, in_article: bool) -> int:
     return found
 
 
-OPEN, ARTICLE, NOISY = range(3)
-_IN_FORM = 3
+#: UNSURE is in an article, in an element with a word of noise in its name.
+OPEN, ARTICLE, NOISY, _IN_FORM, UNSURE = range(5)
 
 
 def _settled(blocks: list[tuple[int, str]]) -> list[tuple[int, str]]:
@@ -127,12 +128,12 @@ def _settled(blocks: list[tuple[int, str]]) -> list[tuple[int, str]]:
     size = Counter()
     for kind, text in blocks:
         size[kind] += len(text)
-    kind = OPEN if size[_IN_FORM] > size[OPEN] + size[ARTICLE] else NOISY
+    kind = OPEN if size[_IN_FORM] > size[OPEN] + size[ARTICLE] + size[UNSURE] else NOISY
     return [(kind if k == _IN_FORM else k, t) for k, t in blocks]
 
 
 def blocks_of(page: str | None) -> list[tuple[int, str]]:
-    """Blocks of text in page order with their kinds: in no article, in an article, noise."""
+    """Blocks of text in page order with their kinds: in no article, in an article (surely or not), noise."""
     page = page or ""
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int, bool]] = []  # tag, how sure it is noise, in an article
@@ -149,7 +150,7 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
             text = " ".join(text.split())
             if text:
                 clean = ARTICLE if article else OPEN
-                out.append((clean if noisy == CLEAN else _IN_FORM if noisy == FORM and not article else NOISY, text))
+                out.append((clean if noisy == CLEAN else _IN_FORM if noisy == FORM and not article else UNSURE if noisy == NAMED and article else NOISY, text))
             parts.clear()
 
     while True:
@@ -213,7 +214,7 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
         inside = article or tag in ARTICLES
         above = CLEAN if inside and not article and noisy < SURE else noisy  # of an article, only what is sure
         own = _noise(tag, attributes, article)
-        noise = max(above, CLEAN if article and own == NAMED else own)  # in an article a name must be one of noise as a whole
+        noise = max(above, SURE if inside and own == FORM else own)
         if noise != noisy or inside != article:
             flush()
         noisy, article = noise, inside
@@ -223,9 +224,28 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
     return _settled(out) if any(k == _IN_FORM for k, _ in out) else out
 
 
-def _article(blocks: list[tuple[int, str]]) -> str | None:
-    own = [t for k, t in blocks if k == ARTICLE]
-    return "\n\n".join(own) if own else None
+def _article(blocks: list[tuple[int, str]]) -> list[str] | None:
+    """What surely belongs to the article before, between and after its unsure blocks; null without an article."""
+    parts: list[list[str]] = [[]]
+    for k, t in blocks:
+        if k == ARTICLE:
+            parts[-1].append(t)
+        elif k == UNSURE:
+            parts.append([])
+    return ["\n\n".join(p) for p in parts] if len(parts) > 1 or parts[0] else None
+
+
+def _chosen(blocks: list[tuple[int, str, bool]], article: list[str] | None) -> str:
+    """The main text from blocks of a stream (kind, text, whether it is covered) and the parts of the article."""
+    if article is None:
+        return "\n\n".join(t for k, t, covered in blocks if k == OPEN and not covered)
+    unsure = [(t, covered) for k, t, covered in blocks if k == UNSURE]
+    if not any(article) and all(covered for _, covered in unsure):  # an article isn't emptied
+        unsure = [(t, False) for t, _ in unsure]
+    own = article[:1]
+    for (t, covered), part in zip(unsure, article[1:]):
+        own += ["" if covered else t, part]
+    return "\n\n".join(t for t in own if t)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -246,25 +266,21 @@ def extract(pages: DataFrame) -> DataFrame:
                 blocks = blocks_of(page)
                 outside = [(k, t) for k, t in blocks if k != ARTICLE]
                 rows.append((host_of(url), _article(blocks), " ".join(t for _, t in outside), [len(t.encode()) for _, t in outside], [k for k, _ in outside]))
-            kinds = (pa.string(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            kinds = (pa.string(), pa.list_(pa.string()), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
             made = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("url"), *made], names=["key", "url", "host", "article", "text", "sizes", "kinds"])
 
-    made = saved(source.mapInArrow(lean(streams), "key long, url string, host string, article string, text string, sizes array<int>, kinds array<int>"), "streams")
-    whole = made.filter("article is not null").select("key", "url", F.col("article").alias("text"))
-    bare = made.filter("article is null")
-    if bare.isEmpty():  # no text depends on what a host's pages share
-        return _named(whole)
+    made = saved(source.mapInArrow(lean(streams), "key long, url string, host string, article array<string>, text string, sizes array<int>, kinds array<int>"), "streams")
     # pages of a host with the same stream are copies of one page, which is the one with the smallest id
     same = [F.xxhash64("host").alias("grp"), F.sha2("text", 256).alias("stream")]
     first = saved(made.groupBy(*same).agg(F.min("key").alias("first")), "copies")
     own = made.select("key", "text", *same).join(first.select(F.col("first").alias("key"), "grp", "stream"), ["key", "grp", "stream"], "left_semi").dropDuplicates(["key", "grp", "stream"])
-    cover = R.repeated_ranges(own.select("key", "text", "grp"), R.Plan(RUN, ANCHOR, "byte", "docs"), classes_by_suffix_order)
+    cover = saved(cover_lists(R.repeated_ranges(own.select("key", "text", "grp"), R.Plan(RUN, ANCHOR, "byte", "docs"), classes_by_suffix_order)), "cover")
 
     def unique_runs(batches):
         for batch in batches:
             texts = []
-            for k, (text, sizes, kinds) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "sizes", "kinds")))):
+            for k, (text, sizes, kinds, article) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "sizes", "kinds", "article")))):
                 raw = text.encode()
                 mask = np.zeros(len(raw) + 1, np.int32)
                 begin, end = ranges_of(batch.column("ranges"), k, k + 1)[0]
@@ -273,14 +289,16 @@ def extract(pages: DataFrame) -> DataFrame:
                 covered = np.append(0, np.cumsum(np.cumsum(mask[:-1]) > 0))
                 at, own = 0, []
                 for n, kind in zip(sizes, kinds):
-                    if kind == OPEN and 2 * (covered[at + n] - covered[at]) < n:
-                        own.append(raw[at : at + n].decode())
+                    own.append((kind, raw[at : at + n].decode(), 2 * (covered[at + n] - covered[at]) >= n))
                     at += n + 1
-                texts.append("\n\n".join(own))
+                texts.append(_chosen(own, article))
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("url"), pa.array(texts, pa.string())], names=["key", "url", "text"])
 
-    copies = bare.withColumns({c: e for c, e in zip(("grp", "stream"), same)}).join(first, ["grp", "stream"])
-    rest = copies.join(cover_lists(cover), F.col("first") == F.col("doc"), "left").select("key", "url", "text", "sizes", "kinds", "ranges")
+    # an article without unsure blocks has nothing that the cover could decide
+    settled = F.coalesce(F.size("article") == 1, F.lit(False))
+    whole = made.filter(settled).select("key", "url", F.col("article")[0].alias("text"))
+    copies = made.filter(~settled).withColumns({c: e for c, e in zip(("grp", "stream"), same)}).join(first, ["grp", "stream"])
+    rest = copies.join(cover, F.col("first") == F.col("doc"), "left").select("key", "url", "text", "sizes", "kinds", "article", "ranges")
     return _named(whole.unionByName(rest.mapInArrow(lean(unique_runs), "key long, url string, text string")))
 
 

@@ -309,3 +309,23 @@ def test_host_boilerplate(spark):
     assert all(got[i] == f"own story number {i} with its own words {i * 7919}" for i in range(6))
     assert got[10].startswith("Home of") and got[11] == ""
     assert html_extraction.extract(pages.limit(0)).count() == 0
+
+
+def test_unsure_blocks_of_articles_are_decided_by_the_host(spark):
+    """In articles a name with a word of noise among others says little: what other pages of the host have too goes."""
+    ask = "Subscribe to our letter and follow the authors of this site for more of it"
+    page = lambda i, more="": f"<article><p>story {i} before</p><div class='inline-newsletter-ask'>{ask}</div><p>story {i} after</p>{more}</article>"
+    rows = [(i, "http://h/", page(i, f"<section id='ad-hoc-queries'>{' '.join(f'w{i}x{k * 7919 % 104729}' for k in range(i + 1, i + 9))}</section>")) for i in range(4)]
+    rows += [(10, "http://g/", page(10)), (11, "http://g/", "<p>bare</p>"), (12, "http://h/", f"<article><div class='inline-newsletter-ask'>{ask}</div></article>")]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    want = {i: f"story {i} before\n\nstory {i} after\n\n{' '.join(f'w{i}x{k * 7919 % 104729}' for k in range(i + 1, i + 9))}" for i in range(4)}
+    assert got == want | {10: f"story 10 before\n\n{ask}\n\nstory 10 after", 11: "bare", 12: ask}
+
+
+def test_suffix_array_takes_pages_with_articles(spark, monkeypatch):
+    seen = []
+    whole = html_extraction.R.repeated_ranges
+    monkeypatch.setattr(html_extraction.R, "repeated_ranges", lambda docs, *rest: seen.append(docs.count()) or whole(docs, *rest))
+    rows = [(i, "http://h/", f"<nav>menu {i}</nav><article>body {i}</article>") for i in range(3)]
+    got = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {f"body {i}" for i in range(3)} and seen == [3]
